@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinframe.session import ship
+
 #: Rows up to which a side of known width is sent to every executor; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -46,3 +48,27 @@ def pieces(weights, most: int):
         total += w
     if start < len(weights):
         yield start, len(weights)
+
+
+def add_columns(df: DataFrame, fields: list[tuple[str, str, object]], work, of: str) -> DataFrame:
+    """df with columns made from Arrow batches of column `of`; a column of df that has a new one's name is replaced.
+
+    fields: (name, Spark type, Arrow type) of each new column. work: gets a list of values, returns a list for each field.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    names = [name for name, _, _ in fields]
+    ship(df.sparkSession)
+    kept = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names), *([F.col(f"`{of}`").alias("_of")] if of in names else []))
+    source = "_of" if of in names else of
+    schema = T.StructType([*(f for f in kept.schema.fields if f.name != "_of"), *(T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in fields)])
+    arrow = [kind for _, _, kind in fields]
+
+    def run(batches):
+        for batch in batches:
+            made = work(batch.column(batch.schema.get_field_index(source)).to_pylist()) if batch.num_rows else [[] for _ in names]
+            old = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_of"]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in old), *(pa.array(v, type=k) for v, k in zip(made, arrow, strict=True))], names=[*(n for n, _ in old), *names])
+
+    return kept.mapInArrow(run, schema)
