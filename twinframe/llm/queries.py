@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixing, secrets
+from . import decontaminate, language, mixing, ngram_join, secrets
 from .common import held_out, table
 
 
@@ -18,6 +18,10 @@ def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -26,5 +30,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_identify_language, op6_secret_scan, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_identify_language, op5_jaccard_join, op6_secret_scan, op9_decontaminate)}
 ORACLES: dict[str, str] = {}
