@@ -17,4 +17,6 @@ def ship(spark: SparkSession) -> SparkSession:
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='twinframe-')}/twinframe", "zip", package.parent, package.name)
         context.addPyFile(archive)
         context._twinframe_shipped = True
+    # long texts: a batch of rows is held by the executor and by its Python worker at once
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
