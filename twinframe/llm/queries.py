@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, ngram_join, secrets
+from . import chat, decontaminate, language, mixing, neighbours, ngram_join, secrets
 from .common import held_out, table
 
 
@@ -26,9 +27,21 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(vectors, vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_identify_language, op5_jaccard_join, op6_secret_scan, op9_decontaminate)}
+def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
+    return chat.digest(chat.format_chats(turns.union(planted)), in_order=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_identify_language, op5_jaccard_join, op6_secret_scan, op8_nearest_neighbours, op9_decontaminate, op10_format_chats)}
 ORACLES: dict[str, str] = {}
