@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, neighbours, ngram_join, secrets
+from . import chat, decontaminate, html, language, mixing, neighbours, ngram_join, pii, quality, secrets
 from .common import held_out, table
 
 
@@ -19,6 +19,14 @@ def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op3_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("pii")
+
+
+def op4_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score_quality(docs, docs, table(spark, sf_dir, "labels").filter(~held_out("doc_id")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest_neighbours(vectors, vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")))
@@ -43,5 +57,5 @@ def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.union(planted)), in_order=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_identify_language, op5_jaccard_join, op6_secret_scan, op8_nearest_neighbours, op9_decontaminate, op10_format_chats)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_identify_language, op3_find_pii, op4_extract_main_text, op5_jaccard_join, op6_secret_scan, op7_quality_scores, op8_nearest_neighbours, op9_decontaminate, op10_format_chats)}
 ORACLES: dict[str, str] = {}
