@@ -20,7 +20,7 @@ def op2_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("pii")
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

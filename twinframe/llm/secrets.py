@@ -130,5 +130,8 @@ def joined(spans: Column) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     """The columns of find_secrets that can be held against a scan by the fixed patterns alone."""
     base = F.filter("secret_spans", lambda s: s["kind_no"] < 3)
-    counts = [F.size(F.filter("secret_spans", lambda s, n=n: s["kind_no"] == n)).cast("long").alias(f"n_{KINDS[n]}") for n in range(3)]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
+
+    def count(n: int) -> Column:
+        return F.size(F.filter("secret_spans", lambda s: s["kind_no"] == n)).cast("long").alias(f"n_{KINDS[n]}")
+
+    return found.select("doc_id", *map(count, range(3)), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
