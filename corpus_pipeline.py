@@ -3,22 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinframe.llm import mixing
-from twinframe.llm.common import cut
+from twinframe.llm import decontaminate, language, mixing, ngram_join, secrets
+from twinframe.llm.common import held_out, small, stored, table
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those without text or without a letter go."""
+    found = language.identify_language(docs, docs.filter(~held_out("doc_id")))
+    return found.filter("lang_pred <> 'und'").select(docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates; of rows with one id, one stays."""
+    groups = ngram_join.jaccard_components(docs)
+    gone = stored(groups.filter("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
+    again = stored(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    rows = again.count()
+    if rows:
+        repeated = small(again, rows)
+        kept = kept.join(repeated, "doc_id", "left_anti").union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark has not contaminated."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter("NOT contaminated").select(docs.columns)
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts masked."""
+    masked = secrets.redact(secrets.find_secrets(docs))
+    return masked.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs)
+    """The mix: documents that it takes words from, and how many (repeats counted)."""
+    return mixing.mix_sources(docs).filter("taken > 0").select("doc_id", "size", "source_size", "target", "taken")
 
 
-STAGES = [("mix", mix)]
+STAGES = [("language", identify), ("near_duplicates", deduplicate), ("decontaminate", clean), ("secrets", mask), ("mix", mix)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        docs = cut(docs) if k + 1 < len(STAGES) else docs
+        docs = docs if name == STAGES[-1][0] else stored(docs)
     return docs
