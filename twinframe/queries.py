@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalars
 from .operators import cleaning, resolve, semantic, template, tools, validate
 from .plans import aasql, defects, project
-from .schema import ELEMENT, reference, shaped
+from .schema import ELEMENT, Graph, reference, shaped
 from .streaming import operational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +38,7 @@ def number(v: float) -> dict:
 def ask(name: str, condition: dict, oracle: str, target: str | None = None, semantics: str = "reference") -> None:
     """An AASQL query for ids; its oracle selects one column id."""
     query = {"$select": "id", "$condition": condition}
-    add(f"aasql_{name}", lambda spark, sf_dir: aasql.compile_query(query, project.graph(spark, sf_dir), target, semantics).select("id"), oracle)
+    add(f"aasql_{name}", lambda spark, sf_dir: aasql.compile_query(query, graph_of(spark, sf_dir), target, semantics).select("id"), oracle)
 
 
 TECH = "'urn:sm:technicaldata:' || p_partkey AS id FROM part"
@@ -110,8 +110,16 @@ ask("cd_root", {"$eq": [field("$cd#idShort"), text("Concept_3_2")]}, "SELECT '01
 ask("descriptors_empty", {"$eq": [field("$aasdesc#idShort"), text("x")]}, "SELECT 'x' AS id WHERE false", target="aas")
 
 
+def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projected graph, analysed once for each session and folder."""
+    known = spark.__dict__.setdefault("_twinframe_graphs", {})
+    if sf_dir not in known:
+        known[sf_dir] = project.graph(spark, sf_dir)
+    return known[sf_dir]
+
+
 def graph_query(name: str, run: Callable, oracle: str | None = None) -> None:
-    add(name, lambda spark, sf_dir: run(project.graph(spark, sf_dir)), oracle)
+    add(name, lambda spark, sf_dir: run(graph_of(spark, sf_dir)), oracle)
 
 
 graph_query("count_stats", tools.count_stats, "SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) AS shells, 2 * 0 + (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM documents) + (SELECT count(DISTINCT user_id) FROM events) AS submodels, 30 + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS concepts")
@@ -158,7 +166,7 @@ graph_query("resolve_dangling", lambda g: resolve.dangling(g).select("ref_id"),
 
 def line_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model references from every line to its place in its order's list resolve to the element there."""
-    g = project.graph(spark, sf_dir)
+    g = graph_of(spark, sf_dir)
     place = F.get("indexes", F.lit(1))
     lines = g.elements.filter((F.col("model_type") == "SubmodelElementCollection") & place.isNotNull()).select("submodel_id", place.alias("i"))
     ref = reference("ModelReference", ("Submodel", F.col("submodel_id")), ("SubmodelElementList", F.lit("Lines")), ("SubmodelElementCollection", F.col("i")))
@@ -188,14 +196,14 @@ graph_query("element_labels", template.element_labels)
 
 
 def eclass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = project.graph(spark, sf_dir)
+    g = graph_of(spark, sf_dir)
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     classes = part.groupBy("p_type").agg(F.min("p_partkey").alias("k"), F.collect_set(F.format_string("0173-1#02-AAA%03d#001", F.col("p_size"))).alias("property_refs")).select(F.format_string("0173-1#02-AAA%03d#009", 1 + F.col("k") % 5).alias("irdi"), "property_refs")
     return semantic.has_property(classes, g.concepts)
 
 
 add("eclass_has_property", eclass, "SELECT DISTINCT '0173-1#02-AAA' || lpad((1 + k % 5)::VARCHAR, 3, '0') AS class_base, '0173-1#02-AAA' || lpad(p_size::VARCHAR, 3, '0') AS property_base FROM part JOIN (SELECT p_type, min(p_partkey) AS k FROM part GROUP BY 1) USING (p_type) WHERE p_size BETWEEN 1 AND 10")
-add("eclass_has_unit", lambda spark, sf_dir: semantic.has_unit(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.format_string("0173-1#02-AAA%03d#002", F.col("p_size")).alias("irdi"), F.lit("0173-1#02-AAA001#003").alias("unit_irdi")), project.graph(spark, sf_dir).concepts), "SELECT DISTINCT '0173-1#02-AAA' || lpad(p_size::VARCHAR, 3, '0') AS property_base, '0173-1#02-AAA001' AS unit_base FROM part WHERE p_size BETWEEN 1 AND 10")
+add("eclass_has_unit", lambda spark, sf_dir: semantic.has_unit(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.format_string("0173-1#02-AAA%03d#002", F.col("p_size")).alias("irdi"), F.lit("0173-1#02-AAA001#003").alias("unit_irdi")), graph_of(spark, sf_dir).concepts), "SELECT DISTINCT '0173-1#02-AAA' || lpad(p_size::VARCHAR, 3, '0') AS property_base, '0173-1#02-AAA001' AS unit_base FROM part WHERE p_size BETWEEN 1 AND 10")
 add("operational_latest", lambda spark, sf_dir: operational.latest(spark.read.parquet(f"{sf_dir}/events.parquet")).select("user_id", "value", "event_type"), "SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 add("operational_windows", lambda spark, sf_dir: operational.windows(spark.read.parquet(f"{sf_dir}/events.parquet")).select("start", "event_type", "n"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 
@@ -215,7 +223,7 @@ def violations(constraint: str) -> Callable[[SparkSession, str], DataFrame]:
     version = validate.ONLY.get(constraint, ("3.1",))[0]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        checked = validate.Checker(defects.graph(spark, sf_dir, project.graph(spark, sf_dir)), version).check([constraint])
+        checked = validate.Checker(defects.graph(spark, sf_dir, graph_of(spark, sf_dir)), version).check([constraint])
         own = f":{constraint.removeprefix('AASd-')}:"
         return checked.filter(F.contains("node_id", F.lit(own))).select("constraint_id", "node_id").distinct()
 
