@@ -1,15 +1,15 @@
 """Secret scan: fixed patterns, and strings that a Markov model of random characters explains better than one of identifiers.
 
 Both models are first-order character chains. The random one is learned from seeded digests written in hex, base 64 and
-mixed case; the ordinary one from words of the scanned table itself, also capitalised, in capitals and joined into
-identifiers. Both samples are labelled by how they were made. A candidate (a long run of key characters with a digit and a letter) is reported
+mixed case; the ordinary one from WORDS and words of the scanned table itself, also capitalised, in capitals and joined
+into identifiers. Both samples are labelled by how they were made. A candidate (a long run of key characters with a digit and a letter) is reported
 where the log-likelihood ratio of the two chains is high in total and on average.
 
 Only DataFrame functions run. Nothing is shuffled but the bigram counts, at most |ALPHABET|² rows for each label, which the
 driver reads to put the table of ratios into the plan.
 
 Cases: a null text is empty and has no spans; overlapping matches of different kinds are all reported, but a candidate that touches a
-base span is not; repeated rows give repeated results; an empty table trains from the digests alone and gives no rows; other
+base span is not; repeated rows give repeated results; an empty table trains from the digests and WORDS alone and gives no rows; other
 columns pass through untouched.
 """
 
@@ -29,12 +29,22 @@ KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 SPANS = "array<struct<start:int,kind_no:int,stop:int,hit:string>>"
+LONE_WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,19}(?![A-Za-z0-9+/_=-])"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Words of ordinary identifiers, part of every ordinary sample, so that tables without words train too.
+WORDS = (
+    "account action address array author base block body build byte cache call cell check child class client code column comment config connection content context copy count create customer data date "
+    "default delete detail device document element email entry error event example field file filter find first folder form format function group handle header height history host image index input "
+    "instance item key label language last length level line link list load local location manager map message method model module name network node number object option order output page parameter "
+    "parent part path pattern price process product project property query range reader record reference region release report request resource response result return root row rule sample schema "
+    "search section select server service session set shape size source start state status string style submodel table target task template text thread time title total type unit update user value version view width window write"
+)
 #: Rows of the ordinary sample are those whose hash falls below a share of the table that yields about so many documents.
 ORDINARY_DOCUMENTS = 64
 RANDOM_STRINGS = 1000
+UNSEEN = 0.2
 #: Nats in total and for each pair of neighbours from which a candidate counts as random.
-LEAST_RATIO, LEAST_MEAN = 20.0, 0.8
+LEAST_RATIO, LEAST_MEAN = 18.0, 0.75
 
 
 def labelled_samples(spark: SparkSession, df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -45,14 +55,15 @@ def labelled_samples(spark: SparkSession, df: DataFrame, text_col: str = "text")
     made = spark.range(RANDOM_STRINGS).select(F.lit(True).alias("random"), F.explode(F.array(digest, F.upper(digest), base64, F.translate(base64, "+/=", "-_"), F.upper(base64), F.lower(base64))).alias("token"))
     share = min(1.0, ORDINARY_DOCUMENTS / rows) if rows else 1.0
     picked = df.select(F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    words = picked.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,30}"), F.lit(0))).alias("word"))
+    words = picked.select(F.explode(F.regexp_extract_all("text", F.lit(LONE_WORD), F.lit(0))).alias("word"))
+    words = words.unionAll(spark.range(1).select(F.explode(F.split(F.lit(WORDS), " ")).alias("word")))
     low, head = F.lower("word"), F.initcap("word")
     shapes = F.array(low, F.upper("word"), head, F.concat(low, head), *(F.concat(low, F.lit(x), low) for x in "_-/="), F.concat(low, F.length("word").cast("string")))
     return made.unionByName(words.select(F.lit(False).alias("random"), F.explode(shapes).alias("token")))
 
 
 def ratio_table(samples: DataFrame) -> list[float]:
-    """log P(b | a, random) / P(b | a, ordinary) for all a, b of ALPHABET, row by row, with add-one smoothing."""
+    """log P(b | a, random) / P(b | a, ordinary) for all a, b of ALPHABET, row by row; unseen pairs count UNSEEN."""
     pairs = samples.select("random", F.explode(F.expr("transform(sequence(1, greatest(length(token) - 1, 1)), i -> substring(token, i, 2))")).alias("pair"))
     pairs = pairs.filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n"))
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.collect()}
@@ -61,7 +72,7 @@ def ratio_table(samples: DataFrame) -> list[float]:
         for a in ALPHABET:
             total = sum(counts.get((random, a + b), 0) for b in ALPHABET)
             for b in ALPHABET:
-                logs[random, a + b] = math.log((counts.get((random, a + b), 0) + 1) / (total + len(ALPHABET)))
+                logs[random, a + b] = math.log((counts.get((random, a + b), 0) + UNSEEN) / (total + UNSEEN * len(ALPHABET)))
     return [round(logs[True, a + b] - logs[False, a + b], 6) for a in ALPHABET for b in ALPHABET]
 
 
