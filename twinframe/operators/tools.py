@@ -135,3 +135,28 @@ def nearest_fields(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
     near = corpus.join(F.broadcast(queries), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(square, 6).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def sql_read(graph: Graph, statement: str) -> DataFrame:
+    """One SELECT over the graph's tables; ValueError for anything that is not a lone query."""
+    text = statement.strip().rstrip(";")
+    if ";" in text or not re.match(r"(?is)^(select|with)\b", text) or re.search(r"(?i)\b(insert|create|drop|alter|truncate|merge|update|delete|set|load|cache|refresh|use)\b", re.sub(r"'[^']*'", "''", text)):
+        raise ValueError("Only a single SELECT is allowed")
+    for name in ("shells", "submodels", "elements", "concepts", "bridge"):
+        getattr(graph, name).createOrReplaceTempView(name)
+    return graph.spark.sql(text)
+
+
+def capped(rows: DataFrame, most: int = 200) -> tuple[list[dict], int]:
+    """The first rows of a report, and how many there are in all."""
+    return [r.asDict(recursive=True) for r in rows.limit(most).collect()], rows.count()
+
+
+def ask(graph: Graph, query: dict | str) -> DataFrame:
+    """Ids that an AASQL query selects: shells if it names them, else submodels; where that is empty, the other kind."""
+    from ..plans.aasql import compile_query
+
+    text = query if isinstance(query, str) else str(query)
+    first, second = ("aas", "sm") if "$aas" in text else ("sm", "aas")
+    found = compile_query(query, graph, first).select("id")
+    return compile_query(query, graph, second).select("id") if found.isEmpty() else found
