@@ -18,5 +18,5 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         context._twinframe_shipped = True
     # long texts: a batch of rows is held by the executor and by its Python worker at once
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
