@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -52,6 +53,11 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def sampled(key, share: float) -> F.Column:
+    """True for about a share of all keys, the same ones in every run; at least one in 2 to the 40."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)) < math.ceil(share * (1 << 40))
+
+
 def pieces(weights, most: int):
     """Splits 0..len(weights) into runs of at most `most` total weight (a heavier item stands alone)."""
     start, total = 0, 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, sampled
 
 LABELLED = 400
 #: Kinds of tokens kept of the labelled pages, most frequent first.
@@ -121,7 +121,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 def learn(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     """Weights from a bounded sample of pages."""
     share = min(1.0, LABELLED / max(pages.count(), 1))
-    picked = pages.select(F.col(html_col).alias("html")).filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    picked = pages.select(F.col(html_col).alias("html")).filter(sampled("html", share))
 
     def count(values):
         out = []

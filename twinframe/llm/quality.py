@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, utf8
+from .common import add_columns, sampled, utf8
 
 LABELLED, PAIRS, THRESHOLD = 4000, 20_000, 0.3
 LETTERS = string.ascii_letters.encode() + bytes(range(0x80, 0x100))
@@ -99,7 +99,7 @@ def score_quality(df: DataFrame, documents: DataFrame, labels: DataFrame, id_col
     """df with `score` and `predicted`, learned from labels (id, label 0 or 1) and the texts that documents has for them."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id IS NOT NULL AND label IN (0, 1)").distinct()
     share = min(1.0, LABELLED / max(known.count(), 1))
-    known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * LABELLED)
+    known = known.filter(sampled("id", share)).limit(2 * LABELLED)
     read = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     described = add_columns(read, [("x", "array<double>", pa.list_(pa.float64()))], lambda texts: [[features(t) for t in texts]], "text").select("id", "x", "label")
     rows = sorted(described.collect(), key=lambda r: (r["id"], r["x"], r["label"]))

@@ -21,6 +21,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Fixed patterns and the least length of a match (of group 2 for assign).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -54,7 +56,7 @@ def labelled_samples(spark: SparkSession, df: DataFrame, text_col: str = "text")
     base64 = F.base64(F.unhex(digest))
     made = spark.range(RANDOM_STRINGS).select(F.lit(True).alias("random"), F.explode(F.array(digest, F.upper(digest), base64, F.translate(base64, "+/=", "-_"), F.upper(base64), F.lower(base64))).alias("token"))
     share = min(1.0, ORDINARY_DOCUMENTS / rows) if rows else 1.0
-    picked = df.select(F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    picked = df.select(F.col(text_col).alias("text")).filter(sampled("text", share))
     words = picked.select(F.explode(F.regexp_extract_all("text", F.lit(LONE_WORD), F.lit(0))).alias("word"))
     words = words.unionAll(spark.range(1).select(F.explode(F.split(F.lit(WORDS), " ")).alias("word")))
     low, head = F.lower("word"), F.initcap("word")
