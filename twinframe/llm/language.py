@@ -5,7 +5,7 @@ language's text; the language whose phrases cost fewest bits (their number times
 the language's share of labelled rows, which decides between a few phrases) wins.
 Many texts are walked through the automata at once, one character a step, as gathers from one transition table.
 
-Training reads at most SAMPLE_DOCUMENTS labelled rows a language, REFERENCE_CHARS characters of text in all (fewer where there are more than
+Training takes the REFERENCE_TOTAL / 1000 most frequent languages at most and reads SAMPLE_DOCUMENTS labelled rows a language, REFERENCE_CHARS characters of text in all (fewer where there are more than
 REFERENCE_TOTAL / REFERENCE_CHARS languages), so the broadcast table stays below about
 REFERENCE_TOTAL * 2 * CLASSES * 4 bytes. Prediction is a scan without a shuffle.
 
@@ -28,7 +28,7 @@ from .common import add_columns, pieces
 SAMPLE_DOCUMENTS, REFERENCE_CHARS, REFERENCE_TOTAL = 64, 12_000, 240_000
 #: Character classes: 0 is everything but letters, 1 rare letters, the rest a letter each.
 CLASSES = 64
-SEGMENT, CHUNK = 512, 2_000_000
+SEGMENT, CHUNK = 512, 500_000
 FIELDS = [("lang_pred", "string", pa.string()), ("score", "double", pa.float64())]
 
 

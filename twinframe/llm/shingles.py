@@ -8,7 +8,7 @@ from .common import utf8
 
 WORDS = 5
 #: Words and bytes hashed at a time; a longer text goes in overlapping parts.
-PART_WORDS, PART_BYTES = 50_000, 1_000_000
+PART_WORDS, PART_BYTES = 25_000, 300_000
 BASE = 0x9E3779B97F4A7C15
 EMPTY = np.zeros(0, np.uint64)
 
