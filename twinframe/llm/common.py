@@ -70,6 +70,25 @@ def pieces(weights, most: int):
         yield start, len(weights)
 
 
+def frugal(run):
+    """run, a generator over batches, with freed memory given back to the system when its task ends: workers live on, and others need the room."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def add_columns(df: DataFrame, fields: list[tuple[str, str, object]], work, of: str) -> DataFrame:
     """df with columns made from Arrow batches of column `of`; a column of df that has a new one's name is replaced.
 
@@ -91,4 +110,4 @@ def add_columns(df: DataFrame, fields: list[tuple[str, str, object]], work, of:
             old = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_of"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in old), *(pa.array(v, type=k) for v, k in zip(made, arrow, strict=True))], names=[*(n for n, _ in old), *names])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
