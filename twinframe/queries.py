@@ -208,12 +208,14 @@ add("operational_latest", lambda spark, sf_dir: operational.latest(spark.read.pa
 add("operational_windows", lambda spark, sf_dir: operational.windows(spark.read.parquet(f"{sf_dir}/events.parquet")).select("start", "event_type", "n"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 
 
-def fields_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fields_near(spark: SparkSession, sf_dir: str, asked: str = "id < 20") -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    return tools.nearest_fields(vectors, vectors.filter("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))).select("query_id", "rank", "id")
+    return tools.nearest_fields(vectors, vectors.filter(asked).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))).select("query_id", "rank", "id")
 
 
 add("knn_fields", fields_near, "SELECT query_id, rank::INTEGER AS rank, id FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id) WHERE rank <= 5")
+#: The same search for every fiftieth id, so that the queries grow with the table.
+add("knn_fields_every_50", lambda spark, sf_dir: fields_near(spark, sf_dir, "id % 50 = 0"), "SELECT query_id, rank::INTEGER AS rank, id FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5")
 
 #: Where a violation of a rule shows, below its submodel.
 PLACES = {"002": "/1bad", "005": "", "022": "", "107": "/L/0", "108": "/L/0", "109": "/L", "114": "/L", "119": "", "120": "/L/0", "131": "", "133": "", "134": "/O", "138": "/L"}
