@@ -37,8 +37,10 @@ LOOKALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁһԛԝΑΒΕ
 SIGNS = {"․": ".", "。": ".", "﹒": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹢": "+", "﹫": "@", " ": " ", " ": " ", " ": " "}
 INVISIBLE = "­​‌‍‎‏⁠﻿"
 ODD = re.compile("[" + "".join(LOOKALIKES) + "".join(re.escape(c) for c in SIGNS if c not in "–—· ") + INVISIBLE + "０-９Ａ-Ｚａ-ｚ＠．＋－（）\U0001d400-\U0001d7ff①-⑨⓪⁰¹²³⁴-⁹₀-₉٠-٩۰-۹०-९]")
+#: Signs that are ordinary in prose: dashes are rewritten between digits or their brackets, middle dots between letters or digits, no-break spaces anywhere.
+ORDINARY = re.compile("(?<=[0-9)])[–—](?=[0-9(])|(?<=[A-Za-z0-9])·(?=[A-Za-z0-9])|\u00a0")
 WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
-DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:{WORD}|[0-9])(?:(?:[\s,.-]{{1,2}})(?:{WORD}|[0-9])){{3,}}(?!\w)")
+DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:{WORD}|[0-9])(?:(?:[\s,.–—-]{{1,2}})(?:{WORD}|[0-9])){{3,}}(?!\w)")
 SPELLED_ONE = re.compile(rf"(?i)(?<!\w)({WORD})(?!\w)")
 AT_WORD, DOT_WORD = "at|arroba|chez", "dot|punkt|point|punto"
 BRACKETED = re.compile(rf"(?i)\s*[\[({{<]\s*(?:({AT_WORD}|@)|({DOT_WORD}|\.))\s*[\])}}>]\s*")
@@ -120,17 +122,18 @@ def folded(m: re.Match) -> str:
 def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans that the patterns find only in the rewritten text."""
     low = text.lower()
-    odd = not text.isascii() and ODD.search(text)
+    odd = not text.isascii() and (ODD.search(text) or ORDINARY.search(text))
     spelled = DIGIT_RUN.search(text) is not None
     bracketed = ("[" in text or "(" in text or "{" in text or "<" in text) and BRACKETED.search(text)
     spaced = "@" in text and SPACED_AT.search(text) is not None
-    if not (odd or spelled or bracketed or spaced or DOTS.search(low)):
+    if not (odd or spelled or bracketed or spaced or DOTS.search(low) or ("plus" in low and PLUS.search(text)) or BARE.search(text)):
         return []
     r = Rewritten(text)
     if odd:
         r.transduce(ODD, folded)
+        r.transduce(ORDINARY, folded)
     # a run of spelled digits becomes digits without what stands between them, unless that is a dot
-    r.transduce(DIGIT_RUN, lambda m: re.sub(r"[\s,-]+", "", SPELLED_ONE.sub(lambda w: str(SPELLED[w[1].lower()]), m[0])) if SPELLED_ONE.search(m[0]) else None)
+    r.transduce(DIGIT_RUN, lambda m: re.sub(r"[\s,–—-]+", "", SPELLED_ONE.sub(lambda w: str(SPELLED[w[1].lower()]), m[0])) if SPELLED_ONE.search(m[0]) else None)
     r.transduce(PLUS, lambda m: "+")
     r.transduce(BRACKETED, lambda m: "@" if m[1] else ".")
     r.transduce(BARE, lambda m: "@")
