@@ -3,7 +3,7 @@
 Equal vectors form one node, which keeps its KEEP smallest ids: no answer needs more of them. The graph starts from exact
 neighbours within small blocks of nodes that lie side by side in the order of random projections (blocks are equal runs of a global sort, so
 no dense region makes a large one). Then each round joins every node's neighbours, forward and backward, with their vectors,
-compares the neighbours of a node with one another, and keeps the best for each. Searches start at a node's own
+compares the neighbours of a node with one another, and keeps the best for each, until a round changes at most SETTLED of all entries. Searches start at a node's own
 neighbours and expand the best candidates not yet expanded, all queries in step, until none is left among the best BEAM.
 
 Scale: a round moves about 2 K vectors a node and nothing is held for all nodes anywhere; a much-linked node passes on its K nearest
@@ -24,12 +24,12 @@ from twinframe.session import ship
 
 from .common import add_columns, cut
 
-#: Neighbours of a node, best ones that a node learns from one comparison, rounds.
-K, LEARNED, ROUNDS = 28, 14, 3
+#: Neighbours of a node, best ones that a node learns from one comparison, share of entries that the last round changes at most.
+K, LEARNED, SETTLED = 28, 14, 0.01
 #: Random projections, planes of each whose sides come first in its order, nodes of a block.
 PROJECTIONS, PLANES, BLOCK = 14, 4, 3072
-#: Candidates of a query, how many it expands a round, and rounds at most.
-BEAM, EXPANDED, SEARCHES = 128, 32, 6
+#: Candidates of a query, and how many it expands a round.
+BEAM, EXPANDED = 128, 32
 KEEP = 11
 GRAPH = "node long, nbrs array<long>, dists array<double>"
 GRAPH_ARROW = pa.schema([("node", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
@@ -109,7 +109,9 @@ def best_of(lists: DataFrame) -> DataFrame:
             for node, lots in runs(batches, "node", "nbrs", "dists"):
                 found = {}
                 for ids, dists in lots:
-                    found.update(zip(ids, dists, strict=True))
+                    for i, d in zip(ids, dists, strict=True):
+                        # the least of a pair's measurements, so that lists only improve and rounds come to an end
+                        found[i] = min(d, found.get(i, d))
                 near = sorted(found.items(), key=lambda x: (x[1], x[0]))[:K]
                 yield {"node": node, "nbrs": [i for i, _ in near], "dists": [d for _, d in near]}
 
@@ -164,6 +166,16 @@ def descend(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     return best_of(graph.union(met.mapInArrow(meet, GRAPH)))
 
 
+def settle(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+    """Rounds until few entries change."""
+    while True:
+        before, graph = graph, cut(descend(graph, nodes, kind))
+        both = graph.join(before.select("node", F.col("nbrs").alias("old")), "node", "left")
+        entries = both.agg(F.sum(F.size("nbrs")).alias("n"), F.sum(F.size(F.array_except("nbrs", F.coalesce("old", F.array().cast("array<long>"))))).alias("fresh")).first()
+        if not entries["n"] or entries["fresh"] <= SETTLED * entries["n"]:
+            return graph
+
+
 def measured(pairs: DataFrame, kind: str) -> DataFrame:
     """pairs (…, va, vb) with the exact distance `dist` in place of the vectors."""
 
@@ -182,7 +194,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str) ->
     asked = queries.join(nodes.withColumnRenamed("node", "q"), "q").select("q", F.col("vec").alias("va"))
     state, fresh = None, hop.join(queries, hop.node == queries.q).select("q", "cand").distinct()
     by_distance = Window.partitionBy("q").orderBy("dist", "cand")
-    for _ in range(SEARCHES):
+    while True:
         met = measured(fresh.join(nodes.select(F.col("node").alias("cand"), F.col("vec").alias("vb")), "cand").join(asked, "q").select("q", "cand", "va", "vb"), kind).withColumn("done", F.lit(False))
         state = cut((met if state is None else state.union(met)).withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= BEAM).drop("rank"))
         ranked = state.withColumn("turn", F.sum(F.when(F.col("done"), 0).otherwise(1)).over(by_distance)).withColumn("go", ~F.col("done") & (F.col("turn") <= EXPANDED))
@@ -205,9 +217,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
     rows = read.filter(F.length("vec") == usual).withColumn("place", F.row_number().over(Window.partitionBy(F.sha2("vec", 256)).orderBy("id"))).filter(F.col("place") <= keep + k)
     nodes_all = cut(rows.groupBy("vec").agg(F.slice(F.sort_array(F.collect_set("id")), 1, keep).alias("ids")).withColumn("node", F.col("ids")[0]))
     nodes, count = nodes_all.select("node", "vec"), nodes_all.count()
-    graph = cut(first_graph(nodes, kind, count, usual // int(kind[1]), seed))
-    for _ in range(ROUNDS):
-        graph = cut(descend(graph, nodes, kind))
+    graph = settle(cut(first_graph(nodes, kind, count, usual // int(kind[1]), seed)), nodes, kind)
     asked = cut(read.filter(F.length("vec") == usual).join(queries.select(F.col("query_id").alias("id")).distinct(), "id").distinct().join(nodes_all.select("vec", "node"), "vec").select(F.col("id").alias("query_id"), F.col("node").alias("q")))
     found = search(graph, nodes, asked.select("q").distinct(), kind)
     same = asked.select("q").distinct().select("q", F.col("q").alias("cand"), F.lit(0.0).alias("dist"))
