@@ -1,13 +1,17 @@
 """Main text of web pages as the maximum-scoring subsequence of their words and tags.
 
-A page is a sequence of tokens: each word scores by where it stands (its nearest block with its class, or a link), usually above zero, each
-tag scores below. The weights are log odds of lying within the content, counted over labelled pages: those that mark their content by
-exactly one article or main element. One linear scan finds the contiguous run of the highest sum; what lies in elements that never hold content is left out of it.
+A page is a sequence of tokens: each word scores by the element that it stands in, usually above zero, each tag below. Weights are log odds
+of lying within the content, counted over labelled pages: those that mark their content by exactly one article or main element. One linear
+scan finds the contiguous run of the highest sum. Left out of it are elements that by the meaning of their tag hold no main text, and boxes whose
+name (a class, id or role) speaks against content by its weight: counts of words in boxes of that name, inside and outside marked
+content, with PRIOR words outside for names made of FURNITURE. On a page that marks its content, marked words score above zero and others below.
 
-Training reads at most LABELLED pages, of which only token counts reach the driver. Extraction is one scan without a shuffle.
+Training reads at most about LABELLED pages, of which only token counts reach the driver. Extraction is one scan without a shuffle, linear in a
+page's length whatever its markup.
 
-Cases: null and empty pages give an empty text; unclosed and stray tags close by nesting as far as they can; without
-labelled pages default weights hold; repeated rows get equal results; an empty table gives no rows; columns of the results' names are replaced.
+Cases: null and empty pages give an empty text; unclosed and stray tags close by nesting as far as they can; a quote that is not closed ends with
+its tag; a tag that the page's end cuts off is dropped; without labelled pages default weights hold; repeated rows get equal results; an empty
+table gives no rows; columns of the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import html
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,94 +31,308 @@ from .common import add_columns, sampled
 LABELLED = 400
 #: Kinds of tokens kept of the labelled pages, most frequent first.
 KINDS = 2000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL | re.IGNORECASE)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-#: Elements within a line of text, those without content, and those that never hold main text.
+#: Words outside content that a box of a furniture name is taken to have held before any page is read, and the log odds below which a box is left out.
+PRIOR, LEFT_OUT = 50, -1.5
+NAME = re.compile(r"[^\s/>]+")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+#: Elements within a line of text, those without content, those whose inside is no markup of the page, and those that never hold main text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head title nav header footer aside form button select option textarea menu dialog input".split())
+RAW = frozenset(("script", "style"))
+SKIPPED = RAW | frozenset(("noscript", "template", "svg", "iframe", "object"))
+NEVER = frozenset("head title nav header footer aside form button select option textarea menu dialog input audio video canvas".split())
 CONTENT = frozenset(("article", "main"))
-NOTICE = re.compile(r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|share|social|sidebar|side|related|recommend\w*|comment\w*|replies|respond|disqus|breadcrumb\w*|nav\w*|menu|footer|header|masthead|toolbar|pagination|pager|widget|login|search)(?:$|[\s_-])")
-
-
-def tokens(page: str):
-    """(kind, text, kept) of each piece of a page: kind names the tag, or where a text stands; kept is false in elements that never hold content."""
-    stack: list[tuple[str, str, bool]] = []
-    inside = 0  # article or main elements that are open
-    for m in TOKEN.finditer(page):
-        piece = m[0]
-        if m[3]:
-            tag = m[3].lower()
-            if m[2]:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if at is not None:
-                    inside -= sum(t in CONTENT for t, _, _ in stack[at:])
-                    del stack[at:]
-                yield f"/{tag}", None, not stack or stack[-1][2], inside, tag not in INLINE
-                continue
-            names = " ".join(next(filter(None, a), "") for a in ATTRIBUTE.findall(m[4]))
-            if tag == "p" or tag == "li":  # an open paragraph or item ends where the next one begins
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or stack[i][0] in ("ul", "ol", "div", "article", "section", "td")), None)
-                if at is not None and stack[at][0] == tag:
-                    del stack[at:]
-            never = tag in NEVER and not (tag == "header" and inside) or (names and tag not in CONTENT and tag not in ("body", "html") and NOTICE.search(names) is not None)
-            keep = (not stack or stack[-1][2]) and not never
-            place = tag if tag != "a" else f"a in {stack[-1][1] if stack else ''}"
-            label = f"{place}.{names.split()[0].lower()}" if names.split() and tag != "a" else place
-            if tag not in VOID and not m[4].endswith("/"):
-                stack.append((tag, stack[-1][1] if tag in INLINE and tag != "a" and stack else label, keep))
-                inside += tag in CONTENT
-            yield tag, None, keep, inside, tag not in INLINE
-        elif piece[0] != "<" or len(piece) == 1:
-            yield f"word in {stack[-1][1] if stack else ''}", html.unescape(piece), not stack or stack[-1][2], inside, False
+#: Where a search for an open paragraph or item ends.
+BOUNDS = frozenset("ul ol div article section td".split())
+#: Words that name furniture of a page, and words that say nothing about what a box holds.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices notification popup modal overlay dialog alert newsletter "
+    "subscribe subscription signup share sharing social sidebar sidebars related recommended recommendations comment comments commentlist respond replies disqus breadcrumb breadcrumbs nav navbar navigation menu menus "
+    "footer header masthead toolbar pagination pager widget widgets login search complementary contentinfo".split()
+)
+NEUTRAL = frozenset(
+    "box boxes list lists wrapper wrap area section sections container containers content inner outer left right top bottom main item items block blocks bar unit slot group panel pane row col column region zone form link links "
+    "post posts articles stories button buttons icon icons text title heading label thread space placeholder primary secondary site page global mobile desktop sticky fixed floating float".split()
+)
+
+
+def furniture(name: str) -> bool:
+    """Whether a box's name is made of words for furniture, with neutral ones at most: sidebar-left is, market-share is not."""
+    parts = [p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if p]
+    return any(p in FURNITURE for p in parts) and all(p in FURNITURE or p in NEUTRAL for p in parts)
+
+
+@dataclass(slots=True)
+class Element:
+    tag: str
+    parent: int
+    names: list[str]
+    inside: bool  # of marked content
+    holds: bool = False  # marked content
+
+
+@dataclass(slots=True)
+class Page:
+    """Elements, the first of them the page, and tokens: (tag or None, text or None, element)."""
+
+    elements: list[Element]
+    tokens: list[tuple[str | None, str | None, int]] = field(default_factory=list)
+    marked: str | None = None
+
+
+def scan(page: str):
+    """(tag, attributes, text) of each piece: a start tag with its attributes, an end tag as /tag, or text. Each character is looked at a bounded number of times."""
+    n, at, absent = len(page), 0, set()
+    last = page.rfind(">")
+
+    def find(pattern: re.Pattern | str, start: int) -> int:
+        # what is found nowhere after one place is found nowhere after a later one
+        if pattern in absent:
+            return -1
+        if isinstance(pattern, str):
+            found = page.find(pattern, start)
+        else:
+            m = pattern.search(page, start)
+            found = m.start() if m else -1
+        if found < 0:
+            absent.add(pattern)
+        return found
+
+    def tag_end(start: int) -> int:
+        """Place of the sign that ends a start tag; a quoted value may hold it, if its quote is closed before a space, a slash or the tag's end."""
+        while True:
+            m = STOP.search(page, start)
+            if not m or m[0] == ">":
+                return m.start() if m else -1
+            quote = m[0][-1]
+            close = find(quote, m.end())
+            inner = page.find(">", m.end(), close if close >= 0 else n)
+            if inner >= 0 and (close < 0 or (close + 1 < n and page[close + 1] not in " \t\r\n\f/>")):
+                return inner
+            if close < 0:
+                return -1
+            start = close + 1
+
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield None, None, page[at:]
+            return
+        if lt > at:
+            yield None, None, page[at:lt]
+        head = page[lt + 1 : lt + 2]
+        if page.startswith("<!--", lt):
+            stop = find("-->", lt + 2)
+            at = stop + 3 if stop >= 0 else n
+        elif page.startswith("<![CDATA[", lt):
+            stop = find("]]>", lt)
+            at = stop + 3 if stop >= 0 else n
+        elif head in ("!", "?"):
+            at = page.find(">", lt) + 1 if lt < last else n
+        elif head == "/" and page[lt + 2 : lt + 3].isalpha():
+            if lt > last:
+                return
+            at = page.find(">", lt) + 1
+            yield "/" + NAME.match(page, lt + 2)[0].lower(), "", None
+        elif head.isalpha() and head.isascii():
+            stop = tag_end(lt + 1) if lt < last else -1
+            if stop < 0:
+                return
+            name = NAME.match(page, lt + 1, stop)[0]
+            tag, at = name.lower(), stop + 1
+            if tag in SKIPPED:
+                end = find(END[tag], at)
+                if end >= 0 or tag in RAW:
+                    close = page.find(">", end) if end >= 0 else -1
+                    at = close + 1 if close >= 0 else n
+            else:
+                yield tag, page[lt + 1 + len(name) : stop], None
+        else:
+            yield None, None, "<"
+            at = lt + 1
+
+
+STOP = re.compile(r">|=\s*[\"']")
+END = {t: re.compile(rf"</{t}(?![a-z0-9])", re.IGNORECASE) for t in SKIPPED}
+
+
+def read(page: str) -> Page:
+    """The elements and tokens of a page."""
+    found = Page([Element("", 0, [], False)])
+    elements, stack, opened, marks = found.elements, [0], Counter(), []
+    pieces = list(scan(page))
+    tags = {tag for tag, _, _ in pieces if tag in CONTENT}
+    found.marked = "article" if "article" in tags else "main" if tags else None
+
+    def close(depth: int) -> None:
+        for e in stack[depth:]:
+            opened[elements[e].tag] -= 1
+        del stack[depth:]
+        while marks and marks[-1] >= depth:
+            marks.pop()
+
+    for tag, attributes, text in pieces:
+        if text is not None:
+            found.tokens.append((None, html.unescape(text), stack[-1]))
+            continue
+        if tag[0] == "/":
+            if opened[tag[1:]]:
+                depth = len(stack) - 1
+                while elements[stack[depth]].tag != tag[1:]:
+                    depth -= 1
+                close(depth)
+            found.tokens.append((tag, None, stack[-1]))
+            continue
+        if tag in ("p", "li"):  # an open paragraph or item ends where the next one begins
+            for depth in reversed(marks[-2:]):
+                below = elements[stack[depth]].tag
+                if below == tag:
+                    close(depth)
+                if below == tag or below in BOUNDS or tag == "p":
+                    break
+        names = [x for a in ATTRIBUTE.findall(attributes) for x in next(filter(None, a), "").split()] if "=" in attributes else []
+        parent = stack[-1]
+        e = Element(tag, parent, names, elements[parent].inside or tag == found.marked)
+        elements.append(e)
+        if tag == found.marked:
+            up = parent
+            while up and not elements[up].holds:
+                elements[up].holds = True
+                up = elements[up].parent
+        found.tokens.append((tag, None, len(elements) - 1))
+        if tag not in VOID and not attributes.endswith("/"):
+            if tag in BOUNDS or tag in ("p", "li"):
+                marks.append(len(stack))
+            stack.append(len(elements) - 1)
+            opened[tag] += 1
+    return found
+
+
+def left_out(page: Page, against) -> list[bool]:
+    """Of each element, whether it holds no main text: by its tag, by a name that is against, or since its parent does not."""
+    out = [False]
+    for e in page.elements[1:]:
+        titled = e.inside and e.tag != page.marked
+        never = e.tag in NEVER and not (e.tag == "header" and titled)
+        if not never and e.names and not e.holds and e.tag not in CONTENT and e.tag not in ("html", "body"):
+            never = any(against(x) and not (titled and x.lower() == "header") for x in e.names)
+        out.append(out[e.parent] or never)
+    return out
+
+
+def places(page: Page) -> list[str]:
+    """For each element, the kind of the words that stand in it: by the nearest block, and links apart."""
+    kinds = ["word in page"]
+    for e in page.elements[1:]:
+        if e.tag == "a":
+            kinds.append(kinds[e.parent] if kinds[e.parent].endswith(" link") else kinds[e.parent] + " link")
+        else:
+            kinds.append(kinds[e.parent] if e.tag in INLINE else f"word in {e.tag}")
+    return kinds
 
 
 def counts(page: str | None) -> tuple[Counter, Counter]:
-    """Of a page that marks its content by one element, the tokens inside and outside it; of others, none."""
+    """Of a page that marks its content by one element, the tokens inside and outside it, and the words in its boxes; of others, none.
+
+    What holds no main text by its tag is not counted, boxes of furniture names within the content count as outside it.
+    """
     inner, outer = Counter(), Counter()
-    if page and sum(len(re.findall(rf"(?i)<{t}\b", page)) for t in CONTENT) == 1:
-        for kind, text, _, inside, _ in tokens(page):
-            (inner if inside else outer)[kind] += len(text.split()) if text is not None else 1
+    if not page:
+        return inner, outer
+    found = read(page)
+    if sum(e.tag in CONTENT for e in found.elements) != 1:
+        return inner, outer
+    never, named, kinds = left_out(found, lambda x: False), left_out(found, furniture), places(found)
+    boxes = [[]]
+    for e in found.elements[1:]:
+        own = [] if e.holds or e.tag in CONTENT or e.tag in ("html", "body") else [x.lower() for x in e.names]
+        boxes.append(boxes[e.parent] + own if own and len(boxes[e.parent]) < 8 else boxes[e.parent])
+    for tag, text, e in found.tokens:
+        if never[e]:
+            continue
+        to = inner if found.elements[e].inside and not named[e] else outer
+        if tag:
+            to[tag] += 1
+            continue
+        n = len(text.split())
+        if not named[e]:
+            to[kinds[e]] += n
+        for x in set(boxes[e]):
+            to[f"box {x}"] += n
     return inner, outer
 
 
 def weights_of(rows: list[tuple[str, int, int]]) -> dict[str, float]:
-    """Log odds of each kind of token, words held above and tags below zero unless their counts speak clearly otherwise."""
-    total_in, total_out = sum(r[1] for r in rows) + 1, sum(r[2] for r in rows) + 1
+    """Log odds of each kind of token and of each box's name, tags below zero."""
+    tokens = [r for r in rows if not r[0].startswith("box ")]
+    total_in, total_out = sum(r[1] for r in tokens) + 1, sum(r[2] for r in tokens) + 1
     found = {}
     for kind, inner, outer in rows:
         odds = math.log((inner + 1) / (total_in + 2)) - math.log((outer + 1) / (total_out + 2))
-        word = kind.startswith("word in")
-        found[kind] = max(-4.0, min(2.0, odds)) if word else max(-2.5, min(-0.5, odds))
+        if kind.startswith("box "):
+            found[kind] = box_odds(kind[4:], inner, outer)
+        else:
+            found[kind] = max(-4.0, min(2.0, odds)) if kind.startswith("word in") else max(-2.5, min(-0.1, odds))
     return found
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The text of the best run of tokens."""
-    if not page:
-        return ""
-    pieces = list(tokens(page))
-    best, best_span, total, begin = 0.0, None, 0.0, 0
-    for i, (kind, text, keep, _, _) in enumerate(pieces):
-        if text is not None:
-            n = len(text.split())
-            score = n * (weights.get(kind, 1.0) if keep else min(weights.get(kind, -1.0), -0.5))
-        else:
-            score = weights.get(kind, -0.7)
+def box_odds(name: str, inner: int = 0, outer: int = 0) -> float:
+    return math.log((inner + 1) / (outer + 1 + (PRIOR if furniture(name) else 0)))
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Begin and stop of the contiguous run of the highest sum above zero, the first of equal ones; (0, 0) if there is none."""
+    best, span, total, begin = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, i
         total += score
         if total > best:
-            best, best_span = total, (begin, i + 1)
-    if best_span is None:
+            best, span = total, (begin, i + 1)
+    return span
+
+
+def scored(page: Page, weights: dict[str, float], out: list[bool]) -> list[float]:
+    """The score of each token."""
+    kinds, scores = places(page), []
+    for tag, text, e in page.tokens:
+        inside = page.elements[e].inside
+        if out[e]:
+            # within marked content it is passed over
+            score = 0.0 if inside else -0.5 * (len(text.split()) if tag is None else 1)
+        elif tag:
+            score = -0.1 if inside else weights.get(tag, -0.7)
+        else:
+            word = weights.get(kinds[e], 1.0)
+            word = word if page.marked is None else max(word, 0.5) if inside else min(word, -0.5)
+            score = word * len(text.split())
+        scores.append(score)
+    return scores
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    """The text of the best run of tokens."""
+    if not page:
         return ""
+    found, known = read(page), {}
+
+    def against(name: str) -> bool:
+        name_low = name.lower()
+        if name not in known:
+            odds = weights.get(f"box {name_low}")
+            known[name] = (box_odds(name) if odds is None else odds) < LEFT_OUT
+        return known[name]
+
+    out = left_out(found, against)
+    begin, stop = best_run(scored(found, weights, out))
     blocks, line = [], []
-    for _, text, keep, _, breaks in pieces[slice(*best_span)]:
-        if breaks:
+    for tag, text, e in found.tokens[begin:stop]:
+        if tag is None:
+            if not out[e]:
+                line.append(text)
+        elif tag.removeprefix("/") not in INLINE:
             blocks.append("".join(line))
             line = []
-        elif text is not None and keep:
-            line.append(text)
     blocks.append("".join(line))
     return " ".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
@@ -121,7 +340,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 def learn(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     """Weights from a bounded sample of pages."""
     share = min(1.0, LABELLED / max(pages.count(), 1))
-    picked = pages.select(F.col(html_col).alias("html")).filter(sampled("html", share))
+    picked = pages.select(F.col(html_col).alias("html")).filter(sampled("html", share)).distinct()
 
     def count(values):
         out = []
