@@ -1,20 +1,24 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors form one node, which keeps its KEEP smallest ids: no answer needs more of them. The graph starts from exact
-neighbours within small blocks of nodes that lie side by side in the order of random projections (blocks are equal runs of a global sort, so
-no dense region makes a large one). Then each round joins every node's neighbours, forward and backward, with their vectors,
-compares the neighbours of a node with one another, and keeps the best for each, until a round changes at most SETTLED of all entries. Searches start at a node's own
-neighbours and expand the best candidates not yet expanded, all queries in step, until none is left among the best BEAM.
+Equal vectors form one node, which keeps its KEEP smallest ids: no answer needs more of them. The graph starts from neighbours within small
+blocks of nodes that lie side by side in the order of random projections (equal runs of a global sort, so no dense region makes a large one); of a large
+table they know only few true neighbours. Then each round joins every node's neighbours, forward and backward, with their vectors and
+compares the neighbours of a node with one another, unless both were there when the round before did so. Each node keeps the nearest it has met. Rounds end when one
+changes at most `settled` of all entries. Searches start at a node's own neighbours and expand the best candidates not yet expanded, all
+queries in step, until none is left among the best `beam`.
 
-Scale: a round moves about 2 K vectors a node and nothing is held for all nodes anywhere; a much-linked node passes on its K nearest
-back links only. Recall is measured by the tests against brute force.
+Scale: a round moves about 2 k rounded vectors a node and what beats the worst entry of its list; nothing is held for all nodes anywhere. A much-linked
+node passes on its k nearest back links only, and lists that reach it are merged as they come. Candidates are chosen by vectors rounded to half precision under
+each vector's own power of two, in double arithmetic; scores are exact. Tests and README give recall before and after the rounds.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do those of another length than most; ties go to
-the smaller id; repeated rows of an id count once; with fewer candidates than k, all are returned; an empty table gives no rows; other columns are not read.
+the smaller id; repeated rows of an id count once, and one with several vectors is as near as the nearest of them; with fewer candidates than k, all are returned; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,33 +28,62 @@ from twinframe.session import ship
 
 from .common import add_columns, cut
 
-#: Neighbours of a node, best ones that a node learns from one comparison, share of entries that the last round changes at most.
-K, LEARNED, SETTLED = 28, 14, 0.01
-#: Random projections, planes of each whose sides come first in its order, nodes of a block.
-PROJECTIONS, PLANES, BLOCK = 14, 4, 3072
-#: Candidates of a query, and how many it expands a round.
-BEAM, EXPANDED = 128, 32
+
+class Sizes(NamedTuple):
+    """Neighbours of a node; the most a node learns from one comparison; share of entries that the last round changes at most; random projections, planes of
+    each whose sides come first in its order, nodes of a block; candidates of a query, and how many it expands a round."""
+
+    k: int = 32
+    learned: int = 12
+    settled: float = 0.05
+    projections: int = 6
+    planes: int = 4
+    block: int = 512
+    beam: int = 256
+    expanded: int = 64
+
+
+SIZES = Sizes()
 KEEP = 11
-GRAPH = "node long, nbrs array<long>, dists array<double>"
-GRAPH_ARROW = pa.schema([("node", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64()))])
+#: Entries that a task merges at a time.
+MERGED = 400_000
+GRAPH = "node long, nbrs array<long>, dists array<double>, fresh array<boolean>"
+FOUND = "node long, known boolean, nbrs array<long>, dists array<double>"
 
 
 def packed(kind: str):
-    """Of vectors, their components as bytes of a numpy kind; null where one takes no part. Negative zero is zero."""
+    """Of vectors, their components as bytes of a numpy kind, and the exponent of the greatest; null where one takes no part. Negative zero is zero."""
 
     def pack(vectors):
-        out = []
+        out, exponents = [], []
         for v in vectors:
             a = np.array([np.nan if x is None else x for x in v or ()], kind)
-            out.append((a + a.dtype.type(0)).tobytes() if len(a) and np.isfinite(a).all() and a.any() else None)
-        return [out]
+            good = len(a) and np.isfinite(a).all() and a.any()
+            out.append((a + a.dtype.type(0)).tobytes() if good else None)
+            exponents.append(int(np.frexp(np.abs(a.astype(np.float64)).max())[1]) if good else None)
+        return [out, exponents]
 
     return pack
 
 
-def matrix(column, kind: str) -> np.ndarray:
-    """Vectors in single precision: they only choose candidates."""
-    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float32)
+def rounded(kind: str):
+    """Of packed vectors, components as half-precision numbers under a power of two, whose exponent comes last."""
+
+    def turn(vectors):
+        out = []
+        for v in vectors:
+            a = np.frombuffer(v, kind).astype(np.float64)
+            e = int(np.frexp(np.abs(a).max())[1])
+            out.append(np.ldexp(a, -e).astype(np.float16).tobytes() + np.int16(e).tobytes())
+        return [out]
+
+    return turn
+
+
+def matrix(column: list[bytes], top: int) -> np.ndarray:
+    """Rounded vectors as rows, scaled by two to the power -top."""
+    raw = np.frombuffer(b"".join(column), np.float16).reshape(len(column), -1)
+    return np.ldexp(raw[:, :-1].astype(np.float64), raw[:, -1].copy().view(np.int16).astype(np.int32)[:, None] - top)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,146 +91,201 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def rows_of(batches, *names):
-    for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
-
-
 def runs(batches, key, *names):
     """Rows that follow one another with the same key."""
     last, held = None, []
-    for k, *row in rows_of(batches, key, *names):
-        if held and k != last:
-            yield last, held
-            held = []
-        last = k
-        held.append(row)
+    for batch in batches:
+        for k, *row in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (key, *names)), strict=True):
+            if held and k != last:
+                yield last, held
+                held = []
+            last = k
+            held.append(row)
     if held:
         yield last, held
 
 
-def nearest(ids: np.ndarray, d: np.ndarray, k: int):
-    """For each row of distances d its id and the ids and distances of the k nearest others."""
-    np.fill_diagonal(d, np.inf)
+def nearest(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of ids and their distances: those with a finite one to another id, how many each one gets (k at most), and these ids and distances row by row."""
     d[ids[:, None] == ids[None]] = np.inf
     k = min(k, len(ids) - 1)
     if k < 1:
-        return
+        return ids[:0], ids[:0], ids[:0], d[0, :0]
     best = np.argpartition(d, k - 1, axis=1)[:, :k]
-    for i, row in enumerate(best):
-        row = row[np.isfinite(d[i, row])]
-        if len(row):
-            yield {"node": int(ids[i]), "nbrs": ids[row], "dists": d[i, row]}
-
-
-def gathered(rows, size: int = 20_000):
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema=GRAPH_ARROW)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=GRAPH_ARROW)
-
-
-def best_of(lists: DataFrame) -> DataFrame:
-    """The K nearest of all that the rows of a node list."""
+    near = np.take_along_axis(d, best, 1)
+    there = np.isfinite(near)
+    counts = there.sum(1)
+    some = counts > 0
+    return ids[some], counts[some], ids[best[there]], near[there]
+
+
+def lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def gathered(parts, size: int = 200_000):
+    """Batches of FOUND from what nearest gives."""
+    held, total = [], 0
+
+    def batch():
+        node, counts, nbrs, dists = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.zeros(len(node), bool)), lists(counts, pa.array(nbrs)), lists(counts, pa.array(dists))], names=["node", "known", "nbrs", "dists"])
+
+    for part in parts:
+        held.append(part)
+        total += len(part[2])
+        if total > size:
+            yield batch()
+            held, total = [], 0
+    if total:
+        yield batch()
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all that the rows of a node list; fresh marks those that its known row lacks."""
+
+    def best(node, ids, dists, known):
+        """The k nearest of each node; of one pair's measurements the least, so that lists only improve and rounds come to an end."""
+        order = np.lexsort((dists, ids, node))
+        node, ids, dists, known = node[order], ids[order], dists[order], known[order]
+        head = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])]))
+        known = np.maximum.reduceat(known, head)
+        node, ids, dists = node[head], ids[head], dists[head]
+        order = np.lexsort((ids, dists, node))
+        node, ids, dists, known = node[order], ids[order], dists[order], known[order]
+        rank = np.arange(len(node)) - np.searchsorted(node, node)
+        return tuple(x[rank < k] for x in (node, ids, dists, known))
+
+    def out(node, ids, dists, known):
+        names, counts = np.unique(node, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names), lists(counts, pa.array(ids)), lists(counts, pa.array(dists)), lists(counts, pa.array(~known))], names=["node", "nbrs", "dists", "fresh"])
 
     def merge(batches):
-        def rows():
-            for node, lots in runs(batches, "node", "nbrs", "dists"):
-                found = {}
-                for ids, dists in lots:
-                    for i, d in zip(ids, dists, strict=True):
-                        # the least of a pair's measurements, so that lists only improve and rounds come to an end
-                        found[i] = min(d, found.get(i, d))
-                near = sorted(found.items(), key=lambda x: (x[1], x[0]))[:K]
-                yield {"node": node, "nbrs": [i for i, _ in near], "dists": [d for _, d in near]}
-
-        return gathered(rows())
-
-    return lists.repartition("node").sortWithinPartitions("node").mapInArrow(merge, GRAPH)
-
-
-def first_graph(nodes: DataFrame, kind: str, count: int, width: int, seed: int) -> DataFrame:
-    planes = np.random.default_rng(seed).normal(size=(PROJECTIONS, PLANES + 1, width))
+        held, total = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nbrs = batch.column(2)
+            counts = np.diff(nbrs.offsets.to_numpy())
+            held.append((np.repeat(batch.column(0).to_numpy(), counts), nbrs.flatten().to_numpy(), batch.column(3).flatten().to_numpy(), np.repeat(batch.column(1).to_numpy(zero_copy_only=False), counts)))
+            total += len(held[-1][0])
+            if total > MERGED:
+                node, *rest = best(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                # the last node may go on in the next batch
+                done = node < node[-1]
+                if done.any():
+                    yield out(*(x[done] for x in (node, *rest)))
+                held = [tuple(x[~done] for x in (node, *rest))]
+                total = len(held[0][0])
+        if total:
+            yield out(*best(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return found.repartition("node").sortWithinPartitions("node").mapInArrow(merge, GRAPH)
+
+
+def first_graph(nodes: DataFrame, count: int, width: int, top: int, seed: int, sizes: Sizes = SIZES) -> DataFrame:
+    """Neighbours of nodes (node, coarse) within blocks."""
+    planes = np.random.default_rng(seed).normal(size=(sizes.projections, sizes.planes + 1, width))
 
     def project(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = matrix(batch.column(1).to_pylist(), kind)
-            for r in range(PROJECTIONS):
+            v = matrix(batch.column(1).to_pylist(), top)
+            for r in range(sizes.projections):
                 at = v @ planes[r].T
-                side = ((at[:, 1:] > 0) << np.arange(PLANES)).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), r, np.int64)), pa.array(side.astype(np.int64)), pa.array(at[:, 0].astype(np.float64)), *batch.columns], names=["r", "side", "at", "node", "vec"])
+                side = ((at[:, 1:] > 0) << np.arange(sizes.planes)).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), r, np.int64)), pa.array(side.astype(np.int64)), pa.array(at[:, 0]), *batch.columns], names=["r", "side", "at", "node", "coarse"])
 
     def block(batches):
-        def rows():
-            for _, lot in runs(batches, "r", "node", "vec"):
-                for part in np.array_split(np.arange(len(lot)), -(-len(lot) // BLOCK)):
-                    ids = np.array([lot[i][0] for i in part])
-                    v = matrix([lot[i][1] for i in part], kind)
-                    yield from nearest(ids, distances(v, v), K)
-
-        return gathered(rows())
-
-    dealt = nodes.mapInArrow(project, "r long, side long, at double, node long, vec binary")
-    tasks = max(1, count * PROJECTIONS // (8 * BLOCK))
-    return best_of(dealt.repartitionByRange(tasks, "r", "side", "at", "node").sortWithinPartitions("r", "side", "at", "node").mapInArrow(block, GRAPH))
-
-
-def descend(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+        def parts():
+            held, last = [], None
+            for batch in batches:
+                for r, node, coarse in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                    # a block ends with its projection; what the last full one leaves stays with it
+                    if held and (r != last or len(held) >= 2 * sizes.block):
+                        cutoff = len(held) if r != last else sizes.block
+                        yield from compared(held[:cutoff])
+                        held = held[cutoff:]
+                    last = r
+                    held.append((node, coarse))
+            yield from compared(held)
+
+        def compared(lot):
+            for part in np.array_split(np.arange(len(lot)), max(1, round(len(lot) / sizes.block))):
+                if len(part) > 1:
+                    v = matrix([lot[i][1] for i in part], top)
+                    yield nearest(np.array([lot[i][0] for i in part]), distances(v, v), sizes.k)
+
+        return gathered(parts())
+
+    dealt = nodes.mapInArrow(project, "r long, side long, at double, node long, coarse binary")
+    tasks = max(1, count * sizes.projections // (32 * sizes.block))
+    return best_of(dealt.repartitionByRange(tasks, "r", "side", "at", "node").sortWithinPartitions("r", "side", "at", "node").mapInArrow(block, FOUND), sizes.k)
+
+
+def descend(graph: DataFrame, nodes: DataFrame, top: int, sizes: Sizes = SIZES) -> DataFrame:
     """One round: neighbours of a node meet each other."""
-    edges = graph.select("node", F.explode(F.arrays_zip("nbrs", "dists")).alias("e")).select("node", F.col("e.nbrs").alias("nbr"), F.col("e.dists").alias("dist"))
-    back = edges.withColumn("rank", F.row_number().over(Window.partitionBy("nbr").orderBy("dist", "node"))).filter(F.col("rank") <= K).select(F.col("nbr").alias("hub"), F.col("node").alias("member"))
-    around = edges.select(F.col("node").alias("hub"), F.col("nbr").alias("member")).union(back).distinct()
-    met = around.join(nodes.withColumnRenamed("node", "member"), "member").repartition("hub").sortWithinPartitions("hub")
+    edges = graph.select("node", F.explode(F.arrays_zip("nbrs", "dists", "fresh")).alias("e")).select("node", F.col("e.nbrs").alias("nbr"), F.col("e.dists").alias("dist"), F.col("e.fresh").alias("fresh"))
+    back = edges.withColumn("rank", F.row_number().over(Window.partitionBy("nbr").orderBy("dist", "node"))).filter(F.col("rank") <= sizes.k)
+    around = edges.select(F.col("node").alias("hub"), F.struct(F.col("nbr").alias("member"), "fresh").alias("m")).union(back.select(F.col("nbr").alias("hub"), F.struct(F.col("node").alias("member"), "fresh").alias("m")))
+    # at most 2 k members a hub; where none is fresh, all of them have met
+    hubs = around.groupBy("hub").agg(F.collect_set("m").alias("members")).filter(F.exists("members", lambda m: m["fresh"]))
+    far = F.when(F.size("dists") >= sizes.k, F.array_max("dists")).otherwise(F.lit(float("inf")))
+    vectors = nodes.join(graph.select("node", far.alias("far")), "node", "left").select(F.col("node").alias("member"), "coarse", F.coalesce("far", F.lit(float("inf"))).alias("far"))
+    met = hubs.select("hub", F.inline("members")).join(vectors, "member").select("hub", "member", "fresh", "far", "coarse").repartition("hub").sortWithinPartitions("hub")
 
     def meet(batches):
-        def rows():
-            for _, lot in runs(batches, "hub", "member", "vec"):
-                v = matrix([x[1] for x in lot], kind)
-                yield from nearest(np.array([x[0] for x in lot]), distances(v, v), LEARNED)
+        def parts():
+            for _, lot in runs(batches, "hub", "member", "fresh", "far", "coarse"):
+                v, fresh = matrix([x[3] for x in lot], top), np.array([x[1] for x in lot])
+                d = distances(v, v)
+                d[~(fresh[:, None] | fresh[None]) | (d >= np.array([x[2] for x in lot])[:, None])] = np.inf
+                yield nearest(np.array([x[0] for x in lot]), d, sizes.learned)
 
-        return gathered(rows())
+        return gathered(parts())
 
-    return best_of(graph.union(met.mapInArrow(meet, GRAPH)))
+    return best_of(graph.select("node", F.lit(True).alias("known"), "nbrs", "dists").union(met.mapInArrow(meet, FOUND)), sizes.k)
 
 
-def settle(graph: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+def settle(graph: DataFrame, nodes: DataFrame, top: int, sizes: Sizes = SIZES) -> DataFrame:
     """Rounds until few entries change."""
     while True:
-        before, graph = graph, cut(descend(graph, nodes, kind))
-        both = graph.join(before.select("node", F.col("nbrs").alias("old")), "node", "left")
-        entries = both.agg(F.sum(F.size("nbrs")).alias("n"), F.sum(F.size(F.array_except("nbrs", F.coalesce("old", F.array().cast("array<long>"))))).alias("fresh")).first()
-        if not entries["n"] or entries["fresh"] <= SETTLED * entries["n"]:
+        graph = cut(descend(graph, nodes, top, sizes))
+        entries = graph.agg(F.sum(F.size("nbrs")).alias("n"), F.sum(F.size(F.filter("fresh", lambda x: x))).alias("fresh")).first()
+        if not entries["n"] or entries["fresh"] <= sizes.settled * entries["n"]:
             return graph
 
 
 def measured(pairs: DataFrame, kind: str) -> DataFrame:
     """pairs (…, va, vb) with the exact distance `dist` in place of the vectors."""
 
-
     def exact(both):
         a, b = (np.frombuffer(b"".join(p[k] for p in both), kind).reshape(len(both), -1).astype(np.float64) for k in "ab")
-        return [np.sqrt(((a - b) ** 2).sum(1))]
+        with np.errstate(over="ignore", invalid="ignore"):
+            dist = np.sqrt(((a - b) ** 2).sum(1))
+        large = ~np.isfinite(dist)
+        if large.any():  # squares that no double holds
+            a, b = a[large] / 2, b[large] / 2
+            most = np.abs(a - b).max(1)
+            with np.errstate(over="ignore"):
+                dist[large] = 2 * most * np.sqrt((((a - b) / most[:, None]) ** 2).sum(1))
+        return [dist]
 
     both = pairs.withColumn("both", F.struct(F.col("va").alias("a"), F.col("vb").alias("b"))).drop("va", "vb")
     return add_columns(both, [("dist", "double", pa.float64())], exact, "both").drop("both")
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str) -> DataFrame:
-    """(q, cand, dist): the BEAM nearest nodes that greedy search finds from each node q of queries."""
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str, sizes: Sizes = SIZES) -> DataFrame:
+    """(q, cand, dist): the `beam` nearest nodes that greedy search finds from each node q of queries."""
     hop = graph.select("node", F.explode("nbrs").alias("cand"))
     asked = queries.join(nodes.withColumnRenamed("node", "q"), "q").select("q", F.col("vec").alias("va"))
     state, fresh = None, hop.join(queries, hop.node == queries.q).select("q", "cand").distinct()
     by_distance = Window.partitionBy("q").orderBy("dist", "cand")
     while True:
         met = measured(fresh.join(nodes.select(F.col("node").alias("cand"), F.col("vec").alias("vb")), "cand").join(asked, "q").select("q", "cand", "va", "vb"), kind).withColumn("done", F.lit(False))
-        state = cut((met if state is None else state.union(met)).withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= BEAM).drop("rank"))
-        ranked = state.withColumn("turn", F.sum(F.when(F.col("done"), 0).otherwise(1)).over(by_distance)).withColumn("go", ~F.col("done") & (F.col("turn") <= EXPANDED))
+        state = cut((met if state is None else state.union(met)).withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= sizes.beam).drop("rank"))
+        ranked = state.withColumn("turn", F.sum(F.when(F.col("done"), 0).otherwise(1)).over(by_distance)).withColumn("go", ~F.col("done") & (F.col("turn") <= sizes.expanded))
         if not ranked.filter("go").limit(1).count():
             break
         fresh = ranked.filter("go").select("q", F.col("cand").alias("node")).join(hop, "node").filter("q <> cand").select("q", "cand").distinct().join(state.select("q", "cand"), ["q", "cand"], "left_anti")
@@ -205,22 +293,23 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str) ->
     return state.select("q", "cand", "dist")
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, seed: int = 11) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, seed: int = 11, sizes: Sizes = SIZES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id of queries (query_id) the k nearest other rows of vectors found."""
     ship(vectors.sparkSession)
     kind = "f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "f8"
-    read = add_columns(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), [("vec", "binary", pa.binary())], packed(kind), "vector").drop("vector").filter("vec IS NOT NULL AND id IS NOT NULL")
-    read = cut(read)
-    lengths = read.groupBy(F.length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bytes").first()
-    usual = lengths["bytes"] if lengths else 8
+    read = add_columns(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), [("vec", "binary", pa.binary()), ("exponent", "int", pa.int32())], packed(kind), "vector").drop("vector")
+    read = cut(read.filter("vec IS NOT NULL AND id IS NOT NULL"))
+    lengths = read.groupBy(F.length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n"), F.max("exponent").alias("top")).orderBy(F.desc("n"), "bytes").first()
+    usual, top = (lengths["bytes"], lengths["top"]) if lengths else (8, 0)
     keep = max(KEEP, k + 1)
     rows = read.filter(F.length("vec") == usual).withColumn("place", F.row_number().over(Window.partitionBy(F.sha2("vec", 256)).orderBy("id"))).filter(F.col("place") <= keep + k)
     nodes_all = cut(rows.groupBy("vec").agg(F.slice(F.sort_array(F.collect_set("id")), 1, keep).alias("ids")).withColumn("node", F.col("ids")[0]))
     nodes, count = nodes_all.select("node", "vec"), nodes_all.count()
-    graph = settle(cut(first_graph(nodes, kind, count, usual // int(kind[1]), seed)), nodes, kind)
+    coarse = cut(add_columns(nodes, [("coarse", "binary", pa.binary())], rounded(kind), "vec").drop("vec"))
+    graph = settle(cut(first_graph(coarse, count, usual // int(kind[1]), top, seed, sizes)), coarse, top, sizes)
     asked = cut(read.filter(F.length("vec") == usual).join(queries.select(F.col("query_id").alias("id")).distinct(), "id").distinct().join(nodes_all.select("vec", "node"), "vec").select(F.col("id").alias("query_id"), F.col("node").alias("q")))
-    found = search(graph, nodes, asked.select("q").distinct(), kind)
+    found = search(graph, nodes, asked.select("q").distinct(), kind, sizes)
     same = asked.select("q").distinct().select("q", F.col("q").alias("cand"), F.lit(0.0).alias("dist"))
-    spread = asked.join(found.union(same), "q").join(nodes_all.select(F.col("node").alias("cand"), "ids"), "cand").select("query_id", "dist", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
+    spread = asked.join(found.union(same), "q").join(nodes_all.select(F.col("node").alias("cand"), "ids"), "cand").select("query_id", "dist", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("dist").alias("dist"))
     ranked = spread.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", F.col("dist").alias("score"))
