@@ -52,16 +52,14 @@ FOUND = "node long, known boolean, nbrs array<long>, dists array<double>"
 
 
 def packed(kind: str):
-    """Of vectors, their components as bytes of a numpy kind, and the exponent of the greatest; null where one takes no part. Negative zero is zero."""
+    """Of vectors, their components as bytes of a numpy kind; null where one takes no part. Negative zero is zero."""
 
     def pack(vectors):
-        out, exponents = [], []
+        out = []
         for v in vectors:
             a = np.array([np.nan if x is None else x for x in v or ()], kind)
-            good = len(a) and np.isfinite(a).all() and a.any()
-            out.append((a + a.dtype.type(0)).tobytes() if good else None)
-            exponents.append(int(np.frexp(np.abs(a.astype(np.float64)).max())[1]) if good else None)
-        return [out, exponents]
+            out.append((a + a.dtype.type(0)).tobytes() if len(a) and np.isfinite(a).all() and a.any() else None)
+        return [out]
 
     return pack
 
@@ -80,15 +78,31 @@ def rounded(kind: str):
     return turn
 
 
-def matrix(column: list[bytes], top: int) -> np.ndarray:
-    """Rounded vectors as rows, scaled by two to the power -top."""
+def matrix(column: list[bytes]) -> np.ndarray:
+    """Rounded vectors as rows."""
     raw = np.frombuffer(b"".join(column), np.float16).reshape(len(column), -1)
-    return np.ldexp(raw[:, :-1].astype(np.float64), raw[:, -1].copy().view(np.int16).astype(np.int32)[:, None] - top)
+    return np.ldexp(raw[:, :-1].astype(np.float64), raw[:, -1].copy().view(np.int16).astype(np.int32)[:, None])
+
+
+def distances(v: np.ndarray) -> np.ndarray:
+    """Distances of all rows of v."""
+    most = np.abs(v).max(1)
+    if most.max() < 1e150 and most.min() > 1e-150:
+        square = (v * v).sum(1)
+        return np.sqrt(np.maximum(square[:, None] + square[None] - 2 * v @ v.T, 0))
+    return np.stack([exact(v, row[None]) for row in v])
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-    return np.sqrt(np.maximum(square, 0))
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of a from those of b in double precision."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        apart = a - b
+        most = np.abs(apart).max(1)
+        dist = np.sqrt((apart**2).sum(1))
+        odd = np.isfinite(most) & ((most > 1e150) | ((most < 1e-150) & (most > 0)))
+        if odd.any():  # squares that no double holds
+            dist[odd] = most[odd] * np.sqrt(((apart[odd] / most[odd, None]) ** 2).sum(1))
+    return dist
 
 
 def runs(batches, key, *names):
@@ -183,7 +197,7 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     return found.repartition("node").sortWithinPartitions("node").mapInArrow(merge, GRAPH)
 
 
-def first_graph(nodes: DataFrame, count: int, width: int, top: int, seed: int, sizes: Sizes = SIZES) -> DataFrame:
+def first_graph(nodes: DataFrame, count: int, width: int, seed: int, sizes: Sizes = SIZES) -> DataFrame:
     """Neighbours of nodes (node, coarse) within blocks."""
     planes = np.random.default_rng(seed).normal(size=(sizes.projections, sizes.planes + 1, width))
 
@@ -191,7 +205,7 @@ def first_graph(nodes: DataFrame, count: int, width: int, top: int, seed: int, s
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = matrix(batch.column(1).to_pylist(), top)
+            v = matrix(batch.column(1).to_pylist())
             for r in range(sizes.projections):
                 at = v @ planes[r].T
                 side = ((at[:, 1:] > 0) << np.arange(sizes.planes)).sum(1)
@@ -214,8 +228,8 @@ def first_graph(nodes: DataFrame, count: int, width: int, top: int, seed: int, s
         def compared(lot):
             for part in np.array_split(np.arange(len(lot)), max(1, round(len(lot) / sizes.block))):
                 if len(part) > 1:
-                    v = matrix([lot[i][1] for i in part], top)
-                    yield nearest(np.array([lot[i][0] for i in part]), distances(v, v), sizes.k)
+                    v = matrix([lot[i][1] for i in part])
+                    yield nearest(np.array([lot[i][0] for i in part]), distances(v), sizes.k)
 
         return gathered(parts())
 
@@ -224,7 +238,7 @@ def first_graph(nodes: DataFrame, count: int, width: int, top: int, seed: int, s
     return best_of(dealt.repartitionByRange(tasks, "r", "side", "at", "node").sortWithinPartitions("r", "side", "at", "node").mapInArrow(block, FOUND), sizes.k)
 
 
-def descend(graph: DataFrame, nodes: DataFrame, top: int, sizes: Sizes = SIZES) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
     """One round: neighbours of a node meet each other."""
     edges = graph.select("node", F.explode(F.arrays_zip("nbrs", "dists", "fresh")).alias("e")).select("node", F.col("e.nbrs").alias("nbr"), F.col("e.dists").alias("dist"), F.col("e.fresh").alias("fresh"))
     back = edges.withColumn("rank", F.row_number().over(Window.partitionBy("nbr").orderBy("dist", "node"))).filter(F.col("rank") <= sizes.k)
@@ -238,8 +252,8 @@ def descend(graph: DataFrame, nodes: DataFrame, top: int, sizes: Sizes = SIZES)
     def meet(batches):
         def parts():
             for _, lot in runs(batches, "hub", "member", "fresh", "far", "coarse"):
-                v, fresh = matrix([x[3] for x in lot], top), np.array([x[1] for x in lot])
-                d = distances(v, v)
+                v, fresh = matrix([x[3] for x in lot]), np.array([x[1] for x in lot])
+                d = distances(v)
                 d[~(fresh[:, None] | fresh[None]) | (d >= np.array([x[2] for x in lot])[:, None])] = np.inf
                 yield nearest(np.array([x[0] for x in lot]), d, sizes.learned)
 
@@ -248,32 +262,31 @@ def descend(graph: DataFrame, nodes: DataFrame, top: int, sizes: Sizes = SIZES)
     return best_of(graph.select("node", F.lit(True).alias("known"), "nbrs", "dists").union(met.mapInArrow(meet, FOUND)), sizes.k)
 
 
-def settle(graph: DataFrame, nodes: DataFrame, top: int, sizes: Sizes = SIZES) -> DataFrame:
+def settle(graph: DataFrame, nodes: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
     """Rounds until few entries change."""
     while True:
-        graph = cut(descend(graph, nodes, top, sizes))
+        graph = cut(descend(graph, nodes, sizes))
         entries = graph.agg(F.sum(F.size("nbrs")).alias("n"), F.sum(F.size(F.filter("fresh", lambda x: x))).alias("fresh")).first()
         if not entries["n"] or entries["fresh"] <= sizes.settled * entries["n"]:
             return graph
 
 
+def flat(column: pa.BinaryArray, kind: str) -> np.ndarray:
+    """Packed vectors of one length as rows, without a copy of each."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(len(column), -1).astype(np.float64)
+
+
 def measured(pairs: DataFrame, kind: str) -> DataFrame:
-    """pairs (…, va, vb) with the exact distance `dist` in place of the vectors."""
+    """(q, cand, dist) of pairs (q, cand, va, vb)."""
 
-    def exact(both):
-        a, b = (np.frombuffer(b"".join(p[k] for p in both), kind).reshape(len(both), -1).astype(np.float64) for k in "ab")
-        with np.errstate(over="ignore", invalid="ignore"):
-            dist = np.sqrt(((a - b) ** 2).sum(1))
-        large = ~np.isfinite(dist)
-        if large.any():  # squares that no double holds
-            a, b = a[large] / 2, b[large] / 2
-            most = np.abs(a - b).max(1)
-            with np.errstate(over="ignore"):
-                dist[large] = 2 * most * np.sqrt((((a - b) / most[:, None]) ** 2).sum(1))
-        return [dist]
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                dist = exact(flat(batch.column(2), kind), flat(batch.column(3), kind))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dist)], names=["q", "cand", "dist"])
 
-    both = pairs.withColumn("both", F.struct(F.col("va").alias("a"), F.col("vb").alias("b"))).drop("va", "vb")
-    return add_columns(both, [("dist", "double", pa.float64())], exact, "both").drop("both")
+    return pairs.select("q", "cand", "va", "vb").mapInArrow(run, "q long, cand long, dist double")
 
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str, sizes: Sizes = SIZES) -> DataFrame:
@@ -283,30 +296,32 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, kind: str, si
     state, fresh = None, hop.join(queries, hop.node == queries.q).select("q", "cand").distinct()
     by_distance = Window.partitionBy("q").orderBy("dist", "cand")
     while True:
-        met = measured(fresh.join(nodes.select(F.col("node").alias("cand"), F.col("vec").alias("vb")), "cand").join(asked, "q").select("q", "cand", "va", "vb"), kind).withColumn("done", F.lit(False))
-        state = cut((met if state is None else state.union(met)).withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= sizes.beam).drop("rank"))
-        ranked = state.withColumn("turn", F.sum(F.when(F.col("done"), 0).otherwise(1)).over(by_distance)).withColumn("go", ~F.col("done") & (F.col("turn") <= sizes.expanded))
-        if not ranked.filter("go").limit(1).count():
-            break
-        fresh = ranked.filter("go").select("q", F.col("cand").alias("node")).join(hop, "node").filter("q <> cand").select("q", "cand").distinct().join(state.select("q", "cand"), ["q", "cand"], "left_anti")
-        state = ranked.select("q", "cand", "dist", (F.col("done") | F.col("go")).alias("done"))
-    return state.select("q", "cand", "dist")
+        met = measured(fresh.join(nodes.select(F.col("node").alias("cand"), F.col("vec").alias("vb")), "cand").join(asked, "q"), kind).withColumn("done", F.lit(False))
+        best = (met if state is None else state.union(met)).withColumn("rank", F.row_number().over(by_distance)).filter(F.col("rank") <= sizes.beam)
+        turn = F.sum(F.when(F.col("done"), 0).otherwise(1)).over(by_distance)
+        state = cut(best.select("q", "cand", "dist", "done", (~F.col("done") & (turn <= sizes.expanded)).alias("go")))
+        going = state.filter("go")
+        if not going.limit(1).count():
+            return state.select("q", "cand", "dist")
+        reached = going.select("q", F.col("cand").alias("node")).join(hop, "node").filter("q <> cand").select("q", "cand").distinct()
+        fresh = reached.join(state.select("q", "cand"), ["q", "cand"], "left_anti")
+        state = state.select("q", "cand", "dist", (F.col("done") | F.col("go")).alias("done"))
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, seed: int = 11, sizes: Sizes = SIZES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id of queries (query_id) the k nearest other rows of vectors found."""
     ship(vectors.sparkSession)
     kind = "f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "f8"
-    read = add_columns(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), [("vec", "binary", pa.binary()), ("exponent", "int", pa.int32())], packed(kind), "vector").drop("vector")
+    read = add_columns(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), [("vec", "binary", pa.binary())], packed(kind), "vector").drop("vector")
     read = cut(read.filter("vec IS NOT NULL AND id IS NOT NULL"))
-    lengths = read.groupBy(F.length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n"), F.max("exponent").alias("top")).orderBy(F.desc("n"), "bytes").first()
-    usual, top = (lengths["bytes"], lengths["top"]) if lengths else (8, 0)
+    lengths = read.groupBy(F.length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bytes").first()
+    usual = lengths["bytes"] if lengths else 8
     keep = max(KEEP, k + 1)
     rows = read.filter(F.length("vec") == usual).withColumn("place", F.row_number().over(Window.partitionBy(F.sha2("vec", 256)).orderBy("id"))).filter(F.col("place") <= keep + k)
     nodes_all = cut(rows.groupBy("vec").agg(F.slice(F.sort_array(F.collect_set("id")), 1, keep).alias("ids")).withColumn("node", F.col("ids")[0]))
     nodes, count = nodes_all.select("node", "vec"), nodes_all.count()
     coarse = cut(add_columns(nodes, [("coarse", "binary", pa.binary())], rounded(kind), "vec").drop("vec"))
-    graph = settle(cut(first_graph(coarse, count, usual // int(kind[1]), top, seed, sizes)), coarse, top, sizes)
+    graph = settle(cut(first_graph(coarse, count, usual // int(kind[1]), seed, sizes)), coarse, sizes)
     asked = cut(read.filter(F.length("vec") == usual).join(queries.select(F.col("query_id").alias("id")).distinct(), "id").distinct().join(nodes_all.select("vec", "node"), "vec").select(F.col("id").alias("query_id"), F.col("node").alias("q")))
     found = search(graph, nodes, asked.select("q").distinct(), kind, sizes)
     same = asked.select("q").distinct().select("q", F.col("q").alias("cand"), F.lit(0.0).alias("dist"))
