@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from twinframe.session import ship
 
-#: Rows up to which a side of known width is sent to every executor; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a side is sent to every executor, by its counted rows and the width of its columns; beyond it the join shuffles.
+BROADCAST_BYTES = 64_000_000
+#: Bytes that a value takes there: arrays of a few entries, text of an identifier; what a row takes beside its values.
+WIDTHS = {"int": 8, "bigint": 8, "double": 8, "boolean": 8, "binary": 32, "string": 48}
+ROW_WIDTH, ARRAY_WIDTH = 48, 96
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names, or a new one where none is named."""
+    """The checkpoint folder that the cluster names; a new one where none is named and driver and executors are one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -40,9 +46,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few enough, else as it is."""
-    return F.broadcast(df) if rows <= most else df
+def small(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows, of the width of its columns, take few enough bytes, else as it is."""
+    width = ROW_WIDTH + sum(WIDTHS.get(kind, ARRAY_WIDTH) for _, kind in df.dtypes)
+    return F.broadcast(df) if rows * width <= most else df
 
 
 def utf8(text: str) -> bytes:

@@ -5,13 +5,14 @@ language's text; the language whose phrases cost fewest bits (their number times
 the language's share of labelled rows, which decides between a few phrases) wins.
 Many texts are walked through the automata at once, one character a step, as gathers from one transition table.
 
-Training takes the REFERENCE_TOTAL / 1000 most frequent languages at most and reads SAMPLE_DOCUMENTS labelled rows a language, REFERENCE_CHARS characters of text in all (fewer where there are more than
-REFERENCE_TOTAL / REFERENCE_CHARS languages), so the broadcast table stays below about
-REFERENCE_TOTAL * 2 * CLASSES * 4 bytes. Prediction is a scan without a shuffle.
+Every label is learned. Of each, DOCUMENTS rows at most are chosen by the hash of their id, and stretches from the start to the end of their texts make up
+REFERENCE_CHARS characters; with more than REFERENCE_TOTAL / REFERENCE_CHARS labels the text of each gets shorter, down to LEAST_CHARS. Only these texts are broadcast. The tables
+walked, 2 * CLASSES * 4 bytes for each character, are built by the workers for BLOCK_CHARS of labelled text at a time: once, if that is all, else anew for
+each batch of texts, each block's costs adding to the one before. Prediction is a scan without a shuffle.
 
 Cases: null texts and texts without a letter get `und` with score 0, as does every text if nothing is labelled; equal costs go to the language with
 more labelled rows, then by code point; texts are cut into segments of SEGMENT characters whose phrases add up, so length costs no memory;
-repeated rows get equal results; an empty table gives no rows; columns of the results' names are replaced.
+repeated rows get equal results; of rows with one id, the text of one is learned; an empty table gives no rows; columns of the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import add_columns, pieces
 
-SAMPLE_DOCUMENTS, REFERENCE_CHARS, REFERENCE_TOTAL = 64, 12_000, 240_000
+DOCUMENTS, REFERENCE_CHARS, REFERENCE_TOTAL, LEAST_CHARS = 64, 12_000, 240_000, 1_000
+BLOCK_CHARS = 240_000
+#: Stretches of a text that are learned, from evenly spread places.
+STRETCHES = 3
 #: Character classes: 0 is everything but letters, 1 rare letters, the rest a letter each.
 CLASSES = 64
 SEGMENT, CHUNK = 512, 500_000
@@ -34,18 +38,25 @@ FIELDS = [("lang_pred", "string", pa.string()), ("score", "double", pa.float64()
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, tuple[int, str]]:
     """For each language its number of labelled rows and text of a bounded sample of them."""
-    labels = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in labels.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(REFERENCE_TOTAL // 1000).collect()}
-    if not counts:
+    labels = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("hash"), F.col(text_col).alias("text")).filter("lang IS NOT NULL")
+    # a language's least hash in each of DOCUMENTS buckets: no row is ranked against others, and repeated ids count once
+    chosen = labels.groupBy("lang", F.pmod("hash", F.lit(DOCUMENTS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("hash")).collect()
+    if not chosen:
         return {}
-    chars = min(REFERENCE_CHARS, REFERENCE_TOTAL // len(counts))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = labels.withColumn("n", F.row_number().over(by_hash)).filter(f"n <= {SAMPLE_DOCUMENTS}").select("id", "n").distinct()
-    each = max(200, 4 * chars // SAMPLE_DOCUMENTS)
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.left(F.col(text_col), F.lit(each)).alias("text")).join(F.broadcast(picked), "id").collect()
+    counts, documents = Counter(), Counter()
+    for r in chosen:
+        counts[r["lang"]] += r["n"]
+        documents[r["lang"]] += 1
+    chars = max(LEAST_CHARS, min(REFERENCE_CHARS, REFERENCE_TOTAL // len(counts)))
+    picked = labelled.sparkSession.createDataFrame([(r["lang"], r["hash"], max(30, 2 * chars // documents[r["lang"]] // STRETCHES)) for r in chosen], "lang string, hash long, each int")
+    size, each = F.char_length("text"), F.col("each")
+    parts = [F.substring("text", F.lit(1) + F.floor(F.greatest(size - each, F.lit(0)) * k / (STRETCHES - 1)).cast("int"), each) for k in range(STRETCHES)]
+    stretches = F.when(size <= STRETCHES * each, F.col("text")).otherwise(F.concat_ws("\n", *(p for p in parts)))
+    # the table of chosen rows has DOCUMENTS rows a language at most
+    read = labels.join(F.broadcast(picked), ["lang", "hash"]).groupBy("lang", "hash").agg(F.min(stretches).alias("text")).collect()
     texts: dict[str, list] = {lang: [] for lang in counts}
-    for r in sorted(rows, key=lambda r: (r["n"], str(r["id"]), r["text"] or "")):
-        if r["lang"] in texts and r["text"]:
+    for r in sorted(read, key=lambda r: r["hash"]):
+        if r["text"]:
             texts[r["lang"]].append(r["text"])
     return {lang: (n, "\n".join(texts[lang])[:chars]) for lang, n in counts.items() if texts[lang]}
 
@@ -106,9 +117,10 @@ def suffix_automaton(string: np.ndarray) -> list[dict[int, int]]:
 class CrossParser:
     """Phrase counts of texts against each language's text."""
 
-    def __init__(self, texts: dict[str, tuple[int, str]]):
-        self.langs = sorted(texts, key=lambda lang: (-texts[lang][0], lang))
-        self.letters = class_table([texts[lang][1] for lang in self.langs])
+    def __init__(self, texts: dict[str, tuple[int, str]], letters: np.ndarray | None = None, rows: int | None = None):
+        self.langs = ranked(texts)
+        self.letters = class_table([texts[lang][1] for lang in self.langs]) if letters is None else letters
+        everything = rows or sum(n for n, _ in texts.values())
         rows, roots, bits = [], [], []
         for lang in self.langs:
             string, _ = classes_of([texts[lang][1]], self.letters)
@@ -126,7 +138,7 @@ class CrossParser:
             rows.append(step.astype(np.int32))
             roots.append(base * CLASSES)
             bits.append(np.log2(max(len(string), 2)))
-        self.prior = np.log([texts[lang][0] for lang in self.langs]) - np.log(sum(n for n, _ in texts.values()))
+        self.prior = np.log([texts[lang][0] for lang in self.langs]) - np.log(everything)
         self.table, self.roots, self.bits = np.concatenate(rows).ravel(), np.array(roots, np.int32), np.array(bits)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,24 +164,58 @@ class CrossParser:
         letter = np.concatenate([[0], np.cumsum(kinds != 0)])
         return total, letter[ends] > letter[starts]
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Nats (text, language), and whether a text has a letter."""
         total, letter = self.phrases(texts)
-        cost = total * self.bits * np.log(2) - self.prior
-        best = cost.argmin(axis=1)
-        share = 1 / np.exp(np.clip(cost.min(axis=1)[:, None] - cost, -700, 0)).sum(axis=1)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, letter, strict=True)], np.where(letter, share, 0.0).tolist()
+        return total * self.bits * np.log(2) - self.prior, letter
+
+
+def ranked(texts: dict[str, tuple[int, str]]) -> list[str]:
+    return sorted(texts, key=lambda lang: (-texts[lang][0], lang))
+
+
+class Identifier:
+    """The language and score of texts, by cross-parsers of at most BLOCK_CHARS labelled text each."""
+
+    def __init__(self, texts: dict[str, tuple[int, str]], most: int = BLOCK_CHARS):
+        self.texts, order = texts, ranked(texts)
+        self.blocks = [order[a:b] for a, b in pieces([len(texts[lang][1]) for lang in order], most)]
+        self.letters, self.rows, self.parser = class_table([texts[lang][1] for lang in order]), sum(n for n, _ in texts.values()), None
+
+    def block(self, langs: list[str]) -> CrossParser:
+        if self.parser is None or len(self.blocks) > 1:
+            self.parser = None
+            self.parser = CrossParser({lang: self.texts[lang] for lang in langs}, self.letters, self.rows)
+        return self.parser
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        found, low, mass = ["und"] * len(texts), np.full(len(texts), np.inf), np.zeros(len(texts))
+        letter = np.zeros(len(texts), bool)
+        for langs in self.blocks:
+            parser = self.block(langs)
+            for a, b in pieces([len(t) for t in texts], CHUNK):
+                cost, letter[a:b] = parser.costs(texts[a:b])
+                best = cost.argmin(axis=1)
+                least = np.minimum(low[a:b], cost.min(axis=1))
+                with np.errstate(invalid="ignore", over="ignore"):
+                    before = np.where(np.isinf(low[a:b]), 0.0, mass[a:b] * np.exp(np.maximum(least - low[a:b], -700)))
+                mass[a:b] = before + np.exp(np.maximum(least[:, None] - cost, -700)).sum(axis=1)
+                for i in np.flatnonzero(cost.min(axis=1) < low[a:b]):
+                    found[a + i] = parser.langs[best[i]]
+                low[a:b] = least
+        return [x if ok else "und" for x, ok in zip(found, letter, strict=True)], np.where(letter, 1 / np.maximum(mass, 1), 0.0).tolist()
 
 
 def identify_language(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """df with lang_pred and score (share of the best language's likelihood), learned from the rows of labelled with a language."""
     texts = sample(labelled, id_col, text_col, lang_col)
-    model = df.sparkSession.sparkContext.broadcast(CrossParser(texts) if texts else None)
+    model = df.sparkSession.sparkContext.broadcast(Identifier(texts) if texts else None)
 
     def work(batch):
         langs, scores = ["und"] * len(batch), [0.0] * len(batch)
         there = [i for i, t in enumerate(batch) if t] if model.value else []
-        for a, b in pieces([len(batch[i]) for i in there], CHUNK):
-            for i, lang, score in zip(there[a:b], *model.value.predict([batch[i] for i in there[a:b]]), strict=True):
+        if there:
+            for i, lang, score in zip(there, *model.value.predict([batch[i] for i in there]), strict=True):
                 langs[i], scores[i] = lang, score
         return [langs, scores]
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from .common import add_columns
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns; of an email, the part after the sign.
 LOCAL, DOMAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"), re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP, CARD, PHONE = re.compile(r"[0-9]+(?:\.[0-9]+){3}"), re.compile(r"[0-9](?:[\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+IP, CARD, PHONE = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"), re.compile(r"[0-9](?:[\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Digits as spelled in English, German, French and Spanish.
 SPELLED = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
@@ -43,7 +44,7 @@ WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:{WORD}|[0-9])(?:(?:[\s,.–—-]{{1,2}})(?:{WORD}|[0-9])){{3,}}(?!\w)")
 SPELLED_ONE = re.compile(rf"(?i)(?<!\w)({WORD})(?!\w)")
 AT_WORD, DOT_WORD = "at|arroba|chez", "dot|punkt|point|punto"
-BRACKETED = re.compile(rf"(?i)\s*[\[({{<]\s*(?:({AT_WORD}|@)|({DOT_WORD}|\.))\s*[\])}}>]\s*")
+BRACKETED = re.compile(rf"(?i)[\[({{<]\s*(?:({AT_WORD}|@)|({DOT_WORD}|\.))\s*[\])}}>]\s*")
 BARE = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+(?:{AT_WORD})\s+(?=[A-Za-z0-9-]+\s*(?:\s(?:{DOT_WORD})\s|\.[A-Za-z]))")
 BARE_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+(?:{DOT_WORD})\s+(?=[A-Za-z0-9])")
 DOTTED = re.compile(rf"(?i)@[A-Za-z0-9-]+(?:\s+(?:{DOT_WORD})\s+[A-Za-z0-9-]+)+|(?<![0-9.])[0-9]{{1,3}}(?:\s+(?:{DOT_WORD})\s+[0-9]{{1,3}}){{3}}")
@@ -93,16 +94,19 @@ class Rewritten:
     def __init__(self, text: str):
         self.text, self.start, self.stop = text, list(range(len(text))), list(range(1, len(text) + 1))
 
-    def transduce(self, pattern: re.Pattern, to) -> None:
-        """Replaces each match by to(match); each new character stands for the whole match."""
+    def transduce(self, pattern: re.Pattern, to, spaces: bool = False) -> None:
+        """Replaces each match, with the white space before it if asked for, by to(match); each new character stands for all that it replaces."""
         parts, start, stop, last = [], [], [], 0
         for m in pattern.finditer(self.text):
             new = to(m)
             if new is None or m.end() == m.start():
                 continue
-            parts += [self.text[last : m.start()], new]
-            start += self.start[last : m.start()] + [self.start[m.start()]] * len(new)
-            stop += self.stop[last : m.start()] + [self.stop[m.end() - 1]] * len(new)
+            begin = m.start()
+            while spaces and begin > last and self.text[begin - 1].isspace():
+                begin -= 1
+            parts += [self.text[last:begin], new]
+            start += self.start[last:begin] + [self.start[begin]] * len(new)
+            stop += self.stop[last:begin] + [self.stop[m.end() - 1]] * len(new)
             last = m.end()
         if parts:
             self.text = "".join(parts) + self.text[last:]
@@ -135,10 +139,12 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     # a run of spelled digits becomes digits without what stands between them, unless that is a dot
     r.transduce(DIGIT_RUN, lambda m: re.sub(r"[\s,–—-]+", "", SPELLED_ONE.sub(lambda w: str(SPELLED[w[1].lower()]), m[0])) if SPELLED_ONE.search(m[0]) else None)
     r.transduce(PLUS, lambda m: "+")
-    r.transduce(BRACKETED, lambda m: "@" if m[1] else ".")
+    r.transduce(BRACKETED, lambda m: "@" if m[1] else ".", spaces=True)
     r.transduce(BARE, lambda m: "@")
     within = [m.span() for m in DOTTED.finditer(r.text)]
-    r.transduce(BARE_DOT, lambda m: "." if any(a <= m.start() and m.end() <= b for a, b in within) else None)
+    starts = [a for a, _ in within]
+    inside = lambda m: (k := bisect_right(starts, m.start())) and m.end() <= within[k - 1][1]
+    r.transduce(BARE_DOT, lambda m: "." if inside(m) else None)
     r.transduce(SPACED_AT, lambda m: "@" if len(m[0]) > 1 else None)
     return [(r.start[a], kind, r.stop[b - 1]) for a, kind, b in plain_spans(r.text)]
 
@@ -148,10 +154,20 @@ def all_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[
     if not text:
         return [], []
     plain = plain_spans(text)
-    beside = lambda x, y: y[1] != x[1] or y[2] <= x[0] or x[2] <= y[0]
-    wider = lambda x, y: x != y and x[0] <= y[0] and y[2] <= x[2]
-    added = [x for x in disguised_spans(text) if all(beside(x, y) or wider(x, y) for y in plain)]
-    return plain, sorted(plain + added)
+    of_kind = [[(a, b) for a, kind, b in plain if kind == k] for k in range(len(KINDS))]
+    stops = [[b for _, b in spans] for spans in of_kind]
+
+    def adds(a: int, kind: int, b: int) -> bool:
+        """Whether no plain span of the kind overlaps it, or only ones within it. Plain spans of a kind lie apart, in order."""
+        k = bisect_right(stops[kind], a)
+        while k < len(of_kind[kind]) and of_kind[kind][k][0] < b:
+            c, d = of_kind[kind][k]
+            if c < a or d > b or (c, d) == (a, b):
+                return False
+            k += 1
+        return True
+
+    return plain, sorted(plain + [x for x in disguised_spans(text) if adds(*x)])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -169,6 +185,7 @@ def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
         out = []
         for t in texts:
             plain, spans = all_spans(t)
+            plain = set(plain)
             out.append([{"kind": KINDS[k], "start": a, "stop": b, "plain": (a, k, b) in plain} for a, k, b in spans])
         return [out]
 

@@ -7,7 +7,7 @@ ones, bent so that the quantile which parts the labels best comes to THRESHOLD.
 Training reads at most LABELLED rows with their texts and uses PAIRS pairs; only their features reach the driver. Scoring is one scan without a shuffle.
 
 Cases: null and empty texts have features of 0 and a score like any other; without labels of both kinds every score is
-THRESHOLD; a label of null is none; repeated rows get equal scores; an empty table gives no rows; columns of the results' names are replaced.
+THRESHOLD; a label of null is none; of rows with one id, one text is learned; repeated rows get equal scores; an empty table gives no rows; columns of the results' names are replaced.
 """
 
 from __future__ import annotations
@@ -99,9 +99,10 @@ def score_quality(df: DataFrame, documents: DataFrame, labels: DataFrame, id_col
     """df with `score` and `predicted`, learned from labels (id, label 0 or 1) and the texts that documents has for them."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id IS NOT NULL AND label IN (0, 1)").distinct()
     share = min(1.0, LABELLED / max(known.count(), 1))
-    known = known.filter(sampled("id", share)).limit(2 * LABELLED)
+    # about LABELLED rows by their hash; of more, the first in its order
+    known = known.filter(sampled("id", share)).orderBy(F.xxhash64("id"), "id", "label").limit(2 * LABELLED)
     read = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    described = add_columns(read, [("x", "array<double>", pa.list_(pa.float64()))], lambda texts: [[features(t) for t in texts]], "text").select("id", "x", "label")
+    described = add_columns(read, [("x", "array<double>", pa.list_(pa.float64()))], lambda texts: [[features(t) for t in texts]], "text").groupBy("id", "label").agg(F.min("x").alias("x"))
     rows = sorted(described.collect(), key=lambda r: (r["id"], r["x"], r["label"]))
     model = df.sparkSession.sparkContext.broadcast(Model.learn(np.array([r["x"] for r in rows]).reshape(-1, FEATURES), np.array([r["label"] == 1 for r in rows], bool)))
 
