@@ -1,43 +1,69 @@
-"""Corpus preparation: the stages run one after the other, each over all rows that its predecessor kept."""
+"""Corpus preparation: the stages run one after the other, each over all rows that its predecessor kept.
+
+Columns of the table keep their values whatever they are called: those that a stage does not read travel through it in one struct. Rows are told apart
+by their id and the hash of their text, not by their id alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.llm import decontaminate, language, mixing, ngram_join, secrets
 from twinframe.llm.common import held_out, small, stored, table
 
 
+def packed(docs: DataFrame, *read: str) -> DataFrame:
+    """The columns that a stage reads, and all others in `row`."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in read]
+    return docs.select(*read, F.struct(*(others or [F.lit(None).alias("none")])).alias("row"))
+
+
+def unpacked(docs: DataFrame, *read: str) -> list[Column]:
+    """The columns of docs, from a table that packed made of it."""
+    return [F.col(f"`{c}`") if c in read else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without text or without a letter go."""
-    found = language.identify_language(docs, docs.filter(~held_out("doc_id")))
-    return found.filter("lang_pred <> 'und'").select(docs.columns)
+    found = language.identify_language(packed(docs, "text"), docs.filter(~held_out("doc_id")))
+    return found.filter("lang_pred <> 'und'").select(*unpacked(docs, "text"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates; of rows with one id, one stays."""
-    groups = ngram_join.jaccard_components(docs)
-    gone = stored(groups.filter("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
-    again = stored(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    rows = again.count()
-    if rows:
-        repeated = small(again, rows)
-        kept = kept.join(repeated, "doc_id", "left_anti").union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(docs.columns)
+    """One row of each group of near duplicates: that of the smallest id, then the smallest hash of its text, then the smallest other columns.
+
+    Rows whose text has no words stay.
+    """
+    rows = stored(ngram_join.jaccard_components(docs, with_component=True).filter("component IS NOT NULL").select("doc_id", "hash", "component"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("first"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")))
+    gone = stored(rows.join(first, "component").filter(other).select("doc_id", "hash").distinct())
+    again = stored(rows.groupBy("doc_id", "hash").count().filter("count > 1").select("doc_id", "hash"))
+    marked = packed(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text"))
+
+    def those(side: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        side = small(side, side.count())
+        return of.join(side, of["doc_id"].eqNullSafe(side["doc_id"]) & (of["hash"] == side["hash"]), how)
+
+    kept = those(gone, "left_anti", marked)
+    if again.limit(1).count():
+        repeated = those(again, "left_semi", kept).groupBy("doc_id", "hash").agg(F.min(F.struct("row", "text")).alias("one"))
+        kept = those(again, "left_anti", kept).select("doc_id", "text", "row").union(repeated.select("doc_id", "one.text", "one.row"))
+    return kept.select(*unpacked(docs, "doc_id", "text"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark has not contaminated."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter("NOT contaminated").select(docs.columns)
+    found = decontaminate.decontaminate(packed(docs, "text"), table(spark, sf_dir, "benchmark"))
+    return found.filter("NOT contaminated").select(*unpacked(docs, "text"))
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked."""
-    masked = secrets.redact(secrets.find_secrets(docs))
-    return masked.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    masked = secrets.redact(secrets.find_secrets(packed(docs, "text", "n_chars")))
+    changed = F.when(F.size("secret_spans") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(*unpacked(docs, "text", "n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
