@@ -43,8 +43,8 @@ WORDS = (
     "parent part path pattern price process product project property query range reader record reference region release report request resource response result return root row rule sample schema "
     "search section select server service session set shape size source start state status string style submodel table target task template text thread time title total type unit update user value version view width window write"
 )
-#: Rows of the ordinary sample are those whose hash falls below a share of the table that yields about so many documents.
-ORDINARY_DOCUMENTS = 64
+#: Rows of the ordinary sample are those whose hash falls below a share of the table that yields about so many documents, and the first so many of their words by hash.
+ORDINARY_DOCUMENTS, ORDINARY_WORDS = 64, 2000
 RANDOM_STRINGS = 1000
 #: Times that WORDS count, beside the distinct words of the documents.
 OWN_WORDS = 10
@@ -65,7 +65,7 @@ def labelled_samples(spark: SparkSession, df: DataFrame, text_col: str = "text")
     made = spark.range(RANDOM_STRINGS).select(F.lit(True).alias("random"), F.explode(F.array(digest, F.upper(digest), base64, F.translate(base64, "+/=", "-_"), F.upper(base64), F.lower(base64))).alias("token"))
     share = min(1.0, ORDINARY_DOCUMENTS / rows) if rows else 1.0
     picked = df.select(F.col(f"`{text_col}`").alias("text")).filter(sampled("text", share)).distinct()
-    words = picked.select(F.explode(F.regexp_extract_all("text", F.lit(LONE_WORD), F.lit(0))).alias("word")).distinct()
+    words = picked.select(F.explode(F.regexp_extract_all("text", F.lit(LONE_WORD), F.lit(0))).alias("word")).distinct().orderBy(F.xxhash64("word"), "word").limit(ORDINARY_WORDS)
     words = words.unionAll(spark.range(OWN_WORDS).select(F.explode(F.split(F.lit(WORDS), " ")).alias("word")))
     low, head, up = F.lower("word"), F.initcap("word"), F.upper("word")
     digits = F.right(F.pmod(F.xxhash64("word"), F.lit(10**9)).cast("string"), F.pmod(F.xxhash64("word", F.lit(1)), F.lit(8)).cast("int") + 1)
@@ -77,7 +77,7 @@ def labelled_samples(spark: SparkSession, df: DataFrame, text_col: str = "text")
 def ratio_table(samples: DataFrame) -> list[float]:
     """log P(b | a, random) / P(b | a, ordinary) for all a, b of ALPHABET, row by row; unseen pairs count UNSEEN."""
     pairs = samples.select("random", F.explode(F.expr("transform(sequence(1, greatest(length(token) - 1, 1)), i -> substring(token, i, 2))")).alias("pair"))
-    pairs = pairs.filter(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.filter(F.length("pair") == 2).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n"))
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.collect()}
     logs = {}
     for random in (True, False):
