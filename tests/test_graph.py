@@ -64,7 +64,10 @@ def one(spark, value, f):
 
 @pytest.mark.parametrize(
     ("value", "base"),
-    [("0173-1#02-AAO677#002", "0173-1#02-AAO677"), ("0173-1#02-AAO677", "0173-1#02-AAO677"), ("https://api.eclass-cdp.com/0173-1-01-AHX837-002", "0173-1#01-AHX837"), ("0112/2///61360_4#AAF120#001", "0112/2///61360_4#AAF120"), ("https://example.com/foo#bar", "https://example.com/foo#bar"), ("https://admin-shell.io/x#123", "https://admin-shell.io/x#123"), ("", ""), (None, None)],
+    [
+        ("0199-7#02-FLO001#004", "0199-7#02-FLO001"), ("0199-7#02-FLO001", "0199-7#02-FLO001"), ("https://api.eclass-cdp.com/0199-7-02-FLO001-004", "0199-7#02-FLO001"), ("0145/8///70001_2#XYZ9#12", "0145/8///70001_2#XYZ9"),
+        ("http://names.test/page#7", "http://names.test/page#7"), ("urn:1999-1#5", "urn:1999-1#5"), ("", ""), (None, None),
+    ],
 )
 def test_irdi_base(spark, value, base):
     assert one(spark, value, irdi_base) == base
@@ -104,6 +107,36 @@ def test_store(spark):
     assert added.count() == 2 and added.remove("urn:s").graph.elements.count() == 0
 
 
+def test_nodes_of_one_name_stay_apart(spark):
+    prop = lambda v: {"modelType": "Property", "idShort": "P", "value": v}
+    g = submodel(spark, prop("1"), prop("2"), {"modelType": "Operation", "idShort": "Op", "inputVariables": [{"value": prop("3")}], "outputVariables": [{"value": prop("4")}]}, {"modelType": "SubmodelElementList", "idShort": "L", "value": [prop("5")]})
+    rows = g.elements.collect()
+    assert len({r["node_id"] for r in rows}) == len(rows) == 7
+    assert {r["value"]: r["parent_id"] for r in rows if r["value"]} == {"1": "urn:s", "2": "urn:s", "3": "urn:s/Op", "4": "urn:s/Op", "5": "urn:s/L"}
+    found = lambda version, rule: [r["node_id"] for r in validate.Checker(g, version).check([rule]).collect()]
+    assert found("3.1", "AASd-022") == ["urn:s"] and found("3.1", "AASd-134") == ["urn:s/Op"]
+    store = Store(g)
+    assert store.find("urn:s", "L[0]").first()["value"] == "5" == store.find("urn:s", "L.P").first()["value"]
+
+
+def test_identifiables_without_id_all_stay(spark):
+    payloads = [json.dumps({"modelType": "Submodel", "idShort": n}) for n in "ab"] + [json.dumps({"modelType": "Submodel", "id": "urn:s", "idShort": n}) for n in "cd"]
+    docs = spark.createDataFrame([("f", 0, "submodels", i, p, None) for i, p in enumerate(payloads)], readers.DOCUMENT)
+    assert sorted(r["idShort"] for r in readers.from_documents(docs).submodels.collect()) == ["a", "b", "c"]
+
+
+def test_rules_on_all_that_they_name(spark):
+    extension = {"extensions": [{"name": "e"}, {"name": "e"}]}
+    entity = {"modelType": "Entity", "idShort": "En", "specificAssetIds": [{"name": "n", "value": "v", "externalSubjectId": {"type": "ModelReference", "keys": [{"type": "Submodel", "value": "x"}]}}]}
+    lists = {"modelType": "Operation", "idShort": "Op", "inputVariables": [{"value": {"modelType": "SubmodelElementList", "idShort": "L", "value": []}}]}
+    target = {"modelType": "ReferenceElement", "idShort": "Re", "value": {"type": "ExternalReference", "keys": [{"type": "GlobalReference", "value": "g"}, {"type": "Referable", "value": "r"}]}}
+    concept = {"modelType": "ConceptDescription", "id": "urn:c", "administration": {"revision": "1"}} | extension
+    documents = {"submodels": {"modelType": "Submodel", "id": "urn:s", "idShort": "S", "submodelElements": [entity, lists, target]} | extension, "conceptDescriptions": concept}
+    g = readers.from_documents(spark.createDataFrame([("f", 0, k, 0, json.dumps(v), None) for k, v in documents.items()], readers.DOCUMENT))
+    found = lambda rule: sorted(r["node_id"] for r in validate.Checker(g, "3.2").check([f"AASd-{rule}"]).collect())
+    assert {r: found(r) for r in ("005", "077", "133", "137", "138")} == {"005": ["urn:c"], "077": ["urn:c", "urn:s"], "133": ["urn:s/En"], "137": ["urn:s/Re"], "138": ["urn:s/Op/L"]}
+
+
 def test_resolution_heals_and_dangles(spark):
     ref = lambda *keys: {"type": "ModelReference", "keys": [{"type": t, "value": v} for t, v in keys]}
     g = submodel(spark, {"modelType": "Property", "idShort": "P", "value": "1"}, {"modelType": "ReferenceElement", "idShort": "R", "value": ref(("Submodel", "urn:s"), ("Property", "P"))}, {"modelType": "ReferenceElement", "idShort": "D", "value": ref(("Submodel", "urn:s"), ("Property", "Q"))})

@@ -53,10 +53,11 @@ def repair_report(elements: DataFrame) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, key: str, *order: str, stored: DataFrame | None = None) -> DataFrame:
-    """The first row of each key, by the given order; none whose key is stored already."""
+    """The first row of each key, by the given order, and all rows of null key; none whose key is stored already."""
     new = rows if stored is None else rows.join(stored.select(key).distinct(), key, "left_anti")
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return new.withColumn("_place", place).filter("_place = 1").drop("_place")
+    known = new.filter(F.col(key).isNotNull()).withColumn("_place", place).filter("_place = 1").drop("_place")
+    return known.unionByName(new.filter(F.col(key).isNull()))
 
 
 def shared_references(refs: DataFrame) -> DataFrame:

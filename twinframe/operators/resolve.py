@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,8 @@ from ..schema import REFERENCE, Graph
 
 def references(graph: Graph) -> DataFrame:
     """(owner, ref_id, ref): every reference of the graph; equal ones have one content address."""
+    if graph.links:
+        return graph.links[0]
     of = lambda df, c, owner: df.select(F.col(owner).alias("owner"), c.cast(REFERENCE).alias("ref"))
     each = lambda df, c, owner: df.select(F.col(owner).alias("owner"), F.explode(c).alias("r")).select("owner", F.col("r").cast(REFERENCE).alias("ref"))
     found = [
@@ -21,15 +24,29 @@ def references(graph: Graph) -> DataFrame:
     return reduce(DataFrame.union, found).filter("ref IS NOT NULL").select("owner", F.sha2(F.to_json("ref"), 256).alias("ref_id"), "ref")
 
 
+def link(graph: Graph, path: str) -> Graph:
+    """graph with its references, by kind, and its bridge written under path and read from there."""
+    references(graph).withColumn("kind", F.col("ref.type")).write.partitionBy("kind").parquet(f"{path}/references")
+    graph.bridge.write.parquet(f"{path}/bridge")
+    read = graph.spark.read.parquet
+    return replace(graph, links=(read(f"{path}/references"), read(f"{path}/bridge")))
+
+
 def identifiables(graph: Graph) -> DataFrame:
     tables = (("Shell", graph.shells), ("Submodel", graph.submodels), ("ConceptDescription", graph.concepts))
     return reduce(DataFrame.union, [df.select(F.col("id").alias("target_id"), F.lit(k).alias("target_kind")) for k, df in tables])
 
 
 def addresses(graph: Graph) -> DataFrame:
-    """(root, steps, target_id): elements by the chains of names, or of places in lists, that lead to them."""
-    step = F.transform(F.arrays_zip("names", "indexes"), lambda x: F.coalesce(x["names"], x["indexes"].cast("string")))
-    return graph.elements.select(F.col("submodel_id").alias("root"), step.alias("steps"), F.col("node_id").alias("target_id"))
+    """(root, steps, target_id): elements by the chains of names and places in lists that lead to them; a named child of a list has both.
+
+    A chain is written once with places and, where a list child has a name, once more with names; mixed chains of several named list children are not.
+    """
+    step = lambda a, b: F.transform(F.arrays_zip("names", "indexes"), lambda x: F.coalesce(a(x), b(x)))
+    name, place = (lambda x: x["names"]), (lambda x: x["indexes"].cast("string"))
+    both = F.exists(F.arrays_zip("names", "indexes"), lambda x: name(x).isNotNull() & place(x).isNotNull())
+    chains = F.when(both, F.array(step(place, name), step(name, place))).otherwise(F.array(step(place, name)))
+    return graph.elements.select(F.col("submodel_id").alias("root"), F.explode(chains).alias("steps"), F.col("node_id").alias("target_id"))
 
 
 def resolve(graph: Graph, refs: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ class Store:
         if elements is not None:
             new = shaped(elements, ELEMENT)
             changed["elements"] = self.graph.elements.unionByName(repair(new) if fix else new)
-        return Store(replace(self.graph, **changed))
+        return Store(self.graph.changed(**changed))
 
     def get(self, identifier: str) -> tuple[str, DataFrame]:
         for kind, (table, _) in TABLES.items():
@@ -47,8 +47,10 @@ class Store:
     def find(self, submodel_id: str, path: str) -> DataFrame:
         """The element at an idShort path; KeyError if there is none, ValueError if there are more."""
         steps = id_path(path)
-        at = F.transform(F.arrays_zip("names", "indexes"), lambda x: F.coalesce(x["names"], x["indexes"].cast("string")))
-        found = self.graph.elements.filter((F.col("submodel_id") == submodel_id) & (at == F.array(*map(F.lit, steps))))
+        own = self.graph.elements.filter((F.col("submodel_id") == submodel_id) & (F.size("names") == len(steps)))
+        for k, step in enumerate(steps):  # a named child of a list has a name and a place
+            own = own.filter((F.get("names", F.lit(k)) == step) | (F.get("indexes", F.lit(k)).cast("string") == step))
+        found = own
         n = len(found.select("node_id").take(2))
         if n != 1:
             raise (ValueError if n else KeyError)(f"{submodel_id}/{path}")
@@ -69,7 +71,7 @@ class Store:
             "rels": text([*rels, "value" if rels else "submodelElements"]), "names": F.concat(text(names), F.array(F.lit(None).cast("string") if index is not None else F.col("idShort"))),
             "indexes": F.array(*map(F.lit, [*indexes, index])).cast("array<int>"), "ancestors": text([*ups, parent]),
         }
-        return Store(replace(self.graph, elements=self.graph.elements.unionByName(shaped(new.withColumns(place), ELEMENT))))
+        return Store(self.graph.changed(elements=self.graph.elements.unionByName(shaped(new.withColumns(place), ELEMENT))))
 
     def remove(self, identifier: str) -> Store:
         """Removes an identifiable and its elements; KeyError if it is unknown."""
@@ -78,12 +80,12 @@ class Store:
         changed = {table: getattr(self.graph, table).filter(F.col("id") != identifier)}
         if kind == "Submodel":
             changed["elements"] = self.graph.elements.filter(F.col("submodel_id") != identifier)
-        return Store(replace(self.graph, **changed))
+        return Store(self.graph.changed(**changed))
 
     def remove_element(self, submodel_id: str, path: str) -> Store:
         node = self.find(submodel_id, path).first()["node_id"]
         gone = (F.col("submodel_id") == submodel_id) & ((F.col("node_id") == node) | F.array_contains("ancestors", node))
-        return Store(replace(self.graph, elements=self.graph.elements.filter(~gone)))
+        return Store(self.graph.changed(elements=self.graph.elements.filter(~gone)))
 
     def count(self) -> int:
         return sum(getattr(self.graph, t).count() for t, _ in TABLES.values())

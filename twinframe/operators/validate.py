@@ -20,7 +20,8 @@ ELEMENT_KEYS = (
     "Operation", "Property", "Range", "ReferenceElement", "RelationshipElement", "SubmodelElement", "SubmodelElementCollection", "SubmodelElementList",
 )
 FRAGMENT_KEYS = (*ELEMENT_KEYS, "FragmentReference")
-REFERABLE_KEYS = (*MODEL_KEYS, *ELEMENT_KEYS)
+REFERABLE_KEYS = (*MODEL_KEYS, *ELEMENT_KEYS, "Identifiable", "Referable")
+VARIABLES = ("inputVariables", "outputVariables", "inoutputVariables")
 NAME_30, NAME = r"^[a-zA-Z][a-zA-Z0-9_]*$", r"^[a-zA-Z][a-zA-Z0-9_-]*[a-zA-Z0-9_]+$"
 
 RULES: dict[str, tuple[str, object]] = {}
@@ -45,11 +46,21 @@ class Tables:
         self.lists = self.elements.filter("model_type = 'SubmodelElementList'").select(F.col("node_id").alias("parent_id"), "listType", "listValueType", F.to_json("listSemantic").alias("list_semantic"))
         self.children = self.elements.filter(F.get("indexes", F.size("indexes") - 1).isNotNull())
 
+    def identified(self, *columns: str) -> DataFrame:
+        """Columns that shells, submodels and concepts have."""
+        own = [df.select(F.col("id").alias("node_id"), *columns) for df in (self.graph.shells, self.graph.submodels, self.graph.concepts)]
+        return own[0].union(own[1]).union(own[2])
+
     @property
     def references(self) -> DataFrame:
         return references(self.graph).select(F.col("owner").alias("node_id"), F.col("ref.type").alias("type"), F.col("ref.keys").alias("keys"))
 
 
+def last_rel() -> Column:
+    """The containment that leads to an element from its parent."""
+    return F.get("rels", F.size("rels") - 1)
+
+
 def found(df: DataFrame, detail: Column | None = None) -> DataFrame:
     return df.select("node_id", (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
 
@@ -66,8 +77,7 @@ def name_shape(t: Tables) -> DataFrame:
 
 @rule("005", "a revision needs a version")
 def revision(t: Tables) -> DataFrame:
-    both = [df.select(F.col("id").alias("node_id"), "version", "revision") for df in (t.graph.shells, t.graph.submodels)]
-    return found(both[0].union(both[1]).filter("revision IS NOT NULL AND version IS NULL"))
+    return found(t.identified("version", "revision").filter("revision IS NOT NULL AND version IS NULL"))
 
 
 @rule("014", "a self-managed entity names its asset, and in 3.0 no other does")
@@ -84,13 +94,14 @@ def qualifier_types(t: Tables) -> DataFrame:
 
 @rule("022", "names of siblings differ")
 def sibling_names(t: Tables) -> DataFrame:
-    outside = t.elements.filter(F.get("indexes", F.size("indexes") - 1).isNull())
+    # variables of an operation have rule 134
+    outside = t.elements.filter(F.get("indexes", F.size("indexes") - 1).isNull() & ~last_rel().isin(*VARIABLES))
     return repeated(outside.select(F.col("parent_id").alias("node_id"), "idShort"), F.col("idShort"))
 
 
 @rule("077", "names of extensions differ")
 def extension_names(t: Tables) -> DataFrame:
-    return repeated(t.elements.select("node_id", F.explode("extensions").alias("e")), F.col("e"))
+    return repeated(t.elements.select("node_id", "extensions").union(t.identified("extensions")).select("node_id", F.explode("extensions").alias("e")), F.col("e"))
 
 
 @rule("090", "the category of a data element is one of three")
@@ -185,20 +196,21 @@ def asset_named(t: Tables) -> DataFrame:
 
 @rule("133", "an external subject is an external reference")
 def subject(t: Tables) -> DataFrame:
-    return found(t.graph.shells.filter(F.exists("specific", lambda s: s["externalSubject"]["type"] != "ExternalReference")).withColumn("node_id", F.col("id")))
+    holders = t.graph.shells.select(F.col("id").alias("node_id"), "specific").union(t.elements.filter("model_type = 'Entity'").select("node_id", "specific"))
+    return found(holders.filter(F.exists("specific", lambda s: s["externalSubject"]["type"] != "ExternalReference")))
 
 
 @rule("134", "names of an operation's variables differ")
 def variables(t: Tables) -> DataFrame:
-    rel = F.get("rels", F.size("rels") - 1)
-    inner = t.elements.filter(rel.isin("inputVariables", "outputVariables", "inoutputVariables"))
+    inner = t.elements.filter(last_rel().isin(*VARIABLES))
     return repeated(inner.select(F.col("parent_id").alias("node_id"), "idShort"), F.col("idShort"))
 
 
-@rule("138", "a list in a template has one child")
+@rule("138", "a list in a template or below a variable of an operation has one child")
 def template_lists(t: Tables) -> DataFrame:
     templates = t.graph.submodels.filter("kind = 'Template'").select(F.col("id").alias("submodel_id"))
-    lists = t.elements.filter("model_type = 'SubmodelElementList'").join(templates, "submodel_id", "left_semi").select("node_id")
+    every = t.elements.filter("model_type = 'SubmodelElementList'")
+    lists = every.join(templates, "submodel_id", "left_semi").select("node_id").union(every.filter(F.arrays_overlap("rels", F.array(*map(F.lit, VARIABLES)))).select("node_id")).distinct()
     sizes = t.children.groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
     return found(lists.join(sizes, "node_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter("n <> 1"), F.col("n"))
 

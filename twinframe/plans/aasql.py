@@ -273,7 +273,8 @@ class Compiler:
             for k, (n, i) in enumerate(zip(names, indexes, strict=True)):
                 rel = F.get("rels", F.lit(k))
                 found = found.filter(rel == ("submodelElements" if k == 0 else "value") if self.semantics == "reference" or k == 0 else rel.isin(*ANY_DEPTH))
-                found = found.filter(F.get("names", F.lit(k)) == n if n is not None else F.get("names", F.lit(k)).isNull())
+                # a place asks for a child of a list, whether that has a name or not
+                found = found.filter(F.get("names", F.lit(k)) == n if n is not None else F.get("indexes", F.lit(k)).isNotNull())
                 if i is not None:
                     found = found.filter(F.get("indexes", F.lit(k)) == i)
         else:

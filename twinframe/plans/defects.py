@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,38 +31,38 @@ def graph(spark: SparkSession, sf_dir: str, base: Graph) -> Graph:
         columns = {"model_type": F.lit("Property"), "idShort": names[-1] if isinstance(names[-1], Column) else F.lit(names[-1])} | columns
         placed = {
             "submodel_id": ids[0], "node_id": ids[-1], "parent_id": ids[-2], "rels": F.array(*map(F.lit, rel or ("submodelElements", *["value"] * (len(names) - 1)))),
-            "names": F.array(*(n if isinstance(n, Column) else F.lit(n) for n in names)), "indexes": F.array(*map(F.lit, index or [None] * len(names))).cast("array<int>"), "ancestors": F.array(*ids[:-1]),
+            "names": F.array(*(n if isinstance(n, Column) else F.lit(n) for n in names[:-1]), columns["idShort"]), "indexes": F.array(*map(F.lit, index or [None] * len(names))).cast("array<int>"), "ancestors": F.array(*ids[:-1]),
         }
         return shaped(rows.select(*(c.alias(n) for n, c in (placed | columns).items())), ELEMENT)
 
     only_bad = part.filter(bad)
-    a_list = lambda rule, **c: element(rule, "L", model_type=F.lit("SubmodelElementList"), **c)
-    child = lambda rule, place, **c: element(rule, "L", "x", node=str(place), index=(None, place), idShort=text(None), **c)
-    target = lambda rule, wrong, right: element(rule, "E", model_type=F.lit("ReferenceElement"), target=either(wrong, right))
+    a_list = lambda rule, **c: element(rule, "Items", model_type=F.lit("SubmodelElementList"), **c)
+    child = lambda rule, place, **c: element(rule, "Items", "x", node=str(place), index=(None, place), idShort=text(None), **c)
+    target = lambda rule, wrong, right: element(rule, "Elem", model_type=F.lit("ReferenceElement"), target=either(wrong, right))
     key = lambda kind, *keys: ref(kind, *((k, f"urn:{i}") for i, k in enumerate(keys)))
     good_model = key("ModelReference", "Submodel", "Property")
     elements = [
         element("002", either(F.lit("1bad"), F.lit("good")), idShort=either(F.lit("1bad"), F.lit("good"))),
-        element("014", "E", model_type=F.lit("Entity"), entityType=F.lit("SelfManagedEntity"), globalAssetId=either(text(None), text("urn:x"))),
-        element("021", "E", qualifiers=F.array(qualifier("ValueQualifier", "q"), F.when(bad, qualifier("ValueQualifier", "q")).otherwise(qualifier("ValueQualifier", "r")))),
-        element("022", "E"), element("022", "E", node="E2", rows=only_bad),
-        element("077", "E", extensions=either(F.array(F.lit("e"), F.lit("e")), F.array(F.lit("e"), F.lit("f")))),
-        element("090", "E", category=either(F.lit("OTHER"), F.lit("CONSTANT"))),
+        element("014", "Elem", model_type=F.lit("Entity"), entityType=F.lit("SelfManagedEntity"), globalAssetId=either(text(None), text("urn:x"))),
+        element("021", "Elem", qualifiers=F.array(qualifier("ValueQualifier", "q"), F.when(bad, qualifier("ValueQualifier", "q")).otherwise(qualifier("ValueQualifier", "r")))),
+        element("022", "Elem"), element("022", "Elem", node="Elem2", rows=only_bad),
+        element("077", "Elem", extensions=either(F.array(F.lit("e"), F.lit("e")), F.array(F.lit("e"), F.lit("f")))),
+        element("090", "Elem", category=either(F.lit("OTHER"), F.lit("CONSTANT"))),
         a_list("107", listType=F.lit("Property"), listValueType=F.lit("xs:int"), listSemantic=a), child("107", 0, semantic=either(b, a), valueType=F.lit("xs:int")),
         a_list("108", listType=either(F.lit("Range"), F.lit("DataElement")), listValueType=F.lit("xs:int")), child("108", 0, valueType=F.lit("xs:int")),
         a_list("109", listType=F.lit("Property"), listValueType=either(text(None), text("xs:int"))), child("109", 0, valueType=F.lit("xs:int")),
         a_list("114", listType=F.lit("Property"), listValueType=F.lit("xs:int")), child("114", 0, semantic=a, valueType=F.lit("xs:int")), child("114", 1, semantic=either(b, a), valueType=F.lit("xs:int")),
-        element("117", "E", idShort=either(text(None), text("E"))),
-        element("118", "E", supplemental=F.array(a), semantic=F.when(~bad, a)),
-        a_list("120", listType=F.lit("Property"), listValueType=F.lit("xs:int")), element("120", "L", "x", node="0", index=(None, 0), idShort=either(text("named"), text(None)), valueType=F.lit("xs:int")),
+        element("117", "Elem", idShort=either(text(None), text("Elem"))),
+        element("118", "Elem", supplemental=F.array(a), semantic=F.when(~bad, a)),
+        a_list("120", listType=F.lit("Property"), listValueType=F.lit("xs:int")), element("120", "Items", "x", node="0", index=(None, 0), idShort=either(text("named"), text(None)), valueType=F.lit("xs:int")),
         target("121", key("AnyReference", "Property"), good_model), target("122", key("ExternalReference", "Submodel", "GlobalReference"), a), target("123", key("ModelReference", "GlobalReference"), good_model),
         target("124", key("ExternalReference", "GlobalReference", "Blob"), a), target("125", key("ModelReference", "Submodel", "Submodel"), good_model), target("126", key("ModelReference", "Submodel", "File", "FragmentReference", "File"), good_model),
         target("127", key("ModelReference", "Submodel", "Property", "FragmentReference"), key("ModelReference", "Submodel", "File", "FragmentReference")),
-        target("128", ref("ModelReference", ("Submodel", "urn:0"), ("SubmodelElementList", "L"), ("Property", "name")), ref("ModelReference", ("Submodel", "urn:0"), ("SubmodelElementList", "L"), ("Property", "3"))),
+        target("128", ref("ModelReference", ("Submodel", "urn:0"), ("SubmodelElementList", "Items"), ("Property", "name")), ref("ModelReference", ("Submodel", "urn:0"), ("SubmodelElementList", "Items"), ("Property", "3"))),
         target("137", key("ExternalReference", "GlobalReference", "Property"), a),
-        element("129", "E", qualifiers=F.when(bad, F.array(qualifier("TemplateQualifier", "q")))),
-        element("134", "O", model_type=F.lit("Operation")), *(element("134", "O", n, rel=("submodelElements", r), node=f"{r}{n}", rows=w) for r, n, w in (("inputVariables", "v", part), ("outputVariables", "v", only_bad))),
-        a_list("138", listType=F.lit("Property"), listValueType=F.lit("xs:int")), child("138", 0, valueType=F.lit("xs:int")), element("138", "L", "x", node="1", index=(None, 1), idShort=text(None), valueType=F.lit("xs:int"), rows=only_bad),
+        element("129", "Elem", qualifiers=F.when(bad, F.array(qualifier("TemplateQualifier", "q")))),
+        element("134", "Action", model_type=F.lit("Operation")), *(element("134", "Action", n, rel=("submodelElements", r), node=f"{r}{n}", rows=w) for r, n, w in (("inputVariables", "argument", part), ("outputVariables", "argument", only_bad))),
+        a_list("138", listType=F.lit("Property"), listValueType=F.lit("xs:int")), child("138", 0, valueType=F.lit("xs:int")), element("138", "Items", "x", node="1", index=(None, 1), idShort=text(None), valueType=F.lit("xs:int"), rows=only_bad),
     ]
     rules = [f"{n:03d}" for n in (2, 5, 14, 21, 22, 77, 90, 107, 108, 109, 114, 117, 118, 119, 120, 121, 122, 123, 124, 125, 126, 127, 128, 129, 134, 137, 138)]
     columns = {
@@ -76,4 +75,4 @@ def graph(spark: SparkSession, sf_dir: str, base: Graph) -> Graph:
         shaped(part.select(root("133").alias("id"), F.lit("Check").alias("idShort"), F.lit("urn:x").alias("globalAssetId"), entry(either(good_model, a)).alias("specific")), SHELL),
     ]
     union = lambda dfs: reduce(DataFrame.unionByName, dfs)
-    return replace(base, shells=union(shells), submodels=union(submodels), elements=union(elements), concepts=base.concepts.filter("false"))
+    return base.changed(shells=union([base.shells, *shells]), submodels=union([base.submodels, *submodels]), elements=union([base.elements, *elements]))

@@ -11,6 +11,7 @@ from .functions import scalars
 from .operators import cleaning, resolve, semantic, template, tools, validate
 from .plans import aasql, defects, project
 from .schema import ELEMENT, Graph, reference, shaped
+from .session import new_folder
 from .streaming import operational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,9 +37,32 @@ def number(v: float) -> dict:
 
 
 def ask(name: str, condition: dict, oracle: str, target: str | None = None, semantics: str = "reference") -> None:
-    """An AASQL query for ids; its oracle selects one column id."""
+    """An AASQL query for ids; its oracle selects one column id. One that leads from submodels to shells reads the stored bridge."""
     query = {"$select": "id", "$condition": condition}
-    add(f"aasql_{name}", lambda spark, sf_dir: aasql.compile_query(query, graph_of(spark, sf_dir), target, semantics).select("id"), oracle)
+    of = linked_graph_of if target == "aas" or "cross" in name or name == "target_sm" else graph_of
+    add(f"aasql_{name}", lambda spark, sf_dir: aasql.compile_query(query, of(spark, sf_dir), target, semantics).select("id"), oracle)
+
+
+def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projected graph, analysed once for each session and folder."""
+    return once(spark, "graph", sf_dir, lambda: project.graph(spark, sf_dir))
+
+
+def linked_graph_of(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projected graph, its references and bridge stored once for each session and folder."""
+    return once(spark, "linked", sf_dir, lambda: resolve.link(graph_of(spark, sf_dir), new_folder(spark)))
+
+
+def checked_graph_of(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projected graph and planted violations of every rule."""
+    return once(spark, "checked", sf_dir, lambda: defects.graph(spark, sf_dir, graph_of(spark, sf_dir)))
+
+
+def once(spark: SparkSession, what: str, sf_dir: str, make: Callable[[], Graph]) -> Graph:
+    known = spark.__dict__.setdefault("_twinframe_graphs", {})
+    if (what, sf_dir) not in known:
+        known[what, sf_dir] = make()
+    return known[what, sf_dir]
 
 
 TECH = "'urn:sm:technicaldata:' || p_partkey AS id FROM part"
@@ -55,18 +79,19 @@ BRAND, KIND, NAME = (f"$sme.GeneralInformation.{n}#value" for n in ("Brand", "Pr
 SIZE, PRICE = "$sme.TechnicalPropertyAreas.Size#value", "$sme.TechnicalPropertyAreas.RetailPrice#value"
 
 ask("flagship", {"$and": [{"$ge": [{"$numCast": field(SIZE)}, number(40)]}, {"$eq": [field(KIND), text("PROMO")]}]}, f"SELECT {TECH} WHERE p_size >= 40 AND p_type = 'PROMO' AND p_partkey % 4 <> 0")
-ask("eq_field_field", {"$eq": [field("$aas#idShort"), field("$aas#assetInformation.assetType")]}, "SELECT 'x' AS id WHERE false")
+ask("eq_field_field", {"$eq": [field("$sme.Lines[0].Quantity#valueType"), field("$sme.Lines[1].Quantity#valueType")]}, f"SELECT 'urn:sm:order:' || l_orderkey AS id FROM {PLACED} WHERE i = 1")
+ask("eq_field_field_none", {"$eq": [field("$aas#idShort"), field("$aas#assetInformation.assetType")]}, "SELECT 'x' AS id WHERE false")
 ask("eq_str", {"$eq": [field(BRAND), text("Brand#2")]}, f"SELECT {TECH} WHERE p_brand = 'Brand#2'")
 ask("ne", {"$ne": [field(KIND), text("PROMO")]}, f"SELECT {TECH} WHERE p_type <> 'PROMO'")
 ask("gt_numcast", {"$gt": [{"$numCast": field(SIZE)}, number(45)]}, f"SELECT {TECH} WHERE p_size > 45 AND p_partkey % 4 <> 0")
-ask("ge", {"$ge": [field(PRICE), number(1500)]}, f"SELECT {TECH} WHERE p_retailprice >= 1500")
+ask("ge", {"$ge": [field(PRICE), number(910)]}, f"SELECT {TECH} WHERE p_retailprice >= 910")
 ask("lt", {"$lt": [field("$sme.TotalPrice#value"), number(50000)]}, f"SELECT {ORDER} WHERE o_totalprice < 50000")
 ask("le", {"$le": [field(PRICE), number(950)]}, f"SELECT {TECH} WHERE p_retailprice <= 950")
 ask("uncast_string_number", {"$ge": [field(SIZE), number(1)]}, "SELECT 'x' AS id WHERE false")
 ask("uncast_string_number_spec", {"$ge": [field(SIZE), number(48)]}, f"SELECT {TECH} WHERE p_size >= 48 AND p_partkey % 4 <> 0", semantics="spec")
-ask("contains", {"$contains": [field(NAME), text("1")]}, f"SELECT {TECH} WHERE contains(p_name, '1')")
+ask("contains", {"$contains": [field(NAME), text("e wi")]}, f"SELECT {TECH} WHERE contains(p_name, 'e wi')")
 ask("starts_with", {"$starts-with": [field(BRAND), text("Brand#1")]}, f"SELECT {TECH} WHERE starts_with(p_brand, 'Brand#1')")
-ask("ends_with", {"$ends-with": [field(NAME), text("7")]}, f"SELECT {TECH} WHERE ends_with(p_name, '7')")
+ask("ends_with", {"$ends-with": [field(NAME), text("bolt")]}, f"SELECT {TECH} WHERE ends_with(p_name, 'bolt')")
 ask("regex_fullmatch", {"$regex": [field(BRAND), text("Brand#[1-3]")]}, f"SELECT {TECH} WHERE regexp_full_match(p_brand, 'Brand#[1-3]')")
 ask("and", {"$and": [{"$eq": [field("$sme.Status#value"), text("F")]}, {"$gt": [field("$sme.TotalPrice#value"), number(300000)]}]}, f"SELECT {ORDER} WHERE o_orderstatus = 'F' AND o_totalprice > 300000")
 ask("or_mandatory_paths", {"$or": [{"$eq": [field(KIND), text("PROMO")]}, {"$gt": [{"$numCast": field(SIZE)}, number(45)]}]}, f"SELECT {TECH} WHERE (p_type = 'PROMO' OR p_size > 45) AND p_partkey % 4 <> 0")
@@ -79,7 +104,7 @@ ask("match_named_uncorrelated", {"$match": [{"$gt": [field("$sme.Lines[].Quantit
 ask("path_indexed", {"$gt": [field("$sme.Lines[0].Quantity#value"), number(40)]}, f"SELECT 'urn:sm:order:' || l_orderkey AS id FROM {PLACED} WHERE i = 0 AND l_quantity > 40")
 ask("path_any_index", {"$ge": [field("$sme.Lines[].ExtendedPrice#value"), number(50000)]}, f"{LINE} WHERE l_extendedprice >= 50000")
 ask("bare_sme_recursive", {"$eq": [field("$sme#value"), text("Brand#4")]}, f"SELECT {TECH} WHERE p_brand = 'Brand#4'")
-ask("specific_asset_ids", {"$eq": [field("$aas#specificAssetIds[0].value"), text("FRANCE")]}, "SELECT 'urn:aas:supplier:' || s_suppkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'FRANCE' UNION ALL SELECT 'urn:aas:customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'FRANCE'")
+ask("specific_asset_ids", {"$eq": [field("$aas#specificAssetIds[0].value"), text("NATION_3")]}, "SELECT 'urn:aas:supplier:' || s_suppkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_3' UNION ALL SELECT 'urn:aas:customer:' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'")
 ask("specific_asset_ids_any", {"$eq": [field("$aas#specificAssetIds[].value"), text("ASIA")]}, "SELECT 'urn:aas:supplier:' || s_suppkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 ask("asset_type", {"$eq": [field("$aas#assetInformation.assetType"), text("BUILDING")]}, "SELECT 'urn:aas:customer:' || c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'")
 ask("submodels_indexed", {"$eq": [field("$aas#submodels[0].keys[0].value"), text("urn:sm:nameplate:1")]}, "SELECT 'x' AS id WHERE false")
@@ -91,7 +116,8 @@ ask("mlp_value", {"$eq": [field("$sme.ManufacturerName#value"), {"$strVal": "Fir
 ask("mlp_contains", {"$contains": [field("$sme.ManufacturerName#value"), text("Firma")]}, f"SELECT {PLATE}")
 ask("mlp_language", {"$eq": [field("$sme.Text#language"), text("de")]}, "SELECT 'urn:sm:doc:' || doc_id AS id FROM documents WHERE lang = 'de'")
 ask("cast_str", {"$eq": [{"$strCast": field("$sme.GeneralInformation.Brand#value")}, text("Brand#5")]}, f"SELECT {TECH} WHERE p_brand = 'Brand#5'")
-ask("cast_bool", {"$eq": [{"$boolCast": field("$sme.Status#value")}, {"$boolean": True}]}, "SELECT 'x' AS id WHERE false")
+ask("cast_bool", {"$and": [{"$eq": [field("$sm#idShort"), text("Nameplate")]}, {"$eq": [{"$boolCast": text(" TRUE")}, {"$boolean": True}]}]}, f"SELECT {PLATE}")
+ask("cast_bool_none", {"$eq": [{"$boolCast": field("$sme.Status#value")}, {"$boolean": True}]}, "SELECT 'x' AS id WHERE false")
 ask("cast_hex", {"$eq": [{"$hexCast": field(SIZE)}, {"$hexVal": "16#1F"}]}, f"SELECT {TECH} WHERE p_size = 31 AND p_partkey % 4 <> 0")
 ask("cast_datetime", {"$ge": [{"$dateTimeCast": field("$sme.OrderDate#value")}, {"$dateTimeVal": "1998-01-01T00:00:00"}]}, f"SELECT {ORDER} WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
 ask("uncast_datetime", {"$eq": [field("$sme.OrderDate#value"), {"$dateTimeVal": "1998-01-01T00:00:00"}]}, "SELECT 'x' AS id WHERE false")
@@ -103,23 +129,15 @@ ask("day_of_week", {"$eq": [{"$dayOfWeek": {"$dateTimeCast": field("$sme.OrderDa
 ask("constant_year", {"$and": [{"$eq": [field("$sm#idShort"), text("Nameplate")]}, {"$eq": [{"$year": "2026-04-28T00:00:00Z"}, number(2026)]}]}, f"SELECT {PLATE}")
 ask("submodel_id_short", {"$eq": [field("$sm#idShort"), text("OrderRecord")]}, f"SELECT {ORDER}")
 ask("submodel_semantic", {"$eq": [field("$sm#semanticId"), text("0173-1#01-AHX837#002")]}, f"SELECT {TECH}")
-ask("cross_root_aas_sme", {"$and": [{"$eq": [field("$aas#assetInformation.assetType"), text("Supplier")]}, {"$eq": [field(BRAND), text("Brand#3")]}, {"$ge": [field(PRICE), number(1800)]}]}, "SELECT DISTINCT 'urn:aas:supplier:' || l_suppkey AS id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#3' AND p_retailprice >= 1800")
+ask("cross_root_aas_sme", {"$and": [{"$eq": [field("$aas#assetInformation.assetType"), text("Supplier")]}, {"$eq": [field(BRAND), text("Brand#3")]}, {"$ge": [field(PRICE), number(915)]}]}, "SELECT DISTINCT 'urn:aas:supplier:' || l_suppkey AS id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#3' AND p_retailprice >= 915")
 ask("target_sm", {"$and": [{"$eq": [field("$aas#idShort"), text("Supplier_2")]}, {"$eq": [field(KIND), text("PROMO")]}]}, "SELECT DISTINCT 'urn:sm:technicaldata:' || p_partkey AS id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey = 2 AND p_type = 'PROMO'", target="sm")
 ask("target_aas", {"$ge": [field("$sme.TotalPrice#value"), number(400000)]}, "SELECT DISTINCT 'urn:aas:customer:' || o_custkey AS id FROM orders WHERE o_totalprice >= 400000", target="aas")
 ask("cd_root", {"$eq": [field("$cd#idShort"), text("Concept_3_2")]}, "SELECT '0173-1#02-AAA003#002' AS id")
 ask("descriptors_empty", {"$eq": [field("$aasdesc#idShort"), text("x")]}, "SELECT 'x' AS id WHERE false", target="aas")
 
 
-def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    """The projected graph, analysed once for each session and folder."""
-    known = spark.__dict__.setdefault("_twinframe_graphs", {})
-    if sf_dir not in known:
-        known[sf_dir] = project.graph(spark, sf_dir)
-    return known[sf_dir]
-
-
 def graph_query(name: str, run: Callable, oracle: str | None = None) -> None:
-    add(name, lambda spark, sf_dir: run(graph_of(spark, sf_dir)), oracle)
+    add(name, lambda spark, sf_dir: run(linked_graph_of(spark, sf_dir)), oracle)
 
 
 graph_query("count_stats", tools.count_stats, "SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) AS shells, 2 * 0 + (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM documents) + (SELECT count(DISTINCT user_id) FROM events) AS submodels, 30 + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS concepts")
@@ -208,30 +226,55 @@ add("operational_latest", lambda spark, sf_dir: operational.latest(spark.read.pa
 add("operational_windows", lambda spark, sf_dir: operational.windows(spark.read.parquet(f"{sf_dir}/events.parquet")).select("start", "event_type", "n"), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 
 
-def fields_near(spark: SparkSession, sf_dir: str, asked: str = "id < 20") -> DataFrame:
+def fields_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of every fiftieth id, so that the queries grow with the table."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    return tools.nearest_fields(vectors, vectors.filter(asked).select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))).select("query_id", "rank", "id")
+    return tools.nearest_fields(vectors, vectors.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))).select("query_id", "rank", "id")
 
 
-add("knn_fields", fields_near, "SELECT query_id, rank::INTEGER AS rank, id FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id) WHERE rank <= 5")
-#: The same search for every fiftieth id, so that the queries grow with the table.
-add("knn_fields_every_50", lambda spark, sf_dir: fields_near(spark, sf_dir, "id % 50 = 0"), "SELECT query_id, rank::INTEGER AS rank, id FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5")
+NEAR = "SELECT query_id, rank::INTEGER AS rank, id FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5"
+add("knn_fields", fields_near, NEAR)
+add("knn_fields_every_50", fields_near, NEAR)
 
-#: Where a violation of a rule shows, below its submodel.
-PLACES = {"002": "/1bad", "005": "", "022": "", "107": "/L/0", "108": "/L/0", "109": "/L", "114": "/L", "119": "", "120": "/L/0", "131": "", "133": "", "134": "/O", "138": "/L"}
+#: Where a planted violation of a rule shows, below its submodel; rules that the planted violations of others break too; violations in the star tables.
+PLACES = {"002": "/1bad", "005": "", "022": "", "107": "/Items/0", "108": "/Items/0", "109": "/Items", "114": "/Items", "119": "", "120": "/Items/0", "131": "", "133": "", "134": "/Action", "138": "/Items"}
+ALSO = {"124": ("137",), "137": ("122", "124")}
+NO_NAME = "NOT regexp_full_match({0}, '[a-zA-Z][a-zA-Z0-9_-]*[a-zA-Z0-9_]+')"
+OWN = {"002": f"UNION ALL SELECT 'AASd-002', 'urn:region:' || r_regionkey FROM region WHERE {NO_NAME.format('r_name')} UNION ALL SELECT 'AASd-002', 'urn:nation:' || n_nationkey FROM nation WHERE {NO_NAME.format('n_name')}"}
 
 
 def violations(constraint: str) -> Callable[[SparkSession, str], DataFrame]:
     version = validate.ONLY.get(constraint, ("3.1",))[0]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        checked = validate.Checker(defects.graph(spark, sf_dir, graph_of(spark, sf_dir)), version).check([constraint])
-        own = f":{constraint.removeprefix('AASd-')}:"
-        return checked.filter(F.contains("node_id", F.lit(own))).select("constraint_id", "node_id").distinct()
+        return validate.Checker(checked_graph_of(spark, sf_dir), version).check([constraint]).select("constraint_id", "node_id").distinct()
 
     return run
 
 
+def planted(constraint: str, rule: str) -> str:
+    return f"SELECT '{constraint}' AS constraint_id, 'urn:check:{rule}:' || p_partkey || '{PLACES.get(rule, '/Elem')}' AS node_id FROM part WHERE p_partkey % {defects.EVERY} = 0"
+
+
 for _constraint in sorted(validate.RULES):
     _n = _constraint.removeprefix("AASd-")
-    add(f"aasd_{_n}", violations(_constraint), f"SELECT '{_constraint}' AS constraint_id, 'urn:check:{_n}:' || p_partkey || '{PLACES.get(_n, '/E')}' AS node_id FROM part WHERE p_partkey % {defects.EVERY} = 0")
+    add(f"aasd_{_n}", violations(_constraint), " ".join([" UNION ALL ".join(planted(_constraint, r) for r in (_n, *ALSO.get(_n, ()))), OWN.get(_n, "")]))
+
+
+def named_list_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of lists are found by their place, named or not."""
+    query = {"$condition": {"$match": [{"$eq": [field("$sme.Items[0]#idShort"), text("named")]}]}}
+    return aasql.compile_query(query, checked_graph_of(spark, sf_dir)).select("id")
+
+
+def by_place_and_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model references to a list's child by its place and by its name."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    steps = lambda last: reference("ModelReference", ("Submodel", F.concat(F.lit("urn:check:120:"), F.col("p_partkey").cast("string"))), ("SubmodelElementList", F.lit("Items")), ("Property", F.lit(last)))
+    refs = part.select(F.explode(F.array(steps("0"), steps("named"), steps("1"))).alias("ref")).select(F.lit("x").alias("owner"), F.sha2(F.to_json("ref"), 256).alias("ref_id"), "ref")
+    return resolve.resolve(checked_graph_of(spark, sf_dir), refs).select("target_id")
+
+
+CHILD = "'urn:check:120:' || p_partkey || '/Items/0'"
+add("aasql_path_named_list_child", named_list_child, f"SELECT 'urn:check:120:' || p_partkey AS id FROM part WHERE p_partkey % {defects.EVERY} = 0")
+add("resolve_by_place", by_place_and_name, f"SELECT {CHILD} AS target_id FROM part UNION ALL SELECT {CHILD} FROM part WHERE p_partkey % {defects.EVERY} = 0")

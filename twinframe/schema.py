@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,18 +35,21 @@ ELEMENT = f"""submodel_id string, node_id string, parent_id string, rels array<s
     model_type string, idShort string, category string, value string, kind string, valueType string, min string, max string, texts {LANG},
     semantic {REFERENCE}, supplemental array<{REFERENCE}>, qualifiers {QUALIFIERS}, extensions array<string>, target {REFERENCE},
     entityType string, globalAssetId string, specific {SPECIFIC}, listType string, listValueType string, listSemantic {REFERENCE}"""
-SHELL = f"id string, idShort string, category string, assetKind string, assetType string, globalAssetId string, specific {SPECIFIC}, submodels array<{REFERENCE}>, version string, revision string, description {LANG}"
-SUBMODEL = f"id string, idShort string, category string, kind string, semantic {REFERENCE}, supplemental array<{REFERENCE}>, qualifiers {QUALIFIERS}, version string, revision string, description {LANG}"
-CONCEPT = f"id string, idShort string, displayName {LANG}, description {LANG}, isCaseOf array<{REFERENCE}>, unit string"
+SHELL = f"id string, idShort string, category string, assetKind string, assetType string, globalAssetId string, specific {SPECIFIC}, submodels array<{REFERENCE}>, version string, revision string, description {LANG}, extensions array<string>"
+SUBMODEL = f"id string, idShort string, category string, kind string, semantic {REFERENCE}, supplemental array<{REFERENCE}>, qualifiers {QUALIFIERS}, version string, revision string, description {LANG}, extensions array<string>"
+CONCEPT = f"id string, idShort string, displayName {LANG}, description {LANG}, isCaseOf array<{REFERENCE}>, unit string, version string, revision string, extensions array<string>"
 
 
+@cache
 def struct(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
 def shaped(df: DataFrame, ddl: str) -> DataFrame:
     """df with exactly the columns of ddl, in order; those it lacks are null."""
-    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in struct(ddl).fields))
+    there = dict(df.dtypes)
+    given = lambda f: F.col(f.name) if there[f.name] == f.dataType.simpleString() else F.col(f.name).cast(f.dataType)
+    return df.select(*((given(f) if f.name in there else F.lit(None).cast(f.dataType)).alias(f.name) for f in struct(ddl).fields))
 
 
 def labels(model_type: Column) -> Column:
@@ -71,13 +75,21 @@ class Graph:
     submodels: DataFrame
     elements: DataFrame
     concepts: DataFrame
+    #: References and bridge as stored tables, if operators.resolve.link has made them.
+    links: tuple[DataFrame, DataFrame] | None = None
 
     @property
     def spark(self):
         return self.shells.sparkSession
 
+    def changed(self, **tables: DataFrame) -> Graph:
+        """This graph with other tables in place of some; stored links go."""
+        return replace(self, links=None, **tables)
+
     @property
     def bridge(self) -> DataFrame:
+        if self.links:
+            return self.links[1]
         refs = self.shells.select(F.col("id").alias("aas_id"), F.explode("submodels").alias("r")).select("aas_id", first_key(F.col("r")).alias("sm_id"))
         return refs.join(self.submodels.select(F.col("id").alias("sm_id")), "sm_id").distinct()
 
