@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +41,31 @@ def fix_id_short(name: Column, hyphens: bool = False) -> Column:
     return F.when(plain.rlike(r"^[A-Za-z]"), plain).otherwise(F.concat(F.lit("x"), plain))
 
 
-def repair(elements: DataFrame) -> DataFrame:
-    return elements.withColumns({"texts": drop_empty_texts(fix_languages(F.col("texts"))), "valueType": fix_value_type(F.col("valueType"), F.col("value")), "idShort": fix_id_short(F.col("idShort"))})
+class Fixer(NamedTuple):
+    """A repair: the column that it mends, and the mended column."""
+
+    name: str
+    column: str
+    mended: Callable[[], Column]
+
+
+FIXERS = (
+    Fixer("language", "texts", lambda: fix_languages(F.col("texts"))), Fixer("emptyText", "texts", lambda: drop_empty_texts(F.col("texts"))),
+    Fixer("numeric", "valueType", lambda: fix_value_type(F.col("valueType"), F.col("value"))), Fixer("idShort", "idShort", lambda: fix_id_short(F.col("idShort"))),
+)
+
+
+def repair(elements: DataFrame, fixers: tuple[Fixer, ...] = FIXERS) -> DataFrame:
+    """elements after each repair in turn; own ones may come before, after or instead of FIXERS."""
+    for fixer in fixers:
+        elements = elements.withColumn(fixer.column, fixer.mended())
+    return elements
 
 
-def repair_report(elements: DataFrame) -> DataFrame:
-    """(fixer, n): how many elements each repair changes."""
-    changed = {
-        "language": ~F.coalesce(fix_languages(F.col("texts")) == F.col("texts"), F.lit(True)), "numeric": ~fix_value_type(F.col("valueType"), F.col("value")).eqNullSafe(F.col("valueType")),
-        "idShort": ~fix_id_short(F.col("idShort")).eqNullSafe(F.col("idShort")), "emptyText": F.coalesce(F.size(drop_empty_texts(F.col("texts"))) < F.size("texts"), F.lit(False)),
-    }
-    counts = elements.agg(*(F.count_if(c).alias(n) for n, c in changed.items()))
-    return counts.select(F.inline(F.array(*(F.struct(F.lit(n).alias("fixer"), F.col(n).alias("n")) for n in changed))))
+def repair_report(elements: DataFrame, fixers: tuple[Fixer, ...] = FIXERS) -> DataFrame:
+    """(fixer, n): how many elements each repair changes by itself."""
+    counts = elements.agg(*(F.count_if(~f.mended().eqNullSafe(F.col(f.column))).alias(f.name) for f in fixers))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(f.name).alias("fixer"), F.col(f.name).alias("n")) for f in fixers))))
 
 
 def first_wins(rows: DataFrame, key: str, *order: str, stored: DataFrame | None = None) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.aasql import compile_query
 from ..schema import CONCEPT, ELEMENT, SHELL, SUBMODEL, Graph, shaped
 from .cleaning import repair
+from .resolve import references, resolve
 
 TABLES = {"AssetAdministrationShell": ("shells", SHELL), "Submodel": ("submodels", SUBMODEL), "ConceptDescription": ("concepts", CONCEPT)}
 
@@ -75,17 +78,76 @@ class Store:
 
     def remove(self, identifier: str) -> Store:
         """Removes an identifiable and its elements; KeyError if it is unknown."""
+        return self.removed(identifier)[0]
+
+    def removed(self, identifier: str) -> tuple[Store, int]:
+        """The store without an identifiable and its elements, and how many nodes went; KeyError if it is unknown.
+
+        An element that a reference from outside still names stays, with all above it within the submodel.
+        """
         kind, _ = self.get(identifier)
         table = TABLES[kind][0]
-        changed = {table: getattr(self.graph, table).filter(F.col("id") != identifier)}
+        changed, n = {table: getattr(self.graph, table).filter(~F.col("id").eqNullSafe(identifier))}, 1
         if kind == "Submodel":
-            changed["elements"] = self.graph.elements.filter(F.col("submodel_id") != identifier)
-        return Store(self.graph.changed(**changed))
+            changed["elements"], below = self.without(F.col("submodel_id") == identifier)
+            n += below
+        return Store(self.graph.changed(**changed)), n
 
     def remove_element(self, submodel_id: str, path: str) -> Store:
+        """Removes the element at a path and what is below it, as removed does."""
+        return self.removed_element(submodel_id, path)[0]
+
+    def removed_element(self, submodel_id: str, path: str) -> tuple[Store, int]:
         node = self.find(submodel_id, path).first()["node_id"]
-        gone = (F.col("submodel_id") == submodel_id) & ((F.col("node_id") == node) | F.array_contains("ancestors", node))
-        return Store(self.graph.changed(elements=self.graph.elements.filter(~gone)))
+        below = (F.col("submodel_id") == submodel_id) & F.array_contains("ancestors", node)
+        kept, n = self.without(below, F.col("node_id") == node)
+        return Store(self.graph.changed(elements=kept)), n + 1
+
+    def without(self, inside: Column, root: Column | None = None) -> tuple[DataFrame, int]:
+        """The elements but for those inside (and root, which goes in any case), unless a reference from outside names them; and how many inside went."""
+        elements = self.graph.elements
+        root = F.lit(False) if root is None else root
+        owners = elements.filter(inside | root).select(F.col("node_id").alias("owner"))
+        outside = references(self.graph).join(owners, "owner", "left_anti")
+        named = resolve(self.graph, outside).select(F.col("target_id").alias("node_id")).distinct()
+        held = elements.filter(inside).join(named, "node_id", "left_semi")
+        stays = held.select("node_id").union(held.select(F.explode("ancestors"))).distinct()
+        gone = elements.filter(inside & ~root).join(stays, "node_id", "left_anti").select("node_id")
+        kept = elements.filter(~root).join(gone, "node_id", "left_anti")
+        return kept, gone.count()
+
+    def commit(self, kind: str, row: DataFrame, elements: DataFrame | None = None, fix: bool = False) -> Store:
+        """Puts a new version in the place of a stored identifiable; KeyError if there is none. References are resolved when they are read, so both ways follow."""
+        return self.remove(row.first()["id"]).add_identifiable(kind, row, elements, fix)
+
+    def discard(self, identifier: str) -> Store:
+        """The store without an identifiable; itself if there is none."""
+        return self.remove(identifier) if self.exists(identifier) else self
+
+    def upsert(self, other: Graph) -> Store:
+        """Takes over all identifiables of other, in the place of stored ones of their ids: one anti-join and a union for each table."""
+        changed = {}
+        for table, ddl in TABLES.values():
+            new = shaped(getattr(other, table), ddl)
+            changed[table] = getattr(self.graph, table).join(new.select("id"), "id", "left_anti").select(*new.columns).unionByName(new)
+        new = shaped(other.elements, ELEMENT)
+        known = self.graph.elements.join(other.submodels.select(F.col("id").alias("submodel_id")), "submodel_id", "left_anti")
+        return Store(self.graph.changed(elements=known.select(*new.columns).unionByName(new), **changed))
+
+    def ids(self, kind: str | None = None) -> DataFrame:
+        """(kind, id) of all identifiables, or of one kind."""
+        parts = [getattr(self.graph, table).select(F.lit(k).alias("kind"), "id") for k, (table, _) in TABLES.items() if kind in (None, k)]
+        return reduce(DataFrame.union, parts)
+
+    def query(self, query: str | dict, target: str | None = None) -> DataFrame:
+        """The rows that an AASQL query selects."""
+        return compile_query(query, self.graph, target)
 
     def count(self) -> int:
-        return sum(getattr(self.graph, t).count() for t, _ in TABLES.values())
+        return self.ids().count()
+
+    def __contains__(self, identifier: str) -> bool:
+        return self.exists(identifier)
+
+    def __len__(self) -> int:
+        return self.count()

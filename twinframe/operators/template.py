@@ -27,6 +27,24 @@ def union(graph: Graph, submodel_type: str, by_semantic_id: bool = False) -> Dat
     return places.select("path", "depth", "f.model_type", "f.valueType", "f.semantic_id", "instances", (F.col("instances") < total).alias("optional"))
 
 
+def document(graph: Graph, submodel_type: str, by_semantic_id: bool = False) -> dict:
+    """The template as one nested document: places of the union below one another, with their cardinality.
+
+    A type's places are few whatever the number of its submodels, so the document is put together by the driver.
+    """
+    places = sorted(union(graph, submodel_type, by_semantic_id).collect(), key=lambda r: (r["depth"], r["path"]))
+    root = {"modelType": "Submodel", "kind": "Template", ("semanticId" if by_semantic_id else "idShort"): submodel_type, "submodelElements": []}
+    made = {}
+    for r in places:
+        above, _, name = r["path"].rpartition("/")
+        e = {"modelType": r["model_type"]} | ({} if name == "[]" else {"idShort": name}) | {k: v for k, v in (("valueType", r["valueType"]), ("semanticId", r["semantic_id"])) if v}
+        made[r["path"]] = e | {"cardinality": "ZeroToOne" if r["optional"] else "One"}
+        parent = made.get(above) if above else root
+        if parent is not None:
+            parent.setdefault("submodelElements" if parent is root else "value", []).append(made[r["path"]])
+    return root
+
+
 def element_labels(graph: Graph) -> DataFrame:
     """(label, n): how many elements are of each class, its parents included."""
     return graph.elements.groupBy("model_type").agg(F.count(F.lit(1)).alias("n")).select(F.explode(labels(F.col("model_type"))).alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import irdi_base, leading_number
+from ..functions.scalars import irdi_base, leading_number, pick_text
 from ..schema import Graph
 from .semantic import element_text, matches, semantic_id
 
@@ -137,6 +137,25 @@ def nearest_fields(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFra
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+def relevant_fields(corpus: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+    """(rank, field, submodel_type, base, distance): the k fields nearest to any of a question's queries (query_id, query).
+
+    corpus (id, field, submodel_type, base, embedding) has a vector for each field. Each query gives its k nearest, of which a field (with its concept)
+    keeps its best distance.
+    """
+    near = nearest_fields(corpus.select("id", "embedding"), queries, k).join(corpus.select("id", "field", "submodel_type", "base"), "id")
+    best = near.groupBy("field", "base").agg(F.min(F.struct("distance", "submodel_type")).alias("best")).select("field", "best.submodel_type", "base", "best.distance")
+    rank = F.row_number().over(Window.orderBy("distance", "field", F.col("base").asc_nulls_last()))
+    return best.orderBy("distance", "field", F.col("base").asc_nulls_last()).limit(k).select(rank.alias("rank"), "field", "submodel_type", "base", "distance")
+
+
+def by_concept(fields: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(base, name, fields) of fields that share a concept, however they are spelled; name is the concept's text, if it has one."""
+    named = concepts.select(irdi_base(F.col("id")).alias("base"), pick_text(F.col("displayName"), F.lit(None).cast("string")).alias("name")).groupBy("base").agg(F.min("name").alias("name"))
+    groups = fields.filter("base IS NOT NULL").groupBy("base").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+    return groups.join(named, "base", "left").select("base", "name", "fields")
+
+
 def sql_read(graph: Graph, statement: str) -> DataFrame:
     """One SELECT over the graph's tables; ValueError for anything that is not a lone query."""
     text = statement.strip().rstrip(";")

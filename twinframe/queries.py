@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import cleaning, resolve, semantic, template, tools, validate
+from .operators import cleaning, projection, resolve, semantic, statistics, template, tools, validate
 from .plans import aasql, defects, project
 from .schema import ELEMENT, Graph, reference, shaped
 from .session import new_folder
+from .sources import readers
 from .streaming import operational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,7 +211,29 @@ add("fix_elements", lambda spark, sf_dir: cleaning.repair(named_events(spark, sf
 add("fix_report", lambda spark, sf_dir: cleaning.repair_report(named_events(spark, sf_dir)), "SELECT fixer, (SELECT count(*) FROM events WHERE event_id % 3 = 0) AS n FROM (SELECT unnest(['language', 'numeric', 'idShort', 'emptyText']) AS fixer)")
 add("dedup_identifiable_first_wins", lambda spark, sf_dir: cleaning.first_wins(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
 graph_query("dedup_references", lambda g: cleaning.shared_references(resolve.references(g).filter("ref.type = 'ModelReference'")).agg(F.count(F.lit(1)).alias("refs"), F.sum("owners").alias("owners")), f"SELECT count(DISTINCT sm) AS refs, count(*) AS owners FROM {BRIDGE}")
-graph_query("element_labels", template.element_labels)
+#: Which classes an element's class also is.
+UP = "(SELECT unnest(['Property', 'MultiLanguageProperty', 'SubmodelElementCollection', 'SubmodelElementList']) AS model_type, unnest([['DataElement'], ['DataElement'], [], []]) AS up)"
+LABELS = f"SELECT label AS name, sum(n)::BIGINT AS n FROM (SELECT unnest(list_concat([model_type, 'SubmodelElement', 'Referable', 'Qualifiable'], up)) AS label, n FROM ({ORACLES['count_by_type']}) JOIN {UP} USING (model_type)) GROUP BY 1"
+graph_query("element_labels", template.element_labels, f"SELECT name AS label, n FROM ({LABELS})")
+_NODES = {"shells": "(SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer)", "submodels": "(SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM documents) + (SELECT count(DISTINCT user_id) FROM events)", "concepts": "30 + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)"}
+graph_query("storage_counts", lambda g: statistics.storage_counts(g).filter("what <> 'value'"), f"""SELECT 'label' AS what, name, sum(n)::BIGINT AS n FROM ({LABELS} UNION ALL SELECT unnest(['AssetAdministrationShell', 'Identifiable', 'Referable']), {_NODES['shells']}
+    UNION ALL SELECT unnest(['Submodel', 'Identifiable', 'Referable', 'Qualifiable']), {_NODES['submodels']} UNION ALL SELECT unnest(['ConceptDescription', 'Identifiable', 'Referable']), {_NODES['concepts']}) GROUP BY name
+    UNION ALL SELECT 'containment', 'submodelElements', 2 * (SELECT count(*) FROM part) + 2 * (SELECT count(*) FROM supplier) + (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey) + 5 * (SELECT count(*) FROM orders) + 3 * (SELECT count(*) FROM documents) + 2 * (SELECT count(DISTINCT user_id) FROM events)
+    UNION ALL SELECT 'containment', 'value', 5 * (SELECT count(*) FROM part) + 6 * (SELECT count(*) FROM lineitem)""")
+graph_query("project_rows_shells", lambda g: projection.rows(g, "shells"), """SELECT 'AssetAdministrationShell' AS "modelType", 'Supplier_' || s_suppkey AS "idShort", 'urn:aas:supplier:' || s_suppkey AS id, 'urn:asset:supplier:' || s_suppkey AS "globalAssetId" FROM supplier
+    UNION ALL SELECT 'AssetAdministrationShell', 'Customer_' || c_custkey, 'urn:aas:customer:' || c_custkey, 'urn:asset:customer:' || c_custkey FROM customer""")
+graph_query("project_rows_submodels", lambda g: projection.rows(g, "submodels", semantic.submodels_by_type(g, "TechnicalData")), """SELECT 'Submodel' AS "modelType", 'TechnicalData' AS "idShort", 'urn:sm:technicaldata:' || p_partkey AS id, '0173-1#01-AHX837#002' AS "semanticId" FROM part""")
+graph_query("project_elements", lambda g: projection.elements(g, semantic.submodels_by_type(g, "HandoverDocumentation")).filter("modelType = 'MultiLanguageProperty'"), """SELECT 'urn:sm:doc:' || doc_id AS submodel_id, 'Text' AS "idShort", 'MultiLanguageProperty' AS "modelType", text AS value FROM documents""")
+
+
+def round_trip(g: Graph) -> DataFrame:
+    """Elements by type after the whole graph was written as documents and read from them."""
+    section = F.create_map(*(F.lit(x) for pair in (("AssetAdministrationShell", "assetAdministrationShells"), ("Submodel", "submodels"), ("ConceptDescription", "conceptDescriptions")) for x in pair))
+    documents = readers.export(g).select(F.lit("export").alias("path"), F.lit(0).alias("part"), section[F.col("kind")].alias("section"), F.xxhash64("id").cast("int").alias("place"), "payload", F.lit(None).cast("string").alias("error"))
+    return tools.count_by_type(readers.from_documents(documents))
+
+
+graph_query("export_roundtrip", round_trip, ORACLES["count_by_type"])
 
 
 def eclass(spark: SparkSession, sf_dir: str) -> DataFrame:

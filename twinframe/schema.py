@@ -30,14 +30,15 @@ QUALIFIERS = "array<struct<kind:string,type:string,valueType:string,value:string
 SPECIFIC = f"array<struct<name:string,value:string,externalSubject:{REFERENCE}>>"
 
 #: One row for each submodel element at any depth. rels, names and indexes describe the path from the submodel; kind is s, n or b as the value was a
-#: string, number or boolean; siblings are told apart by node_id.
+#: string, number or boolean; siblings are told apart by node_id and ordered by place. rest, in all
+#: tables, is what a document says of a row that no column gives back, as JSON.
 ELEMENT = f"""submodel_id string, node_id string, parent_id string, rels array<string>, names array<string>, indexes array<int>, ancestors array<string>,
     model_type string, idShort string, category string, value string, kind string, valueType string, min string, max string, texts {LANG},
     semantic {REFERENCE}, supplemental array<{REFERENCE}>, qualifiers {QUALIFIERS}, extensions array<string>, target {REFERENCE},
-    entityType string, globalAssetId string, specific {SPECIFIC}, listType string, listValueType string, listSemantic {REFERENCE}"""
-SHELL = f"id string, idShort string, category string, assetKind string, assetType string, globalAssetId string, specific {SPECIFIC}, submodels array<{REFERENCE}>, version string, revision string, description {LANG}, extensions array<string>"
-SUBMODEL = f"id string, idShort string, category string, kind string, semantic {REFERENCE}, supplemental array<{REFERENCE}>, qualifiers {QUALIFIERS}, version string, revision string, description {LANG}, extensions array<string>"
-CONCEPT = f"id string, idShort string, displayName {LANG}, description {LANG}, isCaseOf array<{REFERENCE}>, unit string, version string, revision string, extensions array<string>"
+    entityType string, globalAssetId string, specific {SPECIFIC}, listType string, listValueType string, listSemantic {REFERENCE}, place int, rest string"""
+SHELL = f"id string, idShort string, category string, assetKind string, assetType string, globalAssetId string, specific {SPECIFIC}, submodels array<{REFERENCE}>, version string, revision string, description {LANG}, extensions array<string>, rest string"
+SUBMODEL = f"id string, idShort string, category string, kind string, semantic {REFERENCE}, supplemental array<{REFERENCE}>, qualifiers {QUALIFIERS}, version string, revision string, description {LANG}, extensions array<string>, rest string"
+CONCEPT = f"id string, idShort string, displayName {LANG}, description {LANG}, isCaseOf array<{REFERENCE}>, unit string, version string, revision string, extensions array<string>, rest string"
 
 
 @cache
@@ -97,6 +98,13 @@ class Graph:
         for name in ("shells", "submodels", "elements", "concepts"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
+    @staticmethod
+    def wipe(spark, path: str) -> None:
+        """Removes the tables that write has made under path; none is no error."""
+        for name in ("shells", "submodels", "elements", "concepts"):
+            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
     @classmethod
     def load(cls, spark, path: str) -> Graph:
         return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("shells", "submodels", "elements", "concepts")))
