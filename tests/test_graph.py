@@ -165,7 +165,7 @@ def test_stream_keeps_latest(spark, tmp_path):
     row = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
     make = lambda *rows: spark.createDataFrame(list(rows), "event_id long, t string, user_id long, event_type string, value double, props string").withColumn("ts", F.to_timestamp("t")).select(*(c.split()[0] for c in row.split(", ")))
     make((1, "2024-01-01 00:00:00", 1, "a", 1.0, "{}"), (2, "2024-01-02 00:00:00", 1, "b", 2.0, "{}")).coalesce(1).write.parquet(str(tmp_path / "in"))
-    make((3, "2024-01-01 12:00:00", 1, "c", 3.0, "{}"), (4, "2024-01-01 12:00:00", 2, "d", 4.0, "{}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    make((3, "2024-01-01 12:00:00", 1, "c", 3.0, "{}"), (4, "2024-01-01 12:00:00", 2, "d", 4.0, "{}"), (0, "2024-01-02 00:00:00", 1, "e", 9.0, "{}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     query = operational.run(operational.read_events(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "check"))
     query.processAllAvailable()
     query.stop()

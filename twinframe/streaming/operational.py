@@ -15,7 +15,7 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
 def latest(events: DataFrame) -> DataFrame:
     """The last value and event of each user by time, ties by event: works on a table and, in update mode, on a stream."""
     order = F.struct("ts", "event_id")
-    return events.groupBy("user_id").agg(F.max_by("value", order).alias("value"), F.max_by("event_type", order).alias("event_type"), F.max("ts").alias("ts"))
+    return events.groupBy("user_id").agg(F.max_by("value", order).alias("value"), F.max_by("event_type", order).alias("event_type"), F.max("ts").alias("ts"), F.max_by("event_id", order).alias("event_id"))
 
 
 def windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -25,9 +25,8 @@ def windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") ->
 
 
 def upsert(table: DataFrame, changes: DataFrame) -> DataFrame:
-    """table (user_id, value, event_type, ts) with changes put in; the later row of a user wins."""
-    order = F.struct("ts", "value")
-    return table.unionByName(changes).groupBy("user_id").agg(F.max_by("value", order).alias("value"), F.max_by("event_type", order).alias("event_type"), F.max("ts").alias("ts"))
+    """table, of latest, with changes put in; the later row of a user wins, by the same order."""
+    return latest(table.unionByName(changes))
 
 
 def run(events: DataFrame, path: str, checkpoint: str):
