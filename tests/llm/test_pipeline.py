@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from twinframe.llm.common import stored
 
@@ -18,20 +20,24 @@ def test_pipeline(spark, tmp_path):
     secret = [(400, f"{text(20)} password = hunter2222 {text(20)}", None, None, 5)]
     none = [(500, None, "en", "s0", 0), (501, "12 34 !!", "en", "s0", 8), (502, "", None, None, 0)]
     columns = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = [*clean, *near, *same, *dirty, *secret, *none]
-    spark.createDataFrame(docs, columns).write.parquet(str(tmp_path / "documents.parquet"))
+    other = [(2, text(40), "en", "s1", 5)]  # an id with two texts
+    docs = [*clean, *near, *same, *dirty, *secret, *none, *other]
+    mine = {"score": 0.123, "items": "mine", "n_words": "w", "secret_spans": "s", "row": "r", "hash": "h", "component": "c"}
+    spark.createDataFrame(docs, columns).withColumns({k: F.lit(v) for k, v in mine.items()}).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept, now = {}, spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in corpus_pipeline.STAGES:
         now = stored(stage(spark, now, str(tmp_path)))
         kept[name] = now.collect()
-        assert name == "mix" or now.columns == [c.split()[0] for c in columns.split(", ")]
+        assert name == "mix" or now.columns == [*(c.split()[0] for c in columns.split(", ")), *mine]
+        assert name == "mix" or all(r[k] == v for r in kept[name] for k, v in mine.items())
     ids = lambda name: sorted(r["doc_id"] for r in kept[name])
     assert ids("language") == sorted(d[0] for d in docs if d not in none)
-    assert ids("near_duplicates") == sorted(d[0] for d in [*clean, *dirty, *secret])
-    assert ids("decontaminate") == ids("secrets") == sorted([d[0] for d in [*clean, *secret]] + [301])
+    assert ids("near_duplicates") == sorted(d[0] for d in [*clean, *dirty, *secret, *other])
+    assert ids("decontaminate") == ids("secrets") == sorted([d[0] for d in [*clean, *secret, *other]] + [301])
     texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept["secrets"]}
-    assert all(texts[d[0]] == (d[1], 5) for d in clean)
+    assert all(texts[d[0]] == (d[1], 5) for d in clean if d[0] != 2)
+    assert sorted(r["text"] for r in kept["secrets"] if r["doc_id"] == 2) == sorted([clean[2][1], other[0][1]])
     assert "hunter" not in texts[400][0] and "[SECRET]" in texts[400][0] and texts[400][1] == len(texts[400][0])
     assert set(ids("mix")) <= set(ids("secrets")) and all(0 < r["taken"] <= 2 * r["size"] for r in kept["mix"])
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
