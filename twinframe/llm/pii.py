@@ -48,6 +48,9 @@ BRACKETED = re.compile(rf"(?i)[\[({{<]\s*(?:({AT_WORD}|@)|({DOT_WORD}|\.))\s*[\]
 BARE = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+(?:{AT_WORD})\s+(?=[A-Za-z0-9-]+\s*(?:\s(?:{DOT_WORD})\s|\.[A-Za-z]))")
 BARE_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+(?:{DOT_WORD})\s+(?=[A-Za-z0-9])")
 DOTTED = re.compile(rf"(?i)@[A-Za-z0-9-]+(?:\s+(?:{DOT_WORD})\s+[A-Za-z0-9-]+)+|(?<![0-9.])[0-9]{{1,3}}(?:\s+(?:{DOT_WORD})\s+[0-9]{{1,3}}){{3}}")
+#: Whether text in small letters may hold a digit run, or a bare at: quicker than those, and true wherever they match.
+FEW_DIGITS = re.compile(rf"[\s,.–—-](?:{WORD}|[0-9])[\s,.–—-]{{1,2}}(?:{WORD}|[0-9])[\s,.–—-]{{1,2}}(?:{WORD}|[0-9])(?!\w)")
+LOW_BARE = re.compile(rf"(?<=[a-z0-9])\s+(?:{AT_WORD})\s+[a-z0-9-]+\s*(?:\s(?:{DOT_WORD})\s|\.[a-z])")
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s*@\s*(?=[A-Za-z0-9])")
 DOTS = re.compile(rf"(?i)\s(?:{DOT_WORD})\s")
 PLUS = re.compile(r"(?i)(?<!\w)plus\s+(?=[0-9])")
@@ -127,10 +130,10 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     """Spans that the patterns find only in the rewritten text."""
     low = text.lower()
     odd = not text.isascii() and (ODD.search(text) or ORDINARY.search(text))
-    spelled = DIGIT_RUN.search(text) is not None
+    spelled = FEW_DIGITS.search(low) is not None
     bracketed = ("[" in text or "(" in text or "{" in text or "<" in text) and BRACKETED.search(text)
     spaced = "@" in text and SPACED_AT.search(text) is not None
-    if not (odd or spelled or bracketed or spaced or DOTS.search(low) or ("plus" in low and PLUS.search(text)) or BARE.search(text)):
+    if not (odd or spelled or bracketed or spaced or DOTS.search(low) or ("plus" in low and PLUS.search(text)) or LOW_BARE.search(low)):
         return []
     r = Rewritten(text)
     if odd:
