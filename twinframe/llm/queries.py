@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, language, mixing, neighbours, ngram_join, pii, quality, secrets
+from . import chat, decontaminate, divergence, html, language, mixing, neighbours, ngram_join, pii, quality, secrets
 from .common import held_out, table
 
 
@@ -57,7 +57,11 @@ def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns.union(planted)), in_order=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_identify_language, op3_find_pii, op4_extract_main_text, op5_jaccard_join, op6_secret_scan, op7_quality_scores, op8_nearest_neighbours, op9_decontaminate, op10_format_chats)}
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_identify_language, op3_find_pii, op4_extract_main_text, op5_jaccard_join, op6_secret_scan, op7_quality_scores, op8_nearest_neighbours, op9_decontaminate, op10_format_chats, op11_divergence_audit)}
 ORACLES: dict[str, str] = {}
 
 LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -93,3 +97,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLES["op11_divergence_audit"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce({LOW}, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, doc_id, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS c FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 10),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN v USING (lang, term) GROUP BY 1, 2, 3),
+l AS (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY 1),
+g AS (SELECT o.lang, o.source, coalesce(v, 0) AS v, coalesce(n, 0) AS nl, coalesce((SELECT sum(c) FROM c WHERE c.lang = o.lang AND c.source = o.source), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN l USING (lang)),
+p AS (SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (g.n + 2 * g.v) AS p, 1 + 1000000000::HUGEINT * (v.c + 2) // (g.nl + 2 * g.v) AS q
+    FROM g JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every QUALIFY part = 'pair' OR rank <= 10
+"""
