@@ -217,7 +217,7 @@ def audit_sources(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     # of a group and every other of its language
     rates = sums.filter("kind = 'rate'").groupBy("lang", "source", "p").agg(F.sum("value").alias("k"))
-    zeros = groups.select("lang", "source", "terms", F.expr("1 + 2000000000 div (size + 2 * terms)").alias("z"))  # null where no term is kept
+    zeros = groups.select("lang", "source", "terms", F.expr("CASE WHEN terms > 0 THEN 1 + 2000000000 div (size + 2 * terms) ELSE 1 END").alias("z"))
     other = zeros.select("lang", F.col("source").alias("item"), F.col("z").alias("y"))
     small_other = small(other, groups.count())
     alone = rates.join(small_other, "lang").filter("source <> item").groupBy("lang", "source", "item").agg(F.sum(F.col("k") * f("p", "y")).alias("alone"), F.sum("k").alias("held"))

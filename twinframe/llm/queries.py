@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, html, language, mixing, neighbours, ngram_join, pii, quality, secrets
+from . import chat, collocations, decontaminate, divergence, html, language, licences, mixing, neighbours, ngram_join, pii, quality, secrets
 from .common import held_out, table
 
 
@@ -61,7 +61,15 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_identify_language, op3_find_pii, op4_extract_main_text, op5_jaccard_join, op6_secret_scan, op7_quality_scores, op8_nearest_neighbours, op9_decontaminate, op10_format_chats, op11_divergence_audit)}
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.find_licences(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_identify_language, op3_find_pii, op4_extract_main_text, op5_jaccard_join, op6_secret_scan, op7_quality_scores, op8_nearest_neighbours, op9_decontaminate, op10_format_chats, op11_divergence_audit, op12_license_scan, op13_collocations)}
 ORACLES: dict[str, str] = {}
 
 LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -112,3 +120,18 @@ every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(va
     UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q)
 SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every QUALIFY part = 'pair' OR rank <= 10
 """
+
+ORACLES["op13_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(coalesce({LOW}, ''), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+c AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+s AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM c WHERE k > 1),
+sub AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM s, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS m) WHERE m < k AND i + m - 1 <= k GROUP BY 1, 2),
+free AS (SELECT s.* FROM s LEFT JOIN sub USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a),
+cut AS (SELECT f.lang, f.phrase, f.a, j, l.n AS l, r.n AS r, (2000000::HUGEINT * a // (l.n + r.n))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS j FROM free) f
+    JOIN c l ON l.lang = f.lang AND l.phrase = array_to_string(f.w[1:j], ' ') JOIN c r ON r.lang = f.lang AND r.phrase = array_to_string(f.w[j + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best JOIN t USING (lang) QUALIFY rank <= 2000
+"""

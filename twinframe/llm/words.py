@@ -14,12 +14,12 @@ CHUNK_BYTES = 4_000_000
 
 
 def fold(apart: str, breaks: str = "") -> bytes:
-    """A table for bytes.translate: A-Z as small letters, characters of the class `apart` as SPACE, those of `breaks` as BREAK; bytes above 0x7F stay."""
+    """A table for bytes.translate: A-Z as small letters, of these the class `apart` as SPACE, the class `breaks` as BREAK; bytes above 0x7F stay."""
     space, cut = re.compile(apart), re.compile(breaks) if breaks else None
     table = bytearray(range(256))
     for b in range(128):
-        c = chr(b)
-        table[b] = BREAK if cut and cut.match(c) else SPACE if space.match(c) else b + 32 if "A" <= c <= "Z" else b
+        low = b + 32 if 65 <= b <= 90 else b
+        table[b] = BREAK if cut and cut.match(chr(low)) else SPACE if space.match(chr(low)) else low
     return bytes(table)
 
 
