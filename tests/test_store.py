@@ -81,7 +81,7 @@ def two(spark):
 def test_remove_keeps_what_others_name(spark):
     store = two(spark)
     left, n = store.removed("urn:s")
-    assert n == 2 and {r["node_id"] for r in left.graph.elements.collect()} == {"urn:s/C", "urn:s/C/P", "urn:t/R"} and "urn:s" not in left
+    assert n == 3 and {r["node_id"] for r in left.graph.elements.collect()} == {"urn:s/C/P", "urn:t/R"} and "urn:s" not in left
     left, n = store.removed_element("urn:s", "C")
     assert n == 2 and {r["node_id"] for r in left.graph.elements.collect()} == {"urn:s/C/P", "urn:t/R"}
     left, n = store.removed("urn:t")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import uuid
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,26 +11,34 @@ from pyspark.sql import functions as F
 
 from ..schema import REFERENCE, Graph
 
+#: Buckets that stored references and children are dealt into, by the identifiable they begin at and by parent.
+BUCKETS = 64
+
 
 def references(graph: Graph) -> DataFrame:
-    """(owner, ref_id, ref): every reference of the graph; equal ones have one content address."""
+    """(owner, home, ref_id, ref): every reference of the graph, with the identifiable that holds it; equal ones have one content address."""
     if graph.links:
-        return graph.links[0]
-    of = lambda df, c, owner: df.select(F.col(owner).alias("owner"), c.cast(REFERENCE).alias("ref"))
-    each = lambda df, c, owner: df.select(F.col(owner).alias("owner"), F.explode(c).alias("r")).select("owner", F.col("r").cast(REFERENCE).alias("ref"))
+        return graph.links.references.select("owner", "home", "ref_id", "ref")
+
+    def of(df: DataFrame, owner: str, home: str, one: tuple = (), many: tuple = ()) -> DataFrame:
+        """One scan of df; branches of its plan that hold no reference fold away."""
+        there = reduce(lambda x, y: x | y, (c.isNotNull() for c in (*one, *many)))
+        cast, none = (lambda c: c.cast(REFERENCE)), F.array().cast(f"array<{REFERENCE}>")
+        lists = [F.coalesce(F.transform(c, cast), none) for c in many]
+        every = F.array_compact(F.concat(F.array(*map(cast, one)), *lists) if one else F.concat(*lists))
+        return df.filter(there).select(F.col(owner).alias("owner"), F.col(home).alias("home"), F.explode(every).alias("ref"))
+
+    said = lambda name: F.from_json(F.get_json_object("rest", f"$.{name}"), REFERENCE)
+    subjects = F.transform("specific", lambda s: s["externalSubject"])
     found = [
-        each(graph.shells, "submodels", "id"), of(graph.submodels, F.col("semantic"), "id"), each(graph.submodels, "supplemental", "id"),
-        of(graph.elements, F.col("semantic"), "node_id"), each(graph.elements, "supplemental", "node_id"), of(graph.elements, F.col("target"), "node_id"), each(graph.concepts, "isCaseOf", "id"),
+        of(graph.shells, "id", "id", many=(F.col("submodels"), subjects)), of(graph.submodels, "id", "id", (F.col("semantic"),), (F.col("supplemental"),)), of(graph.concepts, "id", "id", many=(F.col("isCaseOf"),)),
+        of(graph.elements, "node_id", "submodel_id", (F.col("semantic"), F.col("target"), F.col("listSemantic"), said("first"), said("second"), said("valueId")), (F.col("supplemental"), subjects)),
     ]
-    return reduce(DataFrame.union, found).filter("ref IS NOT NULL").select("owner", F.sha2(F.to_json("ref"), 256).alias("ref_id"), "ref")
+    return reduce(DataFrame.union, found).select("owner", "home", F.sha2(F.to_json("ref"), 256).alias("ref_id"), "ref")
 
 
-def link(graph: Graph, path: str) -> Graph:
-    """graph with its references, by kind, and its bridge written under path and read from there."""
-    references(graph).withColumn("kind", F.col("ref.type")).write.partitionBy("kind").parquet(f"{path}/references")
-    graph.bridge.write.parquet(f"{path}/bridge")
-    read = graph.spark.read.parquet
-    return replace(graph, links=(read(f"{path}/references"), read(f"{path}/bridge")))
+def first_of(ref) -> F.Column:
+    return F.get(ref["keys"], F.lit(0))["value"]
 
 
 def identifiables(graph: Graph) -> DataFrame:
@@ -37,31 +46,72 @@ def identifiables(graph: Graph) -> DataFrame:
     return reduce(DataFrame.union, [df.select(F.col("id").alias("target_id"), F.lit(k).alias("target_kind")) for k, df in tables])
 
 
-def addresses(graph: Graph) -> DataFrame:
-    """(root, steps, target_id): elements by the chains of names and places in lists that lead to them; a named child of a list has both.
+def children(graph: Graph) -> DataFrame:
+    """(parent, key, child): each element below its parent, by its name (`n:`) and, in a list, by its place (`i:`) as well."""
+    if graph.links:
+        return graph.links.children
+    place = F.get("indexes", F.size("indexes") - 1)
+    keys = F.array_compact(F.array(F.concat(F.lit("n:"), "idShort"), F.concat(F.lit("i:"), place.cast("string"))))
+    return graph.elements.select(F.col("parent_id").alias("parent"), F.explode(keys).alias("key"), F.col("node_id").alias("child"))
+
+
+@dataclass
+class Links:
+    """A graph's references in buckets of the identifiable that they begin at, its children in buckets of their parents, and its bridge, as stored tables."""
+
+    references: DataFrame
+    children: DataFrame
+    bridge: DataFrame
+
+
+def link(graph: Graph, path: str) -> Graph:
+    """graph with its references, children and bridge written under path and read from there.
 
-    A chain is written once with places and, where a list child has a name, once more with names; mixed chains of several named list children are not.
+    Tables in buckets are known to the session's catalog, so a join on the bucket's column shuffles only the other side.
     """
-    step = lambda a, b: F.transform(F.arrays_zip("names", "indexes"), lambda x: F.coalesce(a(x), b(x)))
-    name, place = (lambda x: x["names"]), (lambda x: x["indexes"].cast("string"))
-    both = F.exists(F.arrays_zip("names", "indexes"), lambda x: name(x).isNotNull() & place(x).isNotNull())
-    chains = F.when(both, F.array(step(place, name), step(name, place))).otherwise(F.array(step(place, name)))
-    return graph.elements.select(F.col("submodel_id").alias("root"), F.explode(chains).alias("steps"), F.col("node_id").alias("target_id"))
+    spark = graph.spark
+
+    def dealt(df: DataFrame, what: str, by: str) -> DataFrame:
+        name = f"twinframe_{what}_{uuid.uuid4().hex}"
+        df.repartition(BUCKETS, by).write.bucketBy(BUCKETS, by).sortBy(by).option("path", f"{path}/{what}").saveAsTable(name)
+        return spark.read.table(name)
+
+    refs = dealt(references(graph).withColumns({"root": first_of(F.col("ref")), "kind": F.col("ref.type")}), "references", "root")
+    below = dealt(children(graph), "children", "parent")
+    graph.bridge.write.parquet(f"{path}/bridge")
+    return replace(graph, links=Links(refs, below, spark.read.parquet(f"{path}/bridge")))
 
 
 def resolve(graph: Graph, refs: DataFrame | None = None) -> DataFrame:
     """(ref_id, target_kind, target_id) of what distinct references name.
 
-    An external reference goes by its first key alone; a model reference of more keys descends from its first one. Each kind is one equi-join, on
-    the identifier or on root and steps; nothing depends on former results, so resolving again gives the same and a changed target heals.
+    An external reference goes by its first key alone, an equi-join on the identifier. A model reference of more keys descends from its first one: a key is the name of a child or its place
+    in a list, whichever the child has, so chains may mix both. Each step is one equi-join of those that have keys left with the children, on parent and key. Nothing depends
+    on former results, so resolving again gives the same and a changed target heals.
     """
     refs = references(graph) if refs is None else refs
-    each = refs.select("ref_id", "ref").distinct().select("ref_id", F.col("ref.type").alias("type"), F.col("ref.keys").alias("keys"))
-    root = F.get("keys", F.lit(0))["value"]
-    flat = each.filter((F.col("type") == "ExternalReference") | (F.size("keys") == 1)).select("ref_id", root.alias("target_id"))
-    deep = each.filter((F.col("type") == "ModelReference") & (F.size("keys") > 1)).select("ref_id", root.alias("root"), F.transform(F.slice("keys", 2, 1000), lambda k: k["value"]).alias("steps"))
+    each = refs.select("ref_id", F.col("ref.type").alias("type"), F.transform("ref.keys", lambda k: k["value"]).alias("keys")).dropDuplicates(["ref_id"])
+    flat = each.filter((F.col("type") == "ExternalReference") | (F.size("keys") == 1)).select("ref_id", F.get("keys", F.lit(0)).alias("target_id"))
     direct = flat.join(identifiables(graph), "target_id").select("ref_id", "target_kind", "target_id")
-    return direct.union(deep.join(addresses(graph), ["root", "steps"]).select("ref_id", F.lit("SubmodelElement"), "target_id"))
+    return direct.union(descend(children(graph), refs).select("ref_id", F.lit("SubmodelElement"), F.col("node").alias("target_id")))
+
+
+def descend(below: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref_id, node): the elements that model references of more than one key name."""
+    deep = refs.filter((F.col("ref.type") == "ModelReference") & (F.size("ref.keys") > 1))
+    longest = deep.agg(F.max(F.size("ref.keys"))).first()[0] or 1
+    keys = F.transform("ref.keys", lambda k: k["value"])
+    frontier = deep.dropDuplicates(["ref_id"]).select("ref_id", F.get(keys, F.lit(0)).alias("node"), F.slice(keys, 2, longest).alias("steps"))
+    found = []
+    for at in range(1, longest):
+        step = F.get("steps", F.lit(at - 1))
+        place = F.when(step.rlike("^[0-9]{1,18}$"), F.concat(F.lit("i:"), step.cast("bigint").cast("string")))
+        asked = frontier.withColumn("key", F.explode(F.array_compact(F.array(F.concat(F.lit("n:"), step), place))))
+        # a child that its own place names is found twice
+        frontier = asked.join(below.withColumnRenamed("parent", "node"), ["node", "key"]).select("ref_id", F.col("child").alias("node"), "steps").distinct()
+        found.append(frontier.filter(F.size("steps") == at).select("ref_id", "node"))
+        frontier = frontier.filter(F.size("steps") > at)
+    return reduce(DataFrame.union, found) if found else frontier.select("ref_id", "node").filter("false")
 
 
 def dangling(graph: Graph) -> DataFrame:
@@ -73,7 +123,23 @@ def dangling(graph: Graph) -> DataFrame:
 
 def resolve_for(graph: Graph, identifier: str, known: DataFrame) -> DataFrame:
     """known (ref_id, target_kind, target_id) with the references from and to one identifiable resolved anew."""
-    refs = references(graph)
-    inside = (F.col("owner") == identifier) | F.col("owner").startswith(identifier + "/")
-    touched = refs.filter(inside | (F.col("ref.keys")[0]["value"] == identifier))
+    touched = references(graph).filter((F.col("home") == identifier) | (first_of(F.col("ref")) == identifier))
     return known.join(touched.select("ref_id").distinct(), "ref_id", "left_anti").unionByName(resolve(graph, touched))
+
+
+def heal(links: Links, known: DataFrame, graph: Graph, changed: DataFrame) -> DataFrame:
+    """(ref_id, target_kind, target_id): known, what links' references named, after the identifiables `changed` (id) have got what graph holds of them, or have gone.
+
+    The stored references are read by the identifiable that they begin at, in whose buckets they lie, and only those that begin or lie at a changed one are resolved. Without a
+    shuffle of the references: changed is the small side, sent to them or dealt into their buckets.
+    """
+    ids = changed.select("id").distinct()
+    semi = lambda df, c, how="left_semi": df.join(ids, df[c] == ids["id"], how)
+    held = Graph(semi(graph.shells, "id"), semi(graph.submodels, "id"), semi(graph.elements, "submodel_id"), semi(graph.concepts, "id"))
+    stay = semi(links.references, "home", "left_anti")
+    new = references(held)
+    touched = semi(stay, "root").select("owner", "home", "ref_id", "ref").union(new)
+    # what only changed identifiables held
+    old = semi(links.references, "home").select("ref_id").distinct()
+    gone = old.join(stay.join(old, "ref_id", "left_semi").select("ref_id"), "ref_id", "left_anti").select("ref_id")
+    return known.join(touched.select("ref_id").union(gone).distinct(), "ref_id", "left_anti").unionByName(resolve(replace(graph, links=None), touched))

@@ -76,8 +76,8 @@ class Graph:
     submodels: DataFrame
     elements: DataFrame
     concepts: DataFrame
-    #: References and bridge as stored tables, if operators.resolve.link has made them.
-    links: tuple[DataFrame, DataFrame] | None = None
+    #: References, children and bridge as stored tables (operators.resolve.Links), if operators.resolve.link has made them.
+    links: object | None = None
 
     @property
     def spark(self):
@@ -90,7 +90,7 @@ class Graph:
     @property
     def bridge(self) -> DataFrame:
         if self.links:
-            return self.links[1]
+            return self.links.bridge
         refs = self.shells.select(F.col("id").alias("aas_id"), F.explode("submodels").alias("r")).select("aas_id", first_key(F.col("r")).alias("sm_id"))
         return refs.join(self.submodels.select(F.col("id").alias("sm_id")), "sm_id").distinct()
 
