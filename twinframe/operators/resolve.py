@@ -135,7 +135,8 @@ def heal(links: Links, known: DataFrame, graph: Graph, changed: DataFrame) -> Da
     """
     ids = changed.select("id").distinct()
     semi = lambda df, c, how="left_semi": df.join(ids, df[c] == ids["id"], how)
-    held = Graph(semi(graph.shells, "id"), semi(graph.submodels, "id"), semi(graph.elements, "submodel_id"), semi(graph.concepts, "id"))
+    of = lambda df, c: df.join(ids.withColumnRenamed("id", c), c)  # noqa: E731 - a semi-join would go into every branch of a graph that is a union
+    held = Graph(of(graph.shells, "id"), of(graph.submodels, "id"), of(graph.elements, "submodel_id"), of(graph.concepts, "id"))
     stay = semi(links.references, "home", "left_anti")
     new = references(held)
     touched = semi(stay, "root").select("owner", "home", "ref_id", "ref").union(new)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.aasql import compile_query
-from ..schema import CONCEPT, ELEMENT, SHELL, SUBMODEL, Graph, shaped
+from ..schema import CONCEPT, ELEMENT, SHELL, SUBMODEL, Graph, shaped, struct
 from ..session import new_folder
 from .cleaning import repair
 from .resolve import children, descend, first_of, references
@@ -80,9 +80,10 @@ class Store:
             marks = self.written("marks", MARK, marking).groupBy("what", "key").agg(F.max("gen").alias("until"))
             marks = F.broadcast(marks) if sum(g.marks for g in marking) <= SENT_MARKS else marks
             for what, column in (("owner", "submodel_id"), ("node", "node_id")) if name == "elements" else ((name, "id"),):
-                those = marks.filter(F.col("what") == what)
-                rows = rows.join(those, (rows[column] == those["key"]) & (those["until"] > rows["gen"]), "left_anti")
-        return rows.drop("gen")
+                # an anti-join would go into every branch of a graph that is a union
+                those = marks.filter(F.col("what") == what).select(F.col("key").alias(column), "until")
+                rows = rows.join(those, column, "left").filter("until IS NULL OR until <= gen").drop("until")
+        return rows.select(*struct(ddl).names)
 
     @cached_property
     def graph(self) -> Graph:
@@ -202,11 +203,11 @@ class Store:
     def removed_all(self, identifiers: DataFrame) -> tuple[Store, int]:
         """The store without the identifiables (id) and their elements, in one change, as removed does for each; and how many nodes went. Unknown ids count for nothing."""
         ids = self.aside(identifiers.select("id").distinct())
-        marks = [getattr(self.graph, t).join(ids, "id", "left_semi").select(F.lit(t).alias("what"), F.col("id").alias("key")) for t, _ in TABLES.values()]
+        marks = [getattr(self.graph, t).join(ids, "id").select(F.lit(t).alias("what"), F.col("id").alias("key")) for t, _ in TABLES.values()]
         marks.append(marks[list(TABLES).index("Submodel")].withColumn("what", F.lit("owner")))
-        below = self.graph.elements.join(ids.withColumnRenamed("id", "submodel_id"), "submodel_id", "left_semi")
+        below = self.graph.elements.join(ids.withColumnRenamed("id", "submodel_id"), "submodel_id")  # ids are distinct; a semi-join would go into every branch of a union
         refs = references(self.graph)
-        aimed = self.aside(refs.join(ids, first_of(refs["ref"]) == ids["id"], "left_semi").filter(F.size("ref.keys") > 1))
+        aimed = self.aside(refs.filter(F.size("ref.keys") > 1).join(ids, first_of(refs["ref"]) == ids["id"]).drop("id"))
         within = aimed.join(ids.withColumnRenamed("id", "home"), "home", "left_semi").select("ref_id")
         held = below.join(self.named(aimed.join(within, "ref_id", "left_anti"), below), "node_id", "left_semi")
         store = self.changed(reduce(DataFrame.union, marks), elements=held)

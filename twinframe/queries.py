@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import cleaning, projection, resolve, semantic, statistics, template, tools, validate
+from .operators.store import Store
 from .plans import aasql, defects, project
-from .schema import ELEMENT, Graph, reference, shaped
+from .schema import CONCEPT, ELEMENT, SHELL, SUBMODEL, Graph, reference, shaped
 from .session import new_folder
 from .sources import readers
 from .streaming import operational
@@ -54,16 +56,30 @@ def linked_graph_of(spark: SparkSession, sf_dir: str) -> Graph:
     return once(spark, "linked", sf_dir, lambda: resolve.link(graph_of(spark, sf_dir), new_folder(spark)))
 
 
+def stored_graph_of(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projected graph as stored tables, with stored links, as a store holds one."""
+
+    def load() -> Graph:
+        folder = new_folder(spark)
+        graph_of(spark, sf_dir).write(folder)
+        return resolve.link(Graph.load(spark, folder), f"{folder}/links")
+
+    return once(spark, "stored", sf_dir, load)
+
+
 def checked_graph_of(spark: SparkSession, sf_dir: str) -> Graph:
     """The projected graph and planted violations of every rule."""
     return once(spark, "checked", sf_dir, lambda: defects.graph(spark, sf_dir, graph_of(spark, sf_dir)))
 
 
 def once(spark: SparkSession, what: str, sf_dir: str, make: Callable[[], Graph]) -> Graph:
+    """What make gives, once for each session and state of the folder: its entries, their sizes and times of change."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)))
     known = spark.__dict__.setdefault("_twinframe_graphs", {})
-    if (what, sf_dir) not in known:
-        known[what, sf_dir] = make()
-    return known[what, sf_dir]
+    if known.get((what, sf_dir), (None,))[0] != state:
+        known[what, sf_dir] = state, make()
+    return known[what, sf_dir][1]
 
 
 TECH = "'urn:sm:technicaldata:' || p_partkey AS id FROM part"
@@ -185,11 +201,11 @@ graph_query("resolve_dangling", lambda g: resolve.dangling(g).select("ref_id"),
 
 def line_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model references from every line to its place in its order's list resolve to the element there."""
-    g = graph_of(spark, sf_dir)
+    g = linked_graph_of(spark, sf_dir)
     place = F.get("indexes", F.lit(1))
     lines = g.elements.filter((F.col("model_type") == "SubmodelElementCollection") & place.isNotNull()).select("submodel_id", place.alias("i"))
     ref = reference("ModelReference", ("Submodel", F.col("submodel_id")), ("SubmodelElementList", F.lit("Lines")), ("SubmodelElementCollection", F.col("i")))
-    refs = lines.select(F.lit("x").alias("owner"), F.sha2(F.to_json(ref), 256).alias("ref_id"), ref.alias("ref"))
+    refs = lines.select(F.lit("x").alias("owner"), F.lit("x").alias("home"), F.sha2(F.to_json(ref), 256).alias("ref_id"), ref.alias("ref"))
     return resolve.resolve(g, refs).select("target_id")
 
 
@@ -257,7 +273,6 @@ def fields_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEAR = "SELECT query_id, rank::INTEGER AS rank, id FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6), b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 5"
 add("knn_fields", fields_near, NEAR)
-add("knn_fields_every_50", fields_near, NEAR)
 
 #: Where a planted violation of a rule shows, below its submodel; rules that the planted violations of others break too; violations in the star tables.
 PLACES = {"002": "/1bad", "005": "", "022": "", "107": "/Items/0", "108": "/Items/0", "109": "/Items", "114": "/Items", "119": "", "120": "/Items/0", "131": "", "133": "", "134": "/Action", "138": "/Items"}
@@ -301,3 +316,73 @@ def by_place_and_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHILD = "'urn:check:120:' || p_partkey || '/Items/0'"
 add("aasql_path_named_list_child", named_list_child, f"SELECT 'urn:check:120:' || p_partkey AS id FROM part WHERE p_partkey % {defects.EVERY} = 0")
 add("resolve_by_place", by_place_and_name, f"SELECT {CHILD} AS target_id FROM part UNION ALL SELECT {CHILD} FROM part WHERE p_partkey % {defects.EVERY} = 0")
+
+
+def own_graph(spark: SparkSession, submodels: DataFrame, *elements: DataFrame) -> Graph:
+    """A graph of submodels (id, idShort) and elements alone."""
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    return Graph(none(SHELL), shaped(submodels, SUBMODEL), reduce(DataFrame.unionByName, [shaped(e, ELEMENT) for e in elements]), none(CONCEPT))
+
+
+def some_parts(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").filter(F.col("p_partkey") % every == 0)
+
+
+def pointers(spark: SparkSession, sf_dir: str) -> Graph:
+    """A submodel for every tenth part with a reference to the part's brand."""
+    parts, own = some_parts(spark, sf_dir), project.key("urn:sm:pointer:", "p_partkey")
+    to = reference("ModelReference", ("Submodel", project.key("urn:sm:technicaldata:", "p_partkey")), ("SubmodelElementCollection", F.lit("GeneralInformation")), ("Property", F.lit("Brand")))
+    return own_graph(spark, parts.select(own.alias("id"), F.lit("Pointer").alias("idShort")), project.branch(parts, own, "Brand", model_type="ReferenceElement", target=to))
+
+
+def store_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of technical data after every tenth part has got a new version, in one change."""
+    parts, own = some_parts(spark, sf_dir), project.key("urn:sm:technicaldata:", "p_partkey")
+    new = own_graph(
+        spark, parts.select(own.alias("id"), F.lit("TechnicalData").alias("idShort")), project.branch(parts, own, "GeneralInformation", model_type="SubmodelElementCollection"),
+        project.branch(parts, own, "GeneralInformation", "Revised", value=F.col("p_name"), value_type="xs:string"),
+    )
+    after = Store(stored_graph_of(spark, sf_dir)).upsert(new).graph
+    technical = after.submodels.filter("idShort = 'TechnicalData'").select(F.col("id").alias("submodel_id"))
+    return after.elements.join(technical, "submodel_id", "left_semi").groupBy("idShort").agg(F.count(F.lit(1)).alias("n"))
+
+
+def store_remove_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of removed technical data, that of every fifth part: elements that others name."""
+    gone = some_parts(spark, sf_dir, 5).select(project.key("urn:sm:technicaldata:", "p_partkey").alias("id"))
+    after = Store(stored_graph_of(spark, sf_dir)).upsert(pointers(spark, sf_dir)).removed_all(gone)[0].graph
+    return after.elements.join(after.submodels.select(F.col("id").alias("submodel_id")), "submodel_id", "left_anti").select("node_id", "model_type")
+
+
+def resolve_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all references name after pointers came and every seventh nameplate went; only references from and to these are resolved."""
+    g = stored_graph_of(spark, sf_dir)
+    known = resolve.resolve(g)
+    gone = spark.read.parquet(f"{sf_dir}/supplier.parquet").filter("s_suppkey % 7 = 0").select(project.key("urn:sm:nameplate:", "s_suppkey").alias("id"))
+    new = pointers(spark, sf_dir)
+    after = Store(stored_graph_of(spark, sf_dir)).upsert(new).removed_all(gone)[0].graph
+    return resolve.heal(g.links, known, after, gone.union(new.submodels.select("id"))).select("target_kind", "target_id")
+
+
+def resolve_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to a leaf in a list in a list, both named: each step by place or by name."""
+    parts, own = some_parts(spark, sf_dir), project.key("urn:sm:nested:", "p_partkey")
+    named = lambda df, *names: df.withColumns({"names": F.array(*map(F.lit, names)), "idShort": F.lit(names[-1])})
+    levels = [
+        project.branch(parts, own, "Outer", model_type="SubmodelElementList"), named(project.branch(parts, own, "Outer", None, index=F.lit(0), model_type="SubmodelElementList"), "Outer", "Inner"),
+        named(project.branch(parts, own, "Outer", None, None, index=F.lit(0)), "Outer", "Inner", "Leaf"),
+    ]
+    g = own_graph(spark, parts.select(own.alias("id"), F.lit("Nested").alias("idShort")), *levels)
+    to = lambda a, b: reference("ModelReference", ("Submodel", own), ("SubmodelElementList", F.lit("Outer")), ("SubmodelElementList", F.lit(a)), ("Property", F.lit(b)))
+    refs = parts.select(F.explode(F.array(to("0", "0"), to("Inner", "0"), to("00", "Leaf"), to("Inner", "Leaf"), to("1", "0"))).alias("ref"))
+    return resolve.resolve(g, refs.select(F.sha2(F.to_json("ref"), 256).alias("ref_id"), "ref")).groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+TENTH = "FROM part WHERE p_partkey % 10 = 0"
+OLD = "FROM part WHERE p_partkey % 10 <> 0"
+add("store_commit", store_commit, f"""SELECT 'GeneralInformation' AS "idShort", count(*) AS n FROM part UNION ALL SELECT 'Revised', count(*) {TENTH} UNION ALL SELECT x, count(*) FROM (SELECT unnest(['Name', 'Brand', 'ProductType', 'TechnicalPropertyAreas', 'RetailPrice']) AS x {OLD}) GROUP BY x
+    UNION ALL SELECT CASE WHEN p_partkey % 4 = 0 THEN 'Groesse' ELSE 'Size' END AS name, count(*) {OLD} GROUP BY name""")
+add("store_remove_shared", store_remove_shared, f"SELECT 'urn:sm:technicaldata:' || p_partkey || '/GeneralInformation/Brand' AS node_id, 'Property' AS model_type {TENTH}")
+add("resolve_incremental", resolve_incremental, f"""{ORACLES['resolve_external']} UNION ALL SELECT DISTINCT 'Submodel', sm FROM {BRIDGE} WHERE sm NOT IN (SELECT 'urn:sm:nameplate:' || s_suppkey FROM supplier WHERE s_suppkey % 7 = 0)
+    UNION ALL SELECT 'SubmodelElement', 'urn:sm:technicaldata:' || p_partkey || '/GeneralInformation/Brand' {TENTH}""")
+add("resolve_mixed_chains", resolve_mixed, f"SELECT 'urn:sm:nested:' || p_partkey || '/Outer/0/0' AS target_id, 4 AS n {TENTH}")
