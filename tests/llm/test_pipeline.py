@@ -49,3 +49,12 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], columns).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_rows_with_columns_that_have_no_order(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, {"a": "1", "b": "2"}, ["x"], (1, {"k": 1})), (1, words, {"a": "1"}, ["y"], (2, {})), (1, words, None, None, None), (2, words, {"z": "1"}, [], None), (3, "other words here", {}, [], None), (3, "other words here", {}, [], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, props map<string,string>, tags array<string>, inner struct<n:int,m:map<string,int>>")
+    found = [sorted(map(str, corpus_pipeline.deduplicate(spark, docs.repartition(n), str(tmp_path)).collect())) for n in (1, 3)]
+    assert found[0] == found[1] and len(found[0]) == 2 and any("doc_id=3" in r for r in found[0])
+    assert corpus_pipeline.mask(spark, docs, str(tmp_path)).columns == docs.columns

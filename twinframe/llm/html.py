@@ -3,11 +3,11 @@
 A page is a sequence of tokens: each word scores by the element that it stands in, usually above zero, each tag below. Weights are log odds
 of lying within the content, counted over labelled pages: those that mark their content by exactly one article or main element. One linear
 scan finds the contiguous run of the highest sum. Left out of it are elements that by the meaning of their tag hold no main text, and boxes whose
-name (a class, id or role) speaks against content by its weight: counts of words in boxes of that name, inside and outside marked
-content, with PRIOR words outside for names made of FURNITURE. On a page that marks its content, marked words score above zero and others below.
+name (a class, id or role) speaks against content by its weight: counts of words in boxes of that name, by whether they stand inside or outside marked
+content. Names made of FURNITURE are taken to have held PRIOR words outside before any page is read, which counted words inside outweigh. On a page that marks its content, marked words score above zero and others below.
 
-Training reads at most about LABELLED pages, of which only token counts reach the driver. Extraction is one scan without a shuffle, linear in a
-page's length whatever its markup.
+Training reads about `labelled_pages` pages, of which only the counts of tokens and box names with `least_words` words or more reach the driver; what is rarer has its default weight. Extraction is one scan without
+a shuffle, linear in a page's length whatever its markup.
 
 Cases: null and empty pages give an empty text; unclosed and stray tags close by nesting as far as they can; a quote that is not closed ends with
 its tag; a tag that the page's end cuts off is dropped; without labelled pages default weights hold; repeated rows get equal results; an empty
@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, sampled
 
-LABELLED = 400
-#: Kinds of tokens kept of the labelled pages, most frequent first.
-KINDS = 2000
+#: Pages that weights are fitted on, and words or tags of a kind that they hold at least for a weight of its own.
+LABELLED, LEAST_WORDS = 400, 10
 #: Words outside content that a box of a furniture name is taken to have held before any page is read, and the log odds below which a box is left out.
 PRIOR, LEFT_OUT = 50, -1.5
 NAME = re.compile(r"[^\s/>]+")
@@ -234,7 +233,7 @@ def places(page: Page) -> list[str]:
 def counts(page: str | None) -> tuple[Counter, Counter]:
     """Of a page that marks its content by one element, the tokens inside and outside it, and the words in its boxes; of others, none.
 
-    What holds no main text by its tag is not counted, boxes of furniture names within the content count as outside it.
+    What holds no main text by its tag is not counted; words in boxes of furniture names outside the content count for the box alone.
     """
     inner, outer = Counter(), Counter()
     if not page:
@@ -243,22 +242,27 @@ def counts(page: str | None) -> tuple[Counter, Counter]:
     if sum(e.tag in CONTENT for e in found.elements) != 1:
         return inner, outer
     never, named, kinds = left_out(found, lambda x: False), left_out(found, furniture), places(found)
-    boxes = [[]]
-    for e in found.elements[1:]:
-        own = [] if e.holds or e.tag in CONTENT or e.tag in ("html", "body") else [x.lower() for x in e.names]
-        boxes.append(boxes[e.parent] + own if own and len(boxes[e.parent]) < 8 else boxes[e.parent])
+    words = [[0, 0] for _ in found.elements]  # outside and inside content, of an element and then of all below it
     for tag, text, e in found.tokens:
         if never[e]:
             continue
-        to = inner if found.elements[e].inside and not named[e] else outer
+        inside = found.elements[e].inside
+        to = inner if inside else outer
         if tag:
             to[tag] += 1
             continue
         n = len(text.split())
-        if not named[e]:
+        words[e][inside] += n
+        if inside or not named[e]:
             to[kinds[e]] += n
-        for x in set(boxes[e]):
-            to[f"box {x}"] += n
+    for e in range(len(words) - 1, 0, -1):  # what is below comes later
+        element = found.elements[e]
+        words[element.parent][0] += words[e][0]
+        words[element.parent][1] += words[e][1]
+        if not (element.holds or element.tag in CONTENT or element.tag in ("html", "body")):
+            for x in {x.lower() for x in element.names}:
+                outer[f"box {x}"] += words[e][0]
+                inner[f"box {x}"] += words[e][1]
     return inner, outer
 
 
@@ -337,9 +341,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     return " ".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
 
-def learn(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
+def learn(pages: DataFrame, html_col: str = "html", labelled_pages: int = LABELLED, least_words: int = LEAST_WORDS) -> dict[str, float]:
     """Weights from a bounded sample of pages."""
-    share = min(1.0, LABELLED / max(pages.count(), 1))
+    share = min(1.0, labelled_pages / max(pages.count(), 1))
     picked = pages.select(F.col(html_col).alias("html")).filter(sampled("html", share)).distinct()
 
     def count(values):
@@ -351,12 +355,12 @@ def learn(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
 
     kind = pa.struct([("kind", pa.string()), ("inner", pa.int64()), ("outer", pa.int64())])
     counted = add_columns(picked, [("kinds", "array<struct<kind:string,inner:long,outer:long>>", pa.list_(kind))], count, "html").select(F.inline("kinds"))
-    top = counted.groupBy("kind").agg(F.sum("inner").alias("inner"), F.sum("outer").alias("outer")).orderBy(F.desc(F.col("inner") + F.col("outer")), "kind").limit(KINDS)
-    return weights_of([tuple(r) for r in top.collect()])
+    often = counted.groupBy("kind").agg(F.sum("inner").alias("inner"), F.sum("outer").alias("outer")).filter(F.col("inner") + F.col("outer") >= least_words)
+    return weights_of(sorted(tuple(r) for r in often.collect()))
 
 
-def extract_main_text(df: DataFrame, html_col: str = "html", labelled: DataFrame | None = None) -> DataFrame:
+def extract_main_text(df: DataFrame, html_col: str = "html", labelled: DataFrame | None = None, labelled_pages: int = LABELLED, least_words: int = LEAST_WORDS) -> DataFrame:
     """df with `text`, the main text of each page, and n_chars, its code points."""
-    weights = df.sparkSession.sparkContext.broadcast(learn(df if labelled is None else labelled, html_col))
+    weights = df.sparkSession.sparkContext.broadcast(learn(df if labelled is None else labelled, html_col, labelled_pages, least_words))
     found = add_columns(df, [("text", "string", pa.string())], lambda pages: [[extract(p, weights.value) for p in pages]], html_col)
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
