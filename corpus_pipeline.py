@@ -31,9 +31,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that of the smallest id, then the smallest hash of its text, then the smallest other columns.
+    """One row of each group of near duplicates: that of the smallest id, then the smallest hash of its text; of rows that are alike in both, that of the smallest hash of its other columns as JSON.
 
-    Rows whose text has no words stay.
+    Rows whose text has no words stay. Columns of any type keep their values: none is ordered.
     """
     rows = stored(ngram_join.jaccard_components(docs, with_component=True).filter("component IS NOT NULL").select("doc_id", "hash", "component"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("first"))
@@ -48,8 +48,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     kept = those(gone, "left_anti", marked)
     if again.limit(1).count():
-        repeated = those(again, "left_semi", kept).groupBy("doc_id", "hash").agg(F.min(F.struct("row", "text")).alias("one"))
-        kept = those(again, "left_anti", kept).select("doc_id", "text", "row").union(repeated.select("doc_id", "one.text", "one.row"))
+        alike = those(again, "left_semi", kept).withColumn("order", F.xxhash64(F.to_json("row")))
+        repeated = alike.groupBy("doc_id", "hash").agg(*(F.min_by(c, "order").alias(c) for c in ("text", "row")))
+        kept = those(again, "left_anti", kept).select("doc_id", "text", "row").union(repeated.select("doc_id", "text", "row"))
     return kept.select(*unpacked(docs, "doc_id", "text"))
 
 
@@ -60,10 +61,13 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked."""
-    masked = secrets.redact(secrets.find_secrets(packed(docs, "text", "n_chars")))
-    changed = F.when(F.size("secret_spans") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(*unpacked(docs, "text", "n_chars"))
+    """All documents, secrets in their texts masked; n_chars, where there is such a column, follows."""
+    read = [c for c in ("text", "n_chars") if c in docs.columns]
+    masked = secrets.redact(secrets.find_secrets(packed(docs, *read)))
+    if "n_chars" in read:
+        changed = F.when(F.size("secret_spans") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        masked = masked.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return masked.select(*unpacked(docs, *read))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
