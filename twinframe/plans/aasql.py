@@ -1,12 +1,12 @@
 """AASQL: a JSON query language over shells, submodels, elements and concepts, compiled to DataFrame plans.
 
 parse() turns the JSON into nested tuples and checks it; compile_query() gives every distinct root of a path a variable and
-joins the variables' rows to their shell or submodel. Conjuncts that touch one variable each become independent semi-joins; those that tie
-several variables are joined and filtered together. Comparisons keep three-valued logic, and strings never equal numbers.
+joins the variables' rows to their shell or submodel. Conjuncts that touch one variable each become independent semi-joins; formulas over several elements of a submodel become
+one scan that or-s a bit for each part; what else ties several variables is joined and filtered together. Comparisons keep three-valued logic, and strings never equal numbers.
 
 With semantics "reference", every path of a query must exist, also under $or and $not, named paths in one $match are not
-correlated, and values without a cast have the type that the document gave them. With "spec", a value is cast to the literal's type, and $or and $not
-do not ask for paths to exist.
+correlated, and values without a cast have the type that the document gave them. With "spec", a value is cast to the literal's type, $or and $not
+do not ask for paths to exist, and paths with `[]` in one $match are about the same items of the lists that they have in common.
 """
 
 from __future__ import annotations
@@ -116,11 +116,24 @@ class Operand:
         return Operand(F.transform(self.column, f), to, True, None, None if self.single is None else f(self.single), self.has)
 
 
+@dataclass
+class Formula:
+    """A condition as a column over the variables that it uses, and the conditions that it is made of ($and, $or, $not)."""
+
+    kind: str
+    column: Column
+    used: set[str]
+    parts: list[Formula] = field(default_factory=list)
+
+
 @dataclass
 class Compiler:
     graph: Graph
     semantics: str
     variables: dict = field(default_factory=dict)
+    #: The $match that a path with `[]` is correlated in, of those variables that are; and the columns of the list items that such a $match has in common.
+    scopes: dict = field(default_factory=dict)
+    ties: dict = field(default_factory=dict)
 
     def variable(self, root: str, steps: tuple, scope: dict | None) -> str:
         """Name of the variable of a root: one for a named path, one for each use or $match of a bare element."""
@@ -131,10 +144,35 @@ class Compiler:
                 if scope is not None:
                     scope["anchor"] = name
         else:
-            name = next((n for n, k in self.variables.items() if k == (root, steps)), None) or (f"v_{root[1:]}" if root != "$sme" else f"sme{len(self.variables)}")
+            match = None
+            if self.semantics == "spec" and scope is not None and root == "$sme" and any(i is None for _, at in steps for i in at):
+                match = scope.setdefault("number", len({*self.scopes.values()}))
+            name = next((n for n, k in self.variables.items() if k == (root, steps) and self.scopes.get(n) == match), None) or (f"v_{root[1:]}" if root != "$sme" else f"sme{len(self.variables)}")
+            if match is not None:
+                self.scopes[name] = match
+                for depth, prefix in self.items(steps):
+                    self.ties.setdefault((match, prefix), f"item{len(self.ties)}")
         self.variables[name] = (root, steps)
         return name
 
+    @staticmethod
+    def flat(steps: tuple) -> tuple[tuple, tuple]:
+        """Names and indexes of a path, one of each for every level of elements."""
+        names, indexes = [], []
+        for n, at in steps:
+            names += [n] + [None] * len(at)
+            indexes += [None] + list(at)
+        return tuple(names), tuple(indexes)
+
+    def items(self, steps: tuple) -> list[tuple[int, tuple]]:
+        """(depth, path down to there) of each `[]` of a path."""
+        names, indexes = self.flat(steps)
+        return [(k + 1, (names[: k + 1], indexes[: k + 1])) for k, n in enumerate(names) if n is None and indexes[k] is None]
+
+    def tied(self, name: str) -> dict[str, int]:
+        """Of a correlated variable, the columns of its list items and their depths."""
+        return {self.ties[self.scopes[name], prefix]: depth for depth, prefix in self.items(self.variables[name][1])} if name in self.scopes else {}
+
     def field(self, name: str, root: str, attributes: tuple) -> Operand:
         at = lambda c: F.col(f"{name}.{c}")
         if not attributes:
@@ -166,7 +204,8 @@ class Compiler:
                 return self.keys(F.get(at("submodels"), F.lit(index[0])), rest)
             # a shell's references carry no index in stored documents, so that a numbered one never matches
             refs = at("submodels") if not index or index[0] is None else F.filter(at("submodels"), lambda x: F.lit(False))
-            return Operand(F.transform(refs, lambda x: self.keys(x, rest).column), "str", True)
+            each = F.transform(refs, lambda x: self.keys(x, rest).column)
+            return Operand(F.flatten(each) if rest[0] == ("keys", (None,)) else each, "str", True)
         if first in ("assetInformation", "semanticId", "specificAssetIds", "submodels", "externalSubjectId"):
             raise ValueError("Path ends on a node: no comparable property")
         raise ValueError(f"Unknown attribute element: {first}")
@@ -175,8 +214,11 @@ class Compiler:
         (first, index), rest = steps[0], steps[1:]
         if first == "type" and not rest:
             return Operand(ref["type"], "str")
-        if first == "keys" and index and index[0] is not None and len(rest) == 1 and rest[0][0] in ("value", "type"):
-            return Operand(F.get(ref["keys"], F.lit(index[0]))[rest[0][0]], "str")
+        if first == "keys" and index and len(rest) == 1 and rest[0][0] in ("value", "type"):
+            if index[0] is not None:
+                return Operand(F.get(ref["keys"], F.lit(index[0]))[rest[0][0]], "str")
+            # any key; stored documents have no values below a reference, so that nothing is known of them
+            return Operand(F.transform(ref["keys"], lambda k: k[rest[0][0]]) if self.semantics == "spec" else F.array(F.lit(None).cast("string")), "str", True)
         raise ValueError("keys needs an index and one of value or type" if first == "keys" else f"Unknown attribute element: {first}")
 
     def operand(self, x: tuple, scope: dict | None) -> tuple[Operand, set[str]]:
@@ -238,24 +280,74 @@ class Compiler:
             return getattr(F, op)(x, y)
         return {"=": x == y, "<>": x != y, ">": x > y, ">=": x >= y, "<": x < y, "<=": x <= y}[op]
 
-    def expression(self, x: tuple, scope: dict | None = None) -> tuple[Column, set[str]]:
+    def expression(self, x: tuple, scope: dict | None = None) -> Formula:
         if x[0] in ("$and", "$or", "$match"):
             inner = {} if x[0] == "$match" else scope
             parts = [self.expression(y, inner) for y in x[1]]
-            columns = [c for c, _ in parts]
-            return reduce(Column.__or__ if x[0] == "$or" else Column.__and__, columns), set().union(*(u for _, u in parts))
+            return Formula("$or" if x[0] == "$or" else "$and", reduce(Column.__or__ if x[0] == "$or" else Column.__and__, [p.column for p in parts]), set().union(*(p.used for p in parts)), parts)
         if x[0] == "$not":
-            inner, used = self.expression(x[1], scope)
-            return ~inner, used
+            inner = self.expression(x[1], scope)
+            return Formula("$not", ~inner.column, inner.used, [inner])
         (a, u), (b, v) = self.operand(x[1], scope), self.operand(x[2], scope)
-        return self.compare(COMPARE[x[0]], a, b), u | v
+        return Formula("", self.compare(COMPARE[x[0]], a, b), u | v)
 
-    def conjuncts(self, x: tuple, scope: dict | None = None) -> list[tuple[Column, set[str]]]:
+    def conjuncts(self, x: tuple, scope: dict | None = None) -> list[Formula]:
         if x[0] in ("$and", "$match"):
             inner = {} if x[0] == "$match" else scope
             return [c for y in x[1] for c in self.conjuncts(y, inner)]
         return [self.expression(x, scope)]
 
+    def owners(self, lot: set[str], formulas: list[Formula]) -> DataFrame | None:
+        """The submodels (sm) whose elements satisfy formulas over several variables, from one scan: a bit for each part over one variable, or-ed for each submodel, and the formulas over bits.
+
+        None where a variable stands in more than one part: these have to hold for one element.
+        """
+        if any(self.variables[v][0] != "$sme" or v in self.scopes for v in lot):
+            return None
+        bits: list[tuple[str, Column]] = []
+
+        def over(f: Formula, negated: bool) -> Column:
+            if len(f.used) == 1:
+                bits.append((next(iter(f.used)), ~f.column if negated else f.column))
+                return F.col(f"bit{len(bits) - 1}")
+            if not f.used:
+                return ~f.column if negated else f.column
+            if not f.parts:
+                raise LookupError  # a comparison of two variables
+            if f.kind == "$not":
+                return over(f.parts[0], not negated)
+            either = (f.kind == "$or") != negated
+            return reduce(Column.__or__ if either else Column.__and__, [over(p, negated) for p in f.parts])
+
+        try:
+            whole = reduce(Column.__and__, [over(f, False) for f in formulas])
+        except LookupError:
+            return None
+        if len({v for v, _ in bits}) < len(bits):
+            return None
+        names = sorted(lot)
+        scanned = self.graph.elements.filter(reduce(Column.__or__, [self.at_path(v, "") for v in names])).select(F.col("submodel_id").alias("sm"), *(F.struct("*").alias(v) for v in names))
+        some = lambda c, alias: F.bool_or(F.coalesce(c, F.lit(False))).alias(alias)
+        held = scanned.groupBy("sm").agg(*(some(self.at_path(v, f"{v}.") & c, f"bit{i}") for i, (v, c) in enumerate(bits)), *(some(self.at_path(v, f"{v}."), f"there_{v}") for v in names))
+        there = [F.col(f"there_{v}") for v in names] if self.semantics == "reference" else []
+        return reduce(DataFrame.filter, [*there, whole], held).select("sm")
+
+    def at_path(self, name: str, prefix: str) -> Column:
+        """Whether an element, whose columns have a prefix, stands at the path of an element variable."""
+        at = lambda c: F.col(f"{prefix}{c}")
+        names, indexes = self.flat(self.variables[name][1])
+        if not names:
+            return F.forall(at("rels"), lambda r: r.isin(*ANY_DEPTH))
+        tests = [F.size(at("names")) == len(names)]
+        for k, (n, i) in enumerate(zip(names, indexes, strict=True)):
+            rel = F.get(at("rels"), F.lit(k))
+            tests.append(rel == ("submodelElements" if k == 0 else "value") if self.semantics == "reference" or k == 0 else rel.isin(*ANY_DEPTH))
+            # a place asks for a child of a list, whether that has a name or not
+            tests.append(F.get(at("names"), F.lit(k)) == n if n is not None else F.get(at("indexes"), F.lit(k)).isNotNull())
+            if i is not None:
+                tests.append(F.get(at("indexes"), F.lit(k)) == i)
+        return reduce(Column.__and__, tests)
+
     def rows(self, name: str) -> DataFrame:
         """The rows of a variable: an owner id and the variable's columns as one struct."""
         root, steps = self.variables[name]
@@ -263,23 +355,8 @@ class Compiler:
             table = {"$aas": self.graph.shells, "$sm": self.graph.submodels, "$cd": self.graph.concepts}.get(root)
             table = table if table is not None else shaped(self.graph.submodels, SHELL if root == "$aasdesc" else SUBMODEL).filter("false")
             return table.select(F.col("id").alias("owner"), F.struct("*").alias(name))
-        names, indexes = [], []
-        for n, at in steps:
-            names += [n] + [None] * len(at)
-            indexes += [None] + list(at)
-        found = self.graph.elements
-        if steps:
-            found = found.filter(F.size("names") == len(names))
-            for k, (n, i) in enumerate(zip(names, indexes, strict=True)):
-                rel = F.get("rels", F.lit(k))
-                found = found.filter(rel == ("submodelElements" if k == 0 else "value") if self.semantics == "reference" or k == 0 else rel.isin(*ANY_DEPTH))
-                # a place asks for a child of a list, whether that has a name or not
-                found = found.filter(F.get("names", F.lit(k)) == n if n is not None else F.get("indexes", F.lit(k)).isNotNull())
-                if i is not None:
-                    found = found.filter(F.get("indexes", F.lit(k)) == i)
-        else:
-            found = found.filter(F.forall("rels", lambda r: r.isin(*ANY_DEPTH)))
-        return found.select(F.col("submodel_id").alias("owner"), F.struct("*").alias(name))
+        places = [F.get("ancestors", F.lit(depth)).alias(c) if depth < len(self.flat(steps)[0]) else F.col("node_id").alias(c) for c, depth in self.tied(name).items()]
+        return self.graph.elements.filter(self.at_path(name, "")).select(F.col("submodel_id").alias("owner"), F.struct("*").alias(name), *places)
 
 
 def compile_query(query: str | dict, graph: Graph, target: str | None = None, semantics: str = "reference") -> DataFrame:
@@ -294,23 +371,29 @@ def compile_query(query: str | dict, graph: Graph, target: str | None = None, se
         raise ValueError(f"Target {target} is not bound by the query")
     # variables that one conjunct ties together share a join
     lots: list[set[str]] = [{v} for v in c.variables]
-    for _, used in conjuncts:
+    for used in [f.used for f in conjuncts] + [{v for v in c.scopes if tie in c.tied(v)} for tie in c.ties.values()]:
         joined = [lot for lot in lots if lot & used]
         if len(joined) > 1:
             lots = [lot for lot in lots if lot not in joined] + [set().union(*joined)]
     owner = lambda v: "aas" if c.variables[v][0] in ("$aas", "$aasdesc") else "cd" if c.variables[v][0] == "$cd" else "sm"
     sides: dict[tuple[str, ...], list[DataFrame]] = {}
-    constant = [col for col, used in conjuncts if not used]
+    constant = [f.column for f in conjuncts if not f.used]
     for lot in lots:
         owners = tuple(sorted({owner(v) for v in lot}))
+        mine = [f for f in conjuncts if f.used and f.used <= lot]
+        if len(lot) > 1 and (once := c.owners(lot, mine)) is not None:
+            sides.setdefault(owners, []).append(once)
+            continue
         frames = {}
         for v in sorted(lot):
-            rows, own = c.rows(v), [col for col, used in conjuncts if used == {v}]
-            rows = reduce(DataFrame.filter, own, rows)
+            rows = reduce(DataFrame.filter, [f.column for f in mine if f.used == {v}], c.rows(v))
             o = owner(v)
-            frames[o] = rows.withColumnRenamed("owner", o) if o not in frames else frames[o].join(rows.withColumnRenamed("owner", o), o, "inner" if semantics == "reference" else "full")
+            rows = rows.withColumnRenamed("owner", o)
+            # variables of one $match meet on the list items that they have in common
+            frames[o] = rows if o not in frames else frames[o].join(rows, [o, *(t for t in c.tied(v) if t in frames[o].columns)], "inner" if semantics == "reference" else "full")
         joined = reduce(lambda a, b: a.crossJoin(b), frames.values()) if "cd" in frames or len(frames) < 2 else frames["aas"].join(graph.bridge.withColumnsRenamed({"aas_id": "aas", "sm_id": "sm"}), "aas").join(frames["sm"], "sm")
-        joined = reduce(DataFrame.filter, [col for col, used in conjuncts if len(used) > 1 and used <= lot], joined)
+        # an outer join brings back rows that one variable's own conditions have dropped
+        joined = reduce(DataFrame.filter, [f.column for f in mine if len(f.used) > 1 or semantics != "reference" and len(lot) > 1], joined)
         sides.setdefault(owners, []).append(joined.select(*owners).distinct())
     singles = {o[0]: reduce(lambda a, b: a.join(b, a.columns[0], "left_semi"), dfs) for o, dfs in sides.items() if len(o) == 1}
     pairs = [df for o, dfs in sides.items() if len(o) > 1 for df in dfs]

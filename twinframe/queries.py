@@ -118,6 +118,12 @@ ask("nested_or_and", {"$and": [{"$or": [{"$eq": [field(KIND), text("PROMO")]}, {
 ask("match_bare_sme", {"$match": [{"$eq": [field("$sme#idShort"), text("Groesse")]}, {"$ge": [{"$numCast": field("$sme#value")}, number(30)]}]}, f"SELECT {TECH} WHERE p_size >= 30 AND p_partkey % 4 = 0")
 ask("two_bare_sme", {"$and": [{"$eq": [field("$sme#idShort"), text("Groesse")]}, {"$eq": [field("$sme#value"), text("PROMO")]}]}, f"SELECT {TECH} WHERE p_type = 'PROMO' AND p_partkey % 4 = 0")
 ask("match_named_uncorrelated", {"$match": [{"$gt": [field("$sme.Lines[].Quantity#value"), number(48)]}, {"$eq": [field("$sme.Lines[].ReturnFlag#value"), text("R")]}]}, f"{LINE} WHERE l_quantity > 48 INTERSECT {LINE} WHERE l_returnflag = 'R'")
+ask("match_named_correlated_spec", {"$match": [{"$gt": [field("$sme.Lines[].Quantity#value"), number(48)]}, {"$eq": [field("$sme.Lines[].ReturnFlag#value"), text("R")]}]}, f"{LINE} WHERE l_quantity > 48 AND l_returnflag = 'R'", semantics="spec")
+ask("match_two_items_spec", {"$and": [{"$match": [{"$gt": [field("$sme.Lines[].Quantity#value"), number(48)]}, {"$eq": [field("$sme.Lines[].ReturnFlag#value"), text("R")]}]}, {"$match": [{"$lt": [field("$sme.Lines[].Quantity#value"), number(5)]}, {"$eq": [field("$sme.Lines[].ReturnFlag#value"), text("N")]}]}]}, f"{LINE} WHERE l_quantity > 48 AND l_returnflag = 'R' INTERSECT {LINE} WHERE l_quantity < 5 AND l_returnflag = 'N'", semantics="spec")
+ask("or_two_bare_sme", {"$or": [{"$eq": [field("$sme#value"), text("PROMO")]}, {"$match": [{"$eq": [field("$sme#idShort"), text("Groesse")]}, {"$ge": [{"$numCast": field("$sme#value")}, number(45)]}]}]}, f"SELECT {TECH} WHERE p_type = 'PROMO' OR (p_size >= 45 AND p_partkey % 4 = 0)")
+ask("not_over_elements", {"$not": {"$or": [{"$eq": [field(KIND), text("PROMO")]}, {"$lt": [field(PRICE), number(950)]}]}}, f"SELECT {TECH} WHERE p_type <> 'PROMO' AND p_retailprice >= 950")
+ask("cd_equi_join", {"$and": [{"$eq": [field("$cd#id"), field("$sme.GeneralInformation.Name#semanticId")]}, {"$eq": [field("$cd#idShort"), text("Concept_2_2")]}]}, f"SELECT {TECH} WHERE p_partkey % 3 = 1", target="sm")
+ask("semantic_any_key_spec", {"$eq": [field("$sme.GeneralInformation.Name#semanticId.keys[].value"), text("0173-1#02-AAA002#003")]}, f"SELECT {TECH} WHERE p_partkey % 3 = 2", semantics="spec")
 ask("path_indexed", {"$gt": [field("$sme.Lines[0].Quantity#value"), number(40)]}, f"SELECT 'urn:sm:order:' || l_orderkey AS id FROM {PLACED} WHERE i = 0 AND l_quantity > 40")
 ask("path_any_index", {"$ge": [field("$sme.Lines[].ExtendedPrice#value"), number(50000)]}, f"{LINE} WHERE l_extendedprice >= 50000")
 ask("bare_sme_recursive", {"$eq": [field("$sme#value"), text("Brand#4")]}, f"SELECT {TECH} WHERE p_brand = 'Brand#4'")
