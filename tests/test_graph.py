@@ -169,4 +169,35 @@ def test_stream_keeps_latest(spark, tmp_path):
     query = operational.run(operational.read_events(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "check"))
     query.processAllAvailable()
     query.stop()
-    assert sorted((r["user_id"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()) == [(1, 2.0), (2, 4.0)]
+    out = str(tmp_path / "out")
+    values = lambda: sorted((r["user_id"], r["value"]) for r in operational.current(spark, out).collect())
+    assert values() == [(1, 2.0), (2, 4.0)]
+    # a batch writes the users that it has; late and repeated events change nothing
+    make((5, "2024-01-03 00:00:00", 2, "f", 5.0, "{}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    make((1, "2024-01-01 00:00:00", 1, "a", 1.0, "{}"), (5, "2024-01-03 00:00:00", 2, "f", 5.0, "{}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = operational.run(operational.read_events(spark, str(tmp_path / "in"), 1), out, str(tmp_path / "check"), compact_every=3)
+    query.processAllAvailable()
+    query.stop()
+    assert values() == [(1, 2.0), (2, 5.0)]
+    assert sorted(p.name for p in (tmp_path / "out" / "values").iterdir() if p.is_dir()) == ["batch=2", "batch=3"] and spark.read.parquet(f"{out}/values/batch=3").count() == 2
+    operational.compact(spark, out, 3)
+    assert values() == [(1, 2.0), (2, 5.0)] and [p.name for p in (tmp_path / "out" / "values").iterdir() if p.is_dir()] == ["batch=3"]
+
+
+def test_identifiables_are_pulled_one_at_a_time(spark, tmp_path):
+    from twinframe.sources import formats
+
+    made = {"other": [1, {"submodels": [1]}], "submodels": [{"id": "a", "x": ["}", "]"]}, 3, {"id": "b"}], "assetAdministrationShells": [], "conceptDescriptions": [{"id": "\u00e9"}]}
+    text = json.dumps(made, indent=2)
+    want = [(0, "submodels", 0, made["submodels"][0]), (0, "submodels", 2, {"id": "b"}), (0, "conceptDescriptions", 0, {"id": "\u00e9"})]
+    assert list(formats.identifiables("a.json", text.encode())) == list(formats.identifiables("a.json.gz", gzip.compress(("\ufeff" + text).encode()))) == want
+    assert list(formats.identifiables("a.json", b"{}")) == list(formats.identifiables("a.json", b'{"submodels": []}')) == []
+    for bad in (b"[]", b'{"submodels": [{"id": "a"}', b'{"submodels": [{"id": "a"},]}', b'{"a": 1} x', b'{"a" 1}', b""):
+        with pytest.raises(ValueError):
+            next(formats.identifiables("a.json", bad))
+    assert [(s, i["id"]) for _, s, _, i in formats.identifiables("a.xml", XML)] == [(k, i["id"]) for k, v in environments("a.xml", XML)[0].items() for i in v]
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "b.json").write_text(text[:-40])
+    g = readers.read_aas(spark, str(tmp_path), linked=True)
+    assert sorted(r["id"] for r in g.submodels.collect()) == ["a", "b"] and g.links is not None
+    assert "MapInArrow" in (plan := g.submodels._jdf.queryExecution().executedPlan().toString()) and plan.count("MapInArrow") == 1 and "binaryFile" not in plan

@@ -29,14 +29,39 @@ def upsert(table: DataFrame, changes: DataFrame) -> DataFrame:
     return latest(table.unionByName(changes))
 
 
-def run(events: DataFrame, path: str, checkpoint: str):
-    """Starts keeping the latest values under path: each batch writes a new version, so a batch that runs again writes the same."""
+ROW = "user_id long, value double, event_type string, ts timestamp, event_id long"
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The latest values that the batches under path have left: of each user's rows, one a batch at most, the last."""
+    return latest(spark.read.schema(f"{ROW}, batch long").parquet(f"{path}/values").drop("batch"))
+
+
+def compact(spark: SparkSession, path: str, upto: int) -> None:
+    """Puts the batches up to a number into one, that number's; to be called between batches, and safe to call again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/values")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted(n for s in fs.listStatus(folder) if s.isDirectory() and (n := int(s.getPath().getName().removeprefix("batch="))) <= upto)
+    if len(old) < 2:
+        return
+    aside, moved = f"{path}/aside", spark._jvm.org.apache.hadoop.fs.Path
+    latest(spark.read.schema(ROW).parquet(*(f"{path}/values/batch={n}" for n in old))).write.mode("overwrite").parquet(aside)
+    # a row that stands in two batches counts once, so a halt between these steps changes no value
+    fs.delete(moved(f"{path}/values/batch={old[-1]}"), True)
+    fs.rename(moved(aside), moved(f"{path}/values/batch={old[-1]}"))
+    for n in old[:-1]:
+        fs.delete(moved(f"{path}/values/batch={n}"), True)
+
+
+def run(events: DataFrame, path: str, checkpoint: str, compact_every: int = 100):
+    """Starts keeping the latest values under path: a batch of k users writes k rows, under its own number, so a batch that runs again writes the same. `current` reads them.
+
+    Every compact_every batches those before are put into one.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = latest(batch)
-        if number:
-            now = upsert(spark.read.parquet(f"{path}/v{number - 1}"), now)
-        now.write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number and number % compact_every == 0:
+            compact(batch.sparkSession, path, number - 1)
+        latest(batch).select(*(c.split()[0] for c in ROW.split(", "))).write.mode("overwrite").parquet(f"{path}/values/batch={number}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").start()
