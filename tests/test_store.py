@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from twinframe.operators import cleaning, projection, statistics, template, tools
+from twinframe.operators import cleaning, projection, resolve, statistics, template, tools
 from twinframe.operators.store import Store
 from twinframe.schema import SUBMODEL, Graph, shaped
 from twinframe.sources import readers
@@ -150,3 +150,68 @@ def test_fields_of_several_queries(spark):
     concepts = spark.createDataFrame([("b1", [("de", "Temperatur"), ("en", "temperature")])], "id string, displayName array<struct<language:string,text:string>>")
     groups = tools.by_concept(tools.relevant_fields(corpus, queries, 8), concepts).collect()
     assert [(r["base"], r["name"], r["fields"]) for r in groups] == [("b1", "temperature", ["Temp", "Temperatur"])]
+
+
+def test_many_changes_keep_plans_and_results(spark, tmp_path):
+    store = Store(graph(spark, *({"modelType": "Submodel", "id": f"urn:{i}", "submodelElements": [prop("P", str(i))]} for i in range(60))), str(tmp_path))
+    size = lambda s: len(s.graph.elements._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    row = shaped(spark.createDataFrame([("urn:new",)], "id string"), SUBMODEL)
+    sizes = {}
+    for i in range(50):
+        store = store.changed(store.mark(("submodels", f"urn:{i}"), ("owner", f"urn:{i}")), submodels=row.withColumn("id", F.lit(f"urn:new{i}")))
+        sizes[i + 1] = size(store)
+    assert sizes[2] == sizes[50] and len(store.changes) == 50
+    left = {f"urn:{i}" for i in range(50, 60)}
+    assert {r["submodel_id"] for r in store.graph.elements.collect()} == left and {r["id"] for r in store.ids().collect()} == left | {f"urn:new{i}" for i in range(50)}
+    again = Store.open(store.base, str(tmp_path))
+    assert again.changes == store.changes
+    # a branch from an earlier change does not see later ones, nor do they see it
+    early = Store(store.base, str(tmp_path), store.changes[:10]).discard("urn:30")
+    assert "urn:31" in early and "urn:30" not in early and "urn:new40" not in early and "urn:31" not in store and len(store) == 60
+    compact = store.compact(str(tmp_path / "compact"))
+    assert compact.changes == () and sorted(compact.ids().collect()) == sorted(store.ids().collect())
+
+
+def test_add_referable_asks_for_a_place(spark):
+    store = two(spark)
+    row = spark.createDataFrame([("urn:n", "N", "Property")], "id string, idShort string, model_type string")
+    assert "urn:n" in store.add_referable(row, "Submodel") and store.add_referable(row, "Property", "urn:s").find("urn:s", "N").count() == 1
+    for kind, place in (("Submodel", ("urn:s",)), ("Property", ())):
+        with pytest.raises(ValueError):
+            store.add_referable(row, kind, *place)
+    with pytest.raises(KeyError):
+        store.add_referable(row, "Property", "urn:x")
+
+
+def test_named_elements_stay_alone_unless_named_from_within_alike(spark):
+    pointer = {"modelType": "ReferenceElement", "idShort": "R", "value": to_element("urn:s", "C", "P")}
+    inner = {"modelType": "SubmodelElementCollection", "idShort": "C", "value": [prop("P", "1"), prop("Q", "2"), pointer]}
+    store = Store(graph(spark, {"modelType": "Submodel", "id": "urn:s", "submodelElements": [inner]}, {"modelType": "Submodel", "id": "urn:t", "submodelElements": [pointer]}))
+    left, n = store.removed("urn:s")  # the reference from outside is held within as well
+    assert n == 5 and {r["node_id"] for r in left.graph.elements.collect()} == {"urn:t/R"}
+
+
+def test_links_heal_without_a_shuffle_of_references(spark, tmp_path):
+    store = two(spark)
+    linked = resolve.link(store.graph, str(tmp_path / "links"))
+    known = resolve.resolve(linked)
+    full = lambda g: sorted(map(tuple, resolve.resolve(g).collect()))
+    assert full(linked) == full(store.graph) and [r["target_id"] for r in known.collect()] == ["urn:s/C/P"]
+    new = graph(spark, {"modelType": "Submodel", "id": "urn:u", "submodelElements": [{"modelType": "ReferenceElement", "idShort": "R", "value": to_element("urn:s", "C", "Q")}]})
+    for after, ids in ((store.upsert(new), ["urn:u"]), (store.remove_element("urn:s", "C.Q"), ["urn:s"]), (store.removed("urn:t")[0], ["urn:t"]), (store.upsert(new).remove("urn:s"), ["urn:u", "urn:s"])):
+        healed = resolve.heal(linked.links, known, after.graph, spark.createDataFrame([(i,) for i in ids], "id string"))
+        assert sorted(map(tuple, healed.collect())) == full(after.graph)
+    plan = linked.links.references.join(spark.createDataFrame([("urn:s",)], "id string").hint("merge"), F.col("root") == F.col("id"), "left_semi")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "hashpartitioning(root" not in text  # only the ids are dealt
+
+
+def test_rows_within_a_budget(spark):
+    rows = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(500)], "k long, text string").repartition(5)
+    sizes = [len(f'{{"k":{i},"text":"{"x" * (i % 7)}"}}') for i in range(500)]
+    for budget in (1, 60, 3000, 10**6):
+        want = [i for i in range(500) if sum(sizes[: i + 1]) <= budget or i == 0]
+        assert [r["k"] for r in tools.within_budget(rows, ["k"], budget).orderBy("k").collect()] == want
+    shown, total = tools.capped(rows.orderBy("k"), 200, 60)
+    assert [r["k"] for r in shown] == [0, 1, 2] and total == 500
+    assert tools.within_budget(rows.filter("k < 0"), ["k"], 10).count() == 0

@@ -115,7 +115,7 @@ def descend(below: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def dangling(graph: Graph) -> DataFrame:
-    """Distinct model references that name nothing."""
+    """(ref_id, first): distinct model references that name nothing, and the identifiable that they begin at."""
     refs = references(graph)
     model = refs.filter("ref.type = 'ModelReference'").select("ref_id", F.col("ref.keys")[0]["value"].alias("first")).distinct()
     return model.join(resolve(graph, refs).select("ref_id"), "ref_id", "left_anti")

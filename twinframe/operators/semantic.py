@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import irdi_base, leading_number, pick_text
@@ -56,12 +56,23 @@ def assets_by_criteria(graph: Graph, criteria: list[tuple[str, str, str]]) -> Da
     return reduce(lambda a, b: a.join(b, "aas_id", "left_semi"), shells)
 
 
-def explain_property(graph: Graph, name: str) -> DataFrame:
-    """What a property (idShort or identifier) means: for each concept base, the names in use, counts, texts and units."""
+def explain_property(graph: Graph, name: str, examples: int = 3) -> DataFrame:
+    """What a property (idShort or identifier) means: for each concept base, the names in use, counts, texts and units, the first types of submodel that it stands in and the first of its values."""
     wanted = (F.col("idShort") == name) | (irdi_base(semantic_id()) == irdi_base(F.lit(name)))
-    used = graph.elements.filter(wanted).groupBy(irdi_base(semantic_id()).alias("base")).agg(F.count(F.lit(1)).alias("uses"), F.array_join(F.sort_array(F.collect_set("idShort")), "|").alias("names"), F.count_distinct("submodel_id").alias("submodels"))
+    there = graph.elements.filter(wanted).select(irdi_base(semantic_id()).alias("base"), "idShort", "submodel_id", element_text().alias("text"))
+    used = there.groupBy("base").agg(F.count(F.lit(1)).alias("uses"), F.array_join(F.sort_array(F.collect_set("idShort")), "|").alias("names"), F.count_distinct("submodel_id").alias("submodels"))
     known = graph.concepts.withColumn("base", irdi_base(F.col("id"))).groupBy("base").agg(F.count(F.lit(1)).alias("versions"), F.min(pick_text(F.col("displayName"), F.lit(None))).alias("meaning"), F.min("unit").alias("unit"))
-    return used.join(known, "base", "left").select("base", "names", "uses", "submodels", F.coalesce("versions", F.lit(0)).alias("versions"), "meaning", "unit")
+    types = there.select("base", F.col("submodel_id").alias("id")).distinct().join(graph.submodels.select("id", "idShort"), "id")
+
+    def first(values: DataFrame, value: str, alias: str) -> DataFrame:
+        """The first distinct values of each base, cut off before they meet."""
+        rank = F.row_number().over(Window.partitionBy("base").orderBy(value))
+        kept = values.select("base", value).filter(F.col(value).isNotNull()).distinct().withColumn("rank", rank).filter(F.col("rank") <= examples)
+        return kept.groupBy("base").agg(F.array_join(F.sort_array(F.collect_list(value)), "|").alias(alias)).withColumnRenamed("base", f"{alias}_base")
+
+    for more, alias in ((first(types, "idShort", "classes"), "classes"), (first(there, "text", "examples"), "examples")):
+        used = used.join(more, F.col("base").eqNullSafe(F.col(f"{alias}_base")), "left")
+    return used.join(known, "base", "left").select("base", "names", "uses", "submodels", F.coalesce("versions", F.lit(0)).alias("versions"), "meaning", "unit", "classes", "examples")
 
 
 def has_property(classes: DataFrame, concepts: DataFrame) -> DataFrame:

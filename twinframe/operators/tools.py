@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import irdi_base, leading_number, pick_text
 from ..schema import Graph
+from ..session import new_folder
 from .semantic import element_text, matches, semantic_id
 
 
@@ -91,23 +92,26 @@ def assets_missing(graph: Graph, submodel_type: str | None = None, field: str |
     return graph.shells.select("id", F.col("idShort").alias("asset")).join(with_it, "id", "left_anti").select("asset").orderBy("asset")
 
 
-def asset_components(graph: Graph, submodel_type: str = "OrderRecord") -> DataFrame:
-    """Per shell, how many collections its submodels of a type hold and how many relationships of each direction."""
+def asset_components(graph: Graph, submodel_type: str = "HierarchicalStructures", asset: str | None = None) -> DataFrame:
+    """Per shell, or for one by its idShort, how many collections its submodels of a type hold and how many relationships of each direction."""
     inside = graph.elements.join(graph.submodels.filter(F.col("idShort") == submodel_type).select(F.col("id").alias("submodel_id")), "submodel_id", "left_semi").filter(~F.coalesce(F.col("idShort").isin("ArcheType", "EntryNode"), F.lit(False)))
     counted = inside.groupBy(F.col("submodel_id").alias("sm_id")).agg(F.count_if(F.col("model_type").isin("Entity", "SubmodelElementCollection")).alias("parts"), F.count_if(F.col("idShort").startswith("HasPart")).alias("has_part"), F.count_if(F.col("idShort").startswith("IsPartOf")).alias("is_part_of"))
-    return counted.join(graph.bridge, "sm_id").groupBy("aas_id").agg(*(F.sum(c).alias(c) for c in ("parts", "has_part", "is_part_of")))
+    held = graph.bridge if asset is None else graph.bridge.join(graph.shells.filter(F.col("idShort") == asset).select(F.col("id").alias("aas_id")), "aas_id", "left_semi")
+    return counted.join(held, "sm_id").groupBy("aas_id").agg(*(F.sum(c).alias(c) for c in ("parts", "has_part", "is_part_of")))
 
 
 def get_asset(graph: Graph, name: str) -> DataFrame:
-    """The best tier of shells for a name: id first, then idShort, then part of either; with manufacturer and submodel count."""
+    """The best tier of shells for a name: id first, then idShort, then part of either; with their number (`matches`, ambiguous above 1), manufacturer, designation and submodel count."""
     low = name.lower()
     rank = F.when(F.lower("id") == low, 0).when(F.lower("idShort") == low, 1).when(F.contains(F.lower("id"), F.lit(low)) | F.contains(F.lower("idShort"), F.lit(low)), 2)
     ranked = graph.shells.select("id", "idShort", "globalAssetId", rank.alias("rank")).filter("rank IS NOT NULL")
-    best = ranked.join(ranked.agg(F.min("rank").alias("rank")), "rank")
+    best = ranked.join(ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("matches")).orderBy("rank").limit(1), "rank")
     held = graph.bridge.join(best.select(F.col("id").alias("aas_id")), "aas_id", "left_semi")
-    makers = graph.elements.filter(F.col("idShort").isin("ManufacturerName", "Company")).select(F.col("submodel_id").alias("sm_id"), F.struct((F.col("idShort") != "ManufacturerName").alias("second"), element_text().alias("text")).alias("m"))
-    facts = held.join(makers, "sm_id", "left").groupBy(F.col("aas_id").alias("id")).agg(F.min("m")["text"].alias("manufacturer"), F.count_distinct("sm_id").alias("submodels"))
-    return best.join(facts, "id", "left").select("id", "idShort", "globalAssetId", "rank", "manufacturer", F.coalesce("submodels", F.lit(0)).alias("submodels"))
+    said = graph.elements.filter(F.col("idShort").isin("ManufacturerName", "Company", "ManufacturerProductDesignation")).select(F.col("submodel_id").alias("sm_id"), F.col("idShort").alias("what"), element_text().alias("text"))
+    maker = F.min(F.when(F.col("what") != "ManufacturerProductDesignation", F.struct((F.col("what") != "ManufacturerName").alias("second"), "text")))["text"]
+    designation = F.min(F.when(F.col("what") == "ManufacturerProductDesignation", F.col("text")))
+    facts = held.join(said.filter("text <> ''"), "sm_id", "left").groupBy(F.col("aas_id").alias("id")).agg(maker.alias("manufacturer"), designation.alias("designation"), F.count_distinct("sm_id").alias("submodels"))
+    return best.join(facts, "id", "left").select("id", "idShort", "globalAssetId", "rank", "matches", "manufacturer", "designation", F.coalesce("submodels", F.lit(0)).alias("submodels"))
 
 
 def manufacturers(graph: Graph) -> DataFrame:
@@ -166,9 +170,32 @@ def sql_read(graph: Graph, statement: str) -> DataFrame:
     return graph.spark.sql(text)
 
 
-def capped(rows: DataFrame, most: int = 200) -> tuple[list[dict], int]:
-    """The first rows of a report, and how many there are in all."""
-    return [r.asDict(recursive=True) for r in rows.limit(most).collect()], rows.count()
+def capped(rows: DataFrame, most: int = 200, characters: int = 4000) -> tuple[list[dict], int]:
+    """The first rows of a report that fit into so many characters of JSON (one at least), `most` at the most, and how many there are in all."""
+    shown, size = [], 0
+    for r in rows.limit(most).select(F.struct("*").alias("row"), F.char_length(F.to_json(F.struct("*"))).alias("size")).toLocalIterator():
+        size += r["size"]
+        if shown and size > characters:
+            break
+        shown.append(r["row"].asDict(recursive=True))
+    return shown, rows.count()
+
+
+def within_budget(rows: DataFrame, order: list[str], characters: int) -> DataFrame:
+    """The rows, in an order that tells them apart, that fit together into so many characters of JSON; the first one in any case.
+
+    Running sums in two passes: rows are dealt into ranges of the order and stored, the ranges' sums are added up (a row for each range), and each range goes on from the sum of those before it.
+    """
+    size = F.char_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)))).cast("long")
+    path = f"{new_folder(rows.sparkSession)}/ranges"
+    rows.repartitionByRange(*order).withColumns({"_size": size, "_range": F.spark_partition_id()}).write.parquet(path)
+    dealt = rows.sparkSession.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(F.sum("_size").alias("own")).select("_range", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("_before"))
+    # a range that begins beyond the budget holds nothing that fits
+    near = dealt.join(F.broadcast(ranges.filter(F.col("_before") < characters)), "_range")
+    within = F.sum("_size").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("_sum", F.col("_before") + within).filter((F.col("_sum") <= characters) | (F.col("_sum") == F.col("_size"))).select(*(F.col(f"`{c}`") for c in rows.columns))
 
 
 def ask(graph: Graph, query: dict | str) -> DataFrame:

@@ -178,7 +178,7 @@ graph_query("find_by_semantic_id", lambda g: semantic.find_referables(g, "0173-1
 graph_query("find_by_semantic_id_exact", lambda g: semantic.find_referables(g, "0173-1#02-AAA001#002", False).select("node_id"), "SELECT 'urn:sm:technicaldata:' || p_partkey || '/TechnicalPropertyAreas/' || CASE WHEN p_partkey % 4 = 0 THEN 'Groesse' ELSE 'Size' END AS node_id FROM part WHERE p_partkey % 3 = 1")
 SUPPLIED = "(SELECT DISTINCT l_suppkey, p_partkey, p_size, p_brand, p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey)"
 graph_query("semantic_criteria_all", lambda g: semantic.assets_by_criteria(g, [("0173-1#02-AAA001#001", ">=", "45"), ("0173-1#02-AAA003#001", "=", "Brand#2")]), f"SELECT DISTINCT 'urn:aas:supplier:' || l_suppkey AS aas_id FROM {SUPPLIED} WHERE p_size >= 45 INTERSECT SELECT 'urn:aas:supplier:' || l_suppkey FROM {SUPPLIED} WHERE p_brand = 'Brand#2'")
-graph_query("explain_property", lambda g: semantic.explain_property(g, "0173-1#02-AAA001#002"), "SELECT '0173-1#02-AAA001' AS base, 'Groesse|Size' AS names, count(*) AS uses, count(*) AS submodels, 3::BIGINT AS versions, 'concept 1' AS meaning, '0173-1#05-AAA480#001' AS unit FROM part")
+graph_query("explain_property", lambda g: semantic.explain_property(g, "0173-1#02-AAA001#002"), "SELECT '0173-1#02-AAA001' AS base, 'Groesse|Size' AS names, count(*) AS uses, count(*) AS submodels, 3::BIGINT AS versions, 'concept 1' AS meaning, '0173-1#05-AAA480#001' AS unit, 'TechnicalData' AS classes, (SELECT string_agg(x, '|' ORDER BY x) FROM (SELECT DISTINCT p_size::VARCHAR AS x FROM part ORDER BY x LIMIT 3)) AS examples FROM part")
 graph_query("agg_count_by_value", lambda g: tools.aggregate_field(g, "count_by_value", "Brand"), f"SELECT p_brand AS value, count(DISTINCT l_suppkey) AS n FROM {SUPPLIED} GROUP BY 1 ORDER BY n DESC, value LIMIT 50")
 graph_query("agg_max_at", lambda g: tools.aggregate_field(g, "max", "AccountBalance"), "SELECT 'Supplier_' || s_suppkey AS asset, 'AccountBalance' AS field, round(s_acctbal, 4) AS number FROM supplier ORDER BY s_acctbal DESC, asset LIMIT 1")
 graph_query("agg_min_at", lambda g: tools.aggregate_field(g, "min", "AccountBalance"), "SELECT 'Supplier_' || s_suppkey AS asset, 'AccountBalance' AS field, round(s_acctbal, 4) AS number FROM supplier ORDER BY s_acctbal, asset LIMIT 1")
@@ -190,8 +190,10 @@ graph_query("property_values_range", lambda g: tools.property_values(g, "Groesse
 graph_query("property_values_contains", lambda g: tools.property_values(g, "Brand", asset="Supplier_1", contains="#3"), f"SELECT DISTINCT 'Supplier_' || l_suppkey AS asset, 'Brand' AS field, p_brand AS raw FROM {SUPPLIED} WHERE contains('supplier_' || l_suppkey, 'supplier_1') AND contains(lower(p_brand), '#3') ORDER BY asset, field, raw LIMIT 60")
 graph_query("assets_missing_submodel", lambda g: tools.assets_missing(g, submodel_type="OrderRecord"), "SELECT 'Supplier_' || s_suppkey AS asset FROM supplier UNION ALL SELECT 'Customer_' || c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 graph_query("assets_missing_property", lambda g: tools.assets_missing(g, field="Groesse"), f"SELECT 'Customer_' || c_custkey AS asset FROM customer UNION ALL SELECT 'Supplier_' || s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM {SUPPLIED} WHERE p_partkey % 4 = 0)")
-graph_query("asset_components", tools.asset_components, "SELECT 'urn:aas:customer:' || o_custkey AS aas_id, count(l_orderkey) AS parts, 0::BIGINT AS has_part, 0::BIGINT AS is_part_of FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
-graph_query("get_asset", lambda g: tools.get_asset(g, "supplier_7"), "SELECT 'urn:aas:supplier:7' AS id, 'Supplier_7' AS \"idShort\", 'urn:asset:supplier:7' AS \"globalAssetId\", 1 AS rank, s_name AS manufacturer, 1 + (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey = 7) AS submodels FROM supplier WHERE s_suppkey = 7")
+graph_query("asset_components", lambda g: tools.asset_components(g, "OrderRecord"), "SELECT 'urn:aas:customer:' || o_custkey AS aas_id, count(l_orderkey) AS parts, 0::BIGINT AS has_part, 0::BIGINT AS is_part_of FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
+graph_query("get_asset", lambda g: tools.get_asset(g, "supplier_7"), "SELECT 'urn:aas:supplier:7' AS id, 'Supplier_7' AS \"idShort\", 'urn:asset:supplier:7' AS \"globalAssetId\", 1 AS rank, 1 AS matches, s_name AS manufacturer, NULL::VARCHAR AS designation, 1 + (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey = 7) AS submodels FROM supplier WHERE s_suppkey = 7")
+graph_query("get_asset_ambiguous", lambda g: tools.get_asset(g, "lier_1").select("id", "rank", "matches", "manufacturer"), "SELECT 'urn:aas:supplier:' || s_suppkey AS id, 2 AS rank, count(*) OVER () AS matches, s_name AS manufacturer FROM supplier WHERE contains('supplier_' || s_suppkey, 'lier_1')")
+graph_query("asset_components_of_one", lambda g: tools.asset_components(g, "OrderRecord", "Customer_5").select("aas_id", "parts"), "SELECT 'urn:aas:customer:5' AS aas_id, count(*) AS parts FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 5 HAVING count(*) > 0")
 graph_query("repo_overview_manufacturers", tools.manufacturers, "SELECT DISTINCT s_name AS manufacturer FROM supplier")
 graph_query("field_corpus", lambda g: tools.field_corpus(g).filter("submodel_type = 'TechnicalData'"), """SELECT 'TechnicalData' AS submodel_type, field, base, count(*) AS n FROM (SELECT unnest(['GeneralInformation', 'Name', 'Brand', 'ProductType', 'TechnicalPropertyAreas', CASE WHEN p_partkey % 4 = 0 THEN 'Groesse' ELSE 'Size' END, 'RetailPrice']) AS field,
     unnest([NULL, '0173-1#02-AAA002', '0173-1#02-AAA003', '0173-1#02-AAA004', NULL, '0173-1#02-AAA001', '0173-1#02-AAA005']) AS base FROM part) GROUP BY field, base""")
@@ -202,7 +204,6 @@ graph_query("template_union", lambda g: template.union(g, "TechnicalData").selec
     UNION ALL SELECT 'TechnicalPropertyAreas/Groesse', 2, 'Property', 'xs:int', count(*) FROM part WHERE p_partkey % 4 = 0))""")
 graph_query("resolve_len1", lambda g: resolve.resolve(g, resolve.references(g).filter("ref.type = 'ModelReference'")).groupBy("target_kind").agg(F.count(F.lit(1)).alias("n"), F.min("target_id").alias("least"), F.max("target_id").alias("last")), f"SELECT 'Submodel' AS target_kind, count(DISTINCT sm) AS n, min(sm) AS least, max(sm) AS last FROM {BRIDGE}")
 graph_query("resolve_external", lambda g: resolve.resolve(g, resolve.references(g).filter("ref.type = 'ExternalReference'")).select("target_kind", "target_id"), "SELECT 'ConceptDescription' AS target_kind, target_id FROM (SELECT '0173-1#02-AAA00' || c || '#00' || v AS target_id FROM (SELECT unnest([1, 2]) AS c), (SELECT DISTINCT 1 + p_partkey % 3 AS v FROM part) UNION ALL SELECT '0173-1#02-AAA' || lpad(c::VARCHAR, 3, '0') || '#001' FROM (SELECT unnest([3, 4, 5, 6, 7, 8, 9, 10]) AS c) UNION ALL SELECT DISTINCT 'urn:region:' || n_regionkey FROM nation)")
-graph_query("resolve_dangling", lambda g: resolve.dangling(g).select("ref_id"), "SELECT 'x' AS ref_id WHERE false")
 
 
 def line_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,10 +335,10 @@ def some_parts(spark: SparkSession, sf_dir: str, every: int = 10) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").filter(F.col("p_partkey") % every == 0)
 
 
-def pointers(spark: SparkSession, sf_dir: str) -> Graph:
-    """A submodel for every tenth part with a reference to the part's brand."""
+def pointers(spark: SparkSession, sf_dir: str, last: str = "Brand") -> Graph:
+    """A submodel for every tenth part with a reference to the part's brand, or to another element beside it."""
     parts, own = some_parts(spark, sf_dir), project.key("urn:sm:pointer:", "p_partkey")
-    to = reference("ModelReference", ("Submodel", project.key("urn:sm:technicaldata:", "p_partkey")), ("SubmodelElementCollection", F.lit("GeneralInformation")), ("Property", F.lit("Brand")))
+    to = reference("ModelReference", ("Submodel", project.key("urn:sm:technicaldata:", "p_partkey")), ("SubmodelElementCollection", F.lit("GeneralInformation")), ("Property", F.lit(last)))
     return own_graph(spark, parts.select(own.alias("id"), F.lit("Pointer").alias("idShort")), project.branch(parts, own, "Brand", model_type="ReferenceElement", target=to))
 
 
@@ -384,6 +385,17 @@ def resolve_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve(g, refs.select(F.sha2(F.to_json("ref"), 256).alias("ref_id"), "ref")).groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def resolve_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where model references begin that name nothing: pointers to an element that no part has."""
+    after = Store(stored_graph_of(spark, sf_dir)).upsert(pointers(spark, sf_dir, "Missing")).graph
+    return resolve.dangling(after).select("first")
+
+
+def capped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first documents, by id, whose rows fit into 20 000 characters of JSON."""
+    return tools.within_budget(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source"), ["doc_id"], 20_000)
+
+
 TENTH = "FROM part WHERE p_partkey % 10 = 0"
 OLD = "FROM part WHERE p_partkey % 10 <> 0"
 add("store_commit", store_commit, f"""SELECT 'GeneralInformation' AS "idShort", count(*) AS n FROM part UNION ALL SELECT 'Revised', count(*) {TENTH} UNION ALL SELECT x, count(*) FROM (SELECT unnest(['Name', 'Brand', 'ProductType', 'TechnicalPropertyAreas', 'RetailPrice']) AS x {OLD}) GROUP BY x
@@ -392,3 +404,5 @@ add("store_remove_shared", store_remove_shared, f"SELECT 'urn:sm:technicaldata:'
 add("resolve_incremental", resolve_incremental, f"""{ORACLES['resolve_external']} UNION ALL SELECT DISTINCT 'Submodel', sm FROM {BRIDGE} WHERE sm NOT IN (SELECT 'urn:sm:nameplate:' || s_suppkey FROM supplier WHERE s_suppkey % 7 = 0)
     UNION ALL SELECT 'SubmodelElement', 'urn:sm:technicaldata:' || p_partkey || '/GeneralInformation/Brand' {TENTH}""")
 add("resolve_mixed_chains", resolve_mixed, f"SELECT 'urn:sm:nested:' || p_partkey || '/Outer/0/0' AS target_id, 4 AS n {TENTH}")
+add("resolve_dangling", resolve_dangling, f"SELECT 'urn:sm:technicaldata:' || p_partkey AS first {TENTH}")
+add("capped_rows", capped_rows, """SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source, sum(length('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}')) OVER (ORDER BY doc_id) AS total FROM documents) WHERE total <= 20000""")
