@@ -14,7 +14,7 @@ def brute(vectors, asked, k=5):
 def test_every_fiftieth_id_is_asked(spark, tmp_path):
     vectors = np.random.default_rng(4).integers(-9, 10, (260, 6)).astype(float)
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = queries.QUERIES["knn_fields_every_50"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["knn_fields"](spark, str(tmp_path)).collect()
     assert {(r["query_id"], r["rank"], r["id"]) for r in got} == brute(vectors, range(0, 260, 50)) and len(got) == 30
 
 
@@ -23,3 +23,25 @@ def test_more_queries_than_a_block(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<float>")
     got = tools.nearest_fields(df, df.selectExpr("id AS query_id", "embedding AS query")).collect()
     assert {(r["query_id"], r["rank"], r["id"]) for r in got} == brute(vectors, range(1100)) and len(got) == 5500
+
+
+def test_against_all_pairs_over_many_batches(spark):
+    import random
+
+    rng = random.Random(5)
+    vectors = [(i, [float(rng.randrange(3)) for _ in range(6)]) for i in range(400)] + [(1000, None), (1001, [1.0]), (1002, [float("nan")] * 6), (1003, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
+    table = spark.createDataFrame(vectors, "id long, embedding array<double>").repartition(5)
+    asked = {i: v for i, v in vectors[:40]}
+    queries = spark.createDataFrame([(i, v) for i, v in asked.items()] + [(-1, None), (-2, [0.0])], "query_id long, query array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {(r["query_id"], r["rank"]): (r["distance"], r["id"]) for r in tools.nearest_fields(table, queries, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    want = {}
+    for q, v in asked.items():
+        pairs = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), i) for i, w in vectors[:400] if i != q)
+        want |= {(q, n): p for n, p in enumerate(pairs[:5], 1)}
+    assert found == want
+    assert [(r["query_id"], r["id"]) for r in tools.nearest_fields(table, queries.filter("query_id < 0"), 5).collect()] == [(-2, 1001)]
+    assert tools.nearest_fields(table, queries.filter("query_id = -1"), 5).count() == 0

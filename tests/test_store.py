@@ -4,6 +4,7 @@ import csv
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from twinframe.operators import cleaning, projection, resolve, statistics, template, tools
@@ -125,6 +126,9 @@ def test_statistics(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"submodels": [MODEL], "assetAdministrationShells": [SHELL]}))
     (tmp_path / "b.json").write_text("{")
     assert tuple(statistics.load_statistics(readers.read_documents(spark, str(tmp_path))).first()) == (2, 1, 1, 1, 0)
+    seen = Observation()
+    g = readers.read_aas(spark, str(tmp_path), observation=seen)
+    assert seen.get == {"files": 2, "failed": 1, "shells": 1, "submodels": 1, "concepts": 0} and g.submodels.count() == 1
     counts = {(r["what"], r["name"]): r["n"] for r in statistics.storage_counts(graph(spark, SHELL, MODEL, CONCEPT)).collect()}
     assert counts["label", "Identifiable"] == 3 and counts["label", "Property"] == 19 and counts["containment", "value"] == 14 and counts["containment", "statements"] == 1
     assert counts["value", "id"] == 3 and counts["value", "version"] == 1 and ("value", "unit") in counts

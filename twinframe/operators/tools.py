@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import irdi_base, leading_number, pick_text
 from ..schema import Graph
@@ -126,19 +127,73 @@ def field_corpus(graph: Graph) -> DataFrame:
     return fields.join(owner, "submodel_id").groupBy("submodel_type", "field", "base").agg(F.sum("n").alias("n"))
 
 
+#: Bytes of query vectors that are sent to every task at a time.
+QUERY_BYTES = 32_000_000
+
+
 def nearest_fields(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, id, distance): exact k nearest of a small stated set of queries among vectors (id, embedding), by squared distance.
+    """(query_id, rank, id, distance): exact k nearest of a stated set of queries (query_id, query) among vectors (id, embedding) but their own, by squared distance to six digits, ties by id.
 
-    The queries are broadcast after a check of their number; a larger set goes through in blocks of that many.
+    The queries go to every task, more than QUERY_BYTES of them in blocks by the hash of their id. A task holds the k best of each query among its rows and sends these alone; products of
+    matrices rule out all pairs that can't be among them. Vectors that are null, of another length than the first query or hold null or non-finite values take no part.
     """
-    most = 1000
-    if queries.limit(most + 1).count() > most:
-        blocks = -(-queries.count() // most)
-        return reduce(DataFrame.union, [nearest_fields(corpus, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)) == i), k) for i in range(2 * blocks)])
-    square = F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    near = corpus.join(F.broadcast(queries), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(square, 6).alias("distance"))
+    named = queries.filter("query IS NOT NULL")
+    first = named.select(F.size("query").alias("n")).first()
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", corpus.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    if first is None:
+        return corpus.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1)).select("query_id", "rank", "id", "distance")
+    size = first["n"]
+    named = named.filter(F.size("query") == size)
+    blocks = max(1, -(-named.count() * size * 8 // QUERY_BYTES))
+    parts = []
+    for block in range(blocks):
+        lot = named.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", "query").collect()
+        parts.append(corpus.filter(F.size("embedding") == size).select("id", "embedding").mapInArrow(best_of([r["query_id"] for r in lot], [r["query"] for r in lot], k, schema), schema))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    return reduce(DataFrame.union, parts).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def best_of(names: list, vectors: list, k: int, schema: T.StructType):
+    """A function over batches (id, embedding) that gives each query's k nearest of a task's rows as schema has them."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(schema)
+    wanted = np.array([[np.nan if x is None else x for x in v] for v in vectors], np.float64)
+    good = np.isfinite(wanted).all(axis=1) if len(wanted) else np.zeros(0, bool)
+    wanted, names = wanted[good], [n for n, ok in zip(names, good, strict=True) if ok]
+
+    def run(batches):
+        own = pa.array(names, out.field("query_id").type)
+        squares = (wanted**2).sum(axis=1)
+        query, near, held = np.zeros(0, np.int64), np.zeros(0), pa.array([], out.field("id").type)
+        worst = np.full(len(names), np.inf)
+        for batch in batches if names else ():
+            rows = batch.column(1)
+            x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+            ids, x = batch.column(0).filter(pa.array(fit := np.isfinite(x).all(axis=1))), x[fit]
+            if not len(x):
+                continue
+            same = ids.to_pylist()
+            about = squares[:, None] + (x**2).sum(axis=1) - 2 * wanted @ x.T
+            slack = 2e-6 + 1e-9 * (squares.max() + (x**2).sum(axis=1).max())
+            # one more than k: a query's own row may be among them
+            bound = np.minimum(worst, np.partition(about, k, axis=1)[:, k] if len(x) > k else np.inf)
+            i, j = np.nonzero(about <= (bound + slack)[:, None])
+            other = np.fromiter((names[a] != same[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+            i, j = i[other], j[other]
+            exact = np.round(((wanted[i] - x[j]) ** 2).sum(axis=1), 6)
+            query, near, held = np.concatenate([query, i]), np.concatenate([near, exact]), pa.concat_arrays([held, ids.take(pa.array(j))])
+            order = np.lexsort((np.argsort(np.argsort(held.to_numpy(zero_copy_only=False), kind="stable"), kind="stable"), near, query))
+            place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+            order = order[place < k]
+            query, near, held = query[order], near[order], held.take(pa.array(order))
+            full = np.flatnonzero(np.bincount(query, minlength=len(names)) == k)
+            worst[full] = near[np.searchsorted(query, full, side="right") - 1]
+        yield pa.RecordBatch.from_arrays([own.take(pa.array(query)), held, pa.array(near)], schema=out)
+
+    return run
 
 
 def relevant_fields(corpus: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
