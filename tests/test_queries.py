@@ -29,7 +29,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES)[:: int(os.environ.get("TEST_EVERY", "4"))])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES)[:: int(os.environ.get("TEST_EVERY", "1"))])
 def test_against_sql(spark, db, name):
     df = queries.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

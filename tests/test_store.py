@@ -208,6 +208,16 @@ def test_links_heal_without_a_shuffle_of_references(spark, tmp_path):
     plan = linked.links.references.join(spark.createDataFrame([("urn:s",)], "id string").hint("merge"), F.col("root") == F.col("id"), "left_semi")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and "hashpartitioning(root" not in text  # only the ids are dealt
+    asked = spark.createDataFrame([("urn:s", "n:C")], "parent string, key string").hint("merge").join(linked.links.children, ["parent", "key"])
+    assert asked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_a_name_that_is_a_place_is_found_once(spark):
+    items = [prop("1", "a"), prop("01", "b"), prop("x", "c"), prop("03", "d")]
+    g = graph(spark, {"modelType": "Submodel", "id": "urn:s", "submodelElements": [{"modelType": "SubmodelElementList", "idShort": "L", "value": items}]})
+    for step, want in {"0": ["0"], "1": ["0", "1"], "01": ["1"], "2": ["2"], "x": ["2"], "3": ["3"], "03": ["3"], "4": []}.items():
+        refs = spark.createDataFrame([("r", ("ModelReference", [("Submodel", "urn:s"), ("SubmodelElementList", "L"), ("Property", step)]))], "ref_id string, ref struct<type:string,keys:array<struct<type:string,value:string>>>")
+        assert sorted(r["target_id"] for r in resolve.resolve(g, refs).collect()) == [f"urn:s/L/{w}" for w in want], step
 
 
 def test_rows_within_a_budget(spark):

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..schema import REFERENCE, Graph
 
-#: Buckets that stored references and children are dealt into, by the identifiable they begin at and by parent.
+#: Buckets that stored references and children are dealt into, by the identifiable they begin at and by parent and key.
 BUCKETS = 64
+#: A step that is a place in a list.
+NUMBER = "^[0-9]{1,18}$"
 
 
 def references(graph: Graph) -> DataFrame:
@@ -50,14 +52,16 @@ def children(graph: Graph) -> DataFrame:
     """(parent, key, child): each element below its parent, by its name (`n:`) and, in a list, by its place (`i:`) as well."""
     if graph.links:
         return graph.links.children
-    place = F.get("indexes", F.size("indexes") - 1)
-    keys = F.array_compact(F.array(F.concat(F.lit("n:"), "idShort"), F.concat(F.lit("i:"), place.cast("string"))))
+    place, name = F.get("indexes", F.size("indexes") - 1), F.col("idShort")
+    # a name that is the child's own place finds nothing that the place does not
+    own = F.coalesce(F.when(name.rlike(NUMBER), name.cast("bigint")) == place, F.lit(False))
+    keys = F.array_compact(F.array(F.when(~own, F.concat(F.lit("n:"), name)), F.concat(F.lit("i:"), place.cast("string"))))
     return graph.elements.select(F.col("parent_id").alias("parent"), F.explode(keys).alias("key"), F.col("node_id").alias("child"))
 
 
 @dataclass
 class Links:
-    """A graph's references in buckets of the identifiable that they begin at, its children in buckets of their parents, and its bridge, as stored tables."""
+    """A graph's references in buckets of the identifiable that they begin at, its children in buckets of parent and key, and its bridge, as stored tables."""
 
     references: DataFrame
     children: DataFrame
@@ -67,17 +71,17 @@ class Links:
 def link(graph: Graph, path: str) -> Graph:
     """graph with its references, children and bridge written under path and read from there.
 
-    Tables in buckets are known to the session's catalog, so a join on the bucket's column shuffles only the other side.
+    Tables in buckets are known to the session's catalog, so a join on the bucket's columns shuffles only the other side.
     """
     spark = graph.spark
 
-    def dealt(df: DataFrame, what: str, by: str) -> DataFrame:
+    def dealt(df: DataFrame, what: str, *by: str) -> DataFrame:
         name = f"twinframe_{what}_{uuid.uuid4().hex}"
-        df.repartition(BUCKETS, by).write.bucketBy(BUCKETS, by).sortBy(by).option("path", f"{path}/{what}").saveAsTable(name)
+        df.repartition(BUCKETS, *by).write.bucketBy(BUCKETS, *by).sortBy(*by).option("path", f"{path}/{what}").saveAsTable(name)
         return spark.read.table(name)
 
     refs = dealt(references(graph).withColumns({"root": first_of(F.col("ref")), "kind": F.col("ref.type")}), "references", "root")
-    below = dealt(children(graph), "children", "parent")
+    below = dealt(children(graph), "children", "parent", "key")
     graph.bridge.write.parquet(f"{path}/bridge")
     return replace(graph, links=Links(refs, below, spark.read.parquet(f"{path}/bridge")))
 
@@ -105,10 +109,9 @@ def descend(below: DataFrame, refs: DataFrame) -> DataFrame:
     found = []
     for at in range(1, longest):
         step = F.get("steps", F.lit(at - 1))
-        place = F.when(step.rlike("^[0-9]{1,18}$"), F.concat(F.lit("i:"), step.cast("bigint").cast("string")))
+        place = F.when(step.rlike(NUMBER), F.concat(F.lit("i:"), step.cast("bigint").cast("string")))
         asked = frontier.withColumn("key", F.explode(F.array_compact(F.array(F.concat(F.lit("n:"), step), place))))
-        # a child that its own place names is found twice
-        frontier = asked.join(below.withColumnRenamed("parent", "node"), ["node", "key"]).select("ref_id", F.col("child").alias("node"), "steps").distinct()
+        frontier = asked.join(below.withColumnRenamed("parent", "node"), ["node", "key"]).select("ref_id", F.col("child").alias("node"), "steps")
         found.append(frontier.filter(F.size("steps") == at).select("ref_id", "node"))
         frontier = frontier.filter(F.size("steps") > at)
     return reduce(DataFrame.union, found) if found else frontier.select("ref_id", "node").filter("false")
