@@ -14,7 +14,7 @@ from .operators.store import Store
 from .plans import aasql, defects, project
 from .schema import CONCEPT, ELEMENT, SHELL, SUBMODEL, Graph, reference, shaped
 from .session import new_folder
-from .sources import readers
+from .sources import readers, stream
 from .streaming import operational
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,6 +259,19 @@ def round_trip(g: Graph) -> DataFrame:
 graph_query("export_roundtrip", round_trip, ORACLES["count_by_type"])
 
 
+def streamed_lines(g: Graph) -> DataFrame:
+    """Values of all order lines after the whole graph was written as sorted streams and read from its files."""
+    folder = f"{new_folder(g.spark)}/documents"
+    stream.write_documents(g, folder)
+    inner = readers.read_aas(g.spark, folder).elements.filter("size(names) = 3 AND names[0] = 'Lines'")
+    value = lambda name: F.max(F.when(F.col("idShort") == name, F.col("value")))
+    lines = inner.groupBy(F.col("submodel_id").alias("id"), F.col("indexes")[1].alias("place"))
+    return lines.agg(value("Quantity").cast("double").alias("quantity"), value("ExtendedPrice").cast("double").alias("price"), value("ReturnFlag").alias("flag"), value("ShipDate").alias("shipped"), F.count(F.lit(1)).alias("n"))
+
+
+graph_query("export_streamed", streamed_lines, f"SELECT 'urn:sm:order:' || l_orderkey AS id, i::INT AS place, l_quantity::DOUBLE AS quantity, l_extendedprice::DOUBLE AS price, l_returnflag AS flag, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS shipped, 5::BIGINT AS n FROM {PLACED}")
+
+
 def eclass(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph_of(spark, sf_dir)
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
