@@ -261,6 +261,42 @@ def test_quality(spark):
     assert rows(quality.score_quality(docs.filter("false"), docs, labels)) == []
 
 
+def test_strengths_minimise_the_loss_of_pairs():
+    """Against the loss of the same pairs computed plainly: every step away from the weights makes it larger."""
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(0.4, 1, (300, 3)), rng.normal(0, 1, (200, 3))
+    weights, drawn = quality.strengths(good, bad), np.random.default_rng(3)
+    pairs = [good[i] - bad[j] for i, j in zip(drawn.integers(300, size=quality.PAIRS), drawn.integers(200, size=quality.PAIRS), strict=True)]
+
+    def loss(w):
+        return sum(np.log1p(np.exp(-np.array(pairs) @ w))) + 0.5 * float(w @ w)
+
+    least = loss(weights)
+    for k in range(3):
+        for step in (-0.05, 0.05):
+            assert loss(weights + step * np.eye(3)[k]) > least
+
+
+def test_ranking_of_rows_that_were_not_learned():
+    """Classes that overlap: held-out rows are ranked about as well as by the direction that they were drawn along."""
+    rng = np.random.default_rng(8)
+    along = np.array([1.0, -0.5, 0, 0])
+    label = rng.random(4000) < 0.7
+    x = rng.normal(size=(4000, 4)) + np.where(label, 0.9, 0)[:, None] * along
+    model = quality.Model.learn(x[:2000], label[:2000])
+
+    def area(score):
+        wins = score[2000:][label[2000:]][:, None] - score[2000:][~label[2000:]]
+        return (wins > 0).mean() + 0.5 * (wins == 0).mean()
+
+    score = quality.Model.score(model, x)
+    assert area(score) > area(x @ along) - 0.01 > 0.7
+    assert ((score >= 0) & (score <= 1)).all()
+    # the threshold parts the learned classes best
+    balance = lambda cut: (score[:2000][label[:2000]] >= cut).mean() + (score[:2000][~label[:2000]] < cut).mean()
+    assert balance(quality.THRESHOLD) >= max(map(balance, np.linspace(0, 1, 101))) - 1e-3
+
+
 # 8. neighbours
 
 

@@ -32,3 +32,27 @@ def test_form_alone(text, kind, found):
 def test_ordinary_signs_add_nothing(text):
     plain, spans = pii.all_spans(text)
     assert spans == plain
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Meet me @ noon.Then go", "He sat at home.The dog slept.", "we are at this point in time", "at one point the talks at that point it failed", "open at 5 point 5", "look at some point on the line",
+        "Tickets @ 5.Doors open", "two plus two at the end of dot matrix printers", "She works at Acme.Inc has offices", "arrive at dot or later", "at no point did we stop at any point to rest",
+    ],
+)
+def test_prose_adds_nothing(text):
+    plain, spans = pii.all_spans(text)
+    assert spans == plain
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("ask jane @ example.com.Then go", "jane @ example.com"), ("ask jane at example point com now", "jane at example point com"), ("ask jane at mail point example point org now", "jane at mail point example point org"),
+        ("ask JANE AT EXAMPLE DOT COM now", "JANE AT EXAMPLE DOT COM"), ("ask jane [at] example [dot] test now", "jane [at] example [dot] test"),
+    ],
+)
+def test_addresses_beside_prose(text, found):
+    _, spans = pii.all_spans(text)
+    assert [(k, text[a:b]) for a, k, b in spans] == [(0, found)]

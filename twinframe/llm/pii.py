@@ -3,7 +3,8 @@
 Plain identifiers are found by fixed patterns. Where a text shows a sign of disguise, transducers rewrite it step by step, each
 character keeping the stretch of the source that it came from: look-alike and wide characters become plain ones, invisible ones go,
 spelled digits become digits, and at and dot in brackets or between words become signs. The same patterns then run over the rewritten
-text, and what they find beyond the plain spans is mapped back to the source.
+text, and what they find beyond the plain spans is mapped back to the source. An address written with spaces ends in letters of one case; what
+follows them without a space is the next sentence.
 
 One scan, no shuffle. Cases: a null text is empty; spans of different kinds may overlap; an added span that overlaps a plain one of its kind
 stays only if it holds all of it; repeated rows get equal results; an empty table gives no rows; columns of the results' names are replaced.
@@ -54,6 +55,11 @@ LOW_BARE = re.compile(rf"(?<=[a-z0-9])\s+(?:{AT_WORD})\s+[a-z0-9-]+\s*(?:\s(?:{D
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s*@\s*(?=[A-Za-z0-9])")
 DOTS = re.compile(rf"(?i)\s(?:{DOT_WORD})\s")
 PLUS = re.compile(r"(?i)(?<!\w)plus\s+(?=[0-9])")
+#: Top parts that a bare `point` may lead to; `at this point in` is no address.
+TOPS = "com|org|net|edu|gov|mil|int|info|biz|name|io|dev|app|ai|co|de|fr|es|uk|us|eu|ch|ca|au|nl|pl|ru|jp|br|se|dk|fi|pt|cz"
+NO_POINT = re.compile(rf"(?i)(?:[A-Za-z0-9-]+\s+point\s+)++(?!(?:{TOPS})(?![\w-]))")
+#: The end of an address that was written with spaces: two letters or more, of one case.
+TOP = re.compile(r"\.(?:[a-z]{2,}|[A-Z]{2,})$")
 
 
 def luhn(digits: str) -> bool:
@@ -143,13 +149,21 @@ def disguised_spans(text: str) -> list[tuple[int, int, int]]:
     r.transduce(DIGIT_RUN, lambda m: re.sub(r"[\s,–—-]+", "", SPELLED_ONE.sub(lambda w: str(SPELLED[w[1].lower()]), m[0])) if SPELLED_ONE.search(m[0]) else None)
     r.transduce(PLUS, lambda m: "+")
     r.transduce(BRACKETED, lambda m: "@" if m[1] else ".", spaces=True)
-    r.transduce(BARE, lambda m: "@")
+    r.transduce(BARE, lambda m: None if NO_POINT.match(r.text, m.end()) else "@")
     within = [m.span() for m in DOTTED.finditer(r.text)]
     starts = [a for a, _ in within]
     inside = lambda m: (k := bisect_right(starts, m.start())) and m.end() <= within[k - 1][1]
     r.transduce(BARE_DOT, lambda m: "." if inside(m) else None)
     r.transduce(SPACED_AT, lambda m: "@" if len(m[0]) > 1 else None)
-    return [(r.start[a], kind, r.stop[b - 1]) for a, kind, b in plain_spans(r.text)]
+    found = []
+    for a, kind, b in plain_spans(r.text):
+        # an address written with spaces may have run on into the next sentence
+        while kind == 0 and b > a and any(map(str.isspace, text[r.start[a] : r.stop[b - 1]])) and not TOP.search(r.text, a, b):
+            cut = r.text.rfind(".", a, b)
+            b = cut if "." in r.text[r.text.index("@", a) : cut] else a
+        if b > a:
+            found.append((r.start[a], kind, r.stop[b - 1]))
+    return found
 
 
 def all_spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
