@@ -146,6 +146,28 @@ def test_template_document(spark):
     }
 
 
+def test_type_by_meaning_else_by_name(spark):
+    a = {"modelType": "Submodel", "id": "urn:1", "idShort": "T", "semanticId": {"type": "ExternalReference", "keys": [{"type": "GlobalReference", "value": "U"}]}, "submodelElements": [prop("A", "1")]}
+    b = {"modelType": "Submodel", "id": "urn:2", "idShort": "U", "submodelElements": [prop("B", "1")]}
+    g = graph(spark, a, b)
+    paths = lambda name: [r["path"] for r in template.union(g, name, None).collect()]
+    assert paths("U") == ["A"] and paths("T") == ["A"]
+    with pytest.raises(ValueError, match="No submodel"):
+        paths("V")
+
+
+def test_template_as_yaml():
+    yaml = pytest.importorskip("yaml")
+    document = {"modelType": "Submodel", "idShort": "no", "submodelElements": [{"idShort": "A: b", "value": [{"x": "1"}, {"x": None, "y": [[1, 2], []]}]}, {"idShort": "ü \"q\" #", "n": 1.5, "e": {}}, "text", True]}
+    assert yaml.safe_load(template.as_yaml(document)) == document
+
+
+def test_overview_of_odd_names(spark):
+    plates = [{"modelType": "Submodel", "id": f"urn:{i}", "idShort": "N", "submodelElements": [prop("ManufacturerName", name)]} for i, name in enumerate([" Maker ", "Maker", "unknown", "", None])]
+    got = sorted((r["section"], r["name"], r["n"]) for r in tools.overview(graph(spark, *plates, SHELL)).collect())
+    assert got == [("asset", "A", 1), ("count", "concepts", 0), ("count", "shells", 1), ("count", "submodels", 5), ("manufacturer", "Maker", 2), ("type", "N", 5)]
+
+
 def test_fields_of_several_queries(spark):
     corpus = spark.createDataFrame([(1, "Temp", "T", "b1", [0.0, 0.0]), (2, "Temperatur", "U", "b1", [0.0, 1.0]), (3, "Flow", "T", None, [5.0, 5.0]), (4, "Temp", "V", "b1", [0.0, 0.5])], "id long, field string, submodel_type string, base string, embedding array<float>")
     queries = spark.createDataFrame([(-1, [0.0, 0.4]), (-2, [5.0, 5.0])], "query_id long, query array<float>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,15 @@ from ..schema import Graph, labels
 from .semantic import semantic_id
 
 
-def union(graph: Graph, submodel_type: str, by_semantic_id: bool = False) -> DataFrame:
+def union(graph: Graph, submodel_type: str, by_semantic_id: bool | None = False) -> DataFrame:
     """(path, depth, model_type, valueType, semantic_id, instances, optional) of each place that any submodel of the type has.
 
     Children of a list share one place, written as []. Attributes are those of the instance that comes first by submodel and node; children
-    without a name outside lists are left out. Raises ValueError when no submodel is of the type.
+    without a name outside lists are left out. A type is a name, a semantic identifier, or (by_semantic_id None) the identifier if any submodel has it, else the name.
+    Raises ValueError when no submodel is of the type.
     """
+    if by_semantic_id is None:
+        by_semantic_id = not graph.submodels.filter(semantic_id() == submodel_type).isEmpty()
     test = semantic_id() == submodel_type if by_semantic_id else F.col("idShort") == submodel_type
     chosen = graph.submodels.filter(test).select(F.col("id").alias("submodel_id"))
     total = chosen.count()
@@ -27,8 +32,8 @@ def union(graph: Graph, submodel_type: str, by_semantic_id: bool = False) -> Dat
     return places.select("path", "depth", "f.model_type", "f.valueType", "f.semantic_id", "instances", (F.col("instances") < total).alias("optional"))
 
 
-def document(graph: Graph, submodel_type: str, by_semantic_id: bool = False) -> dict:
-    """The template as one nested document: places of the union below one another, with their cardinality.
+def document(graph: Graph, submodel_type: str, by_semantic_id: bool | None = False) -> dict:
+    """The template as one nested document: places of the union below one another, with their cardinality; the type as for union, and named as semanticId only where it is one by the caller's word.
 
     A type's places are few whatever the number of its submodels, so the document is put together by the driver.
     """
@@ -45,6 +50,16 @@ def document(graph: Graph, submodel_type: str, by_semantic_id: bool = False) ->
     return root
 
 
+def as_yaml(value, depth: int = 0) -> str:
+    """A document as YAML in block style; texts are quoted as in JSON, which YAML reads."""
+    indent = "  " * depth
+    if isinstance(value, dict) and value:
+        return "".join(f"{indent}{k}:" + (f"\n{as_yaml(v, depth + 1)}" if isinstance(v, (dict, list)) and v else f" {json.dumps(v, ensure_ascii=False)}\n") for k, v in value.items())
+    if isinstance(value, list) and value:
+        return "".join(f"{indent}- {as_yaml(v, depth + 1).lstrip()}" for v in value)
+    return f"{indent}{json.dumps(value, ensure_ascii=False)}\n"
+
+
 def element_labels(graph: Graph) -> DataFrame:
     """(label, n): how many elements are of each class, its parents included."""
     return graph.elements.groupBy("model_type").agg(F.count(F.lit(1)).alias("n")).select(F.explode(labels(F.col("model_type"))).alias("label"), "n").groupBy("label").agg(F.sum("n").alias("n"))

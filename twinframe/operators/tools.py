@@ -116,8 +116,23 @@ def get_asset(graph: Graph, name: str) -> DataFrame:
 
 
 def manufacturers(graph: Graph) -> DataFrame:
+    return named_manufacturers(graph).distinct()
+
+
+def named_manufacturers(graph: Graph) -> DataFrame:
     named = graph.elements.filter(F.col("idShort") == "ManufacturerName").select(F.trim(element_text()).alias("manufacturer"))
-    return named.filter("manufacturer <> '' AND lower(manufacturer) <> 'unknown'").distinct()
+    return named.filter("manufacturer <> '' AND lower(manufacturer) <> 'unknown'")
+
+
+def overview(graph: Graph) -> DataFrame:
+    """(section, name, semantic_id, n): what there is, in one report: numbers of identifiables (`count`), types of submodels (`type`), manufacturers with how many elements name them (`manufacturer`) and names of assets (`asset`)."""
+    none = F.lit(None).cast("string")
+    kinds = (("shells", graph.shells), ("submodels", graph.submodels), ("concepts", graph.concepts))
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("count").alias("section"), F.lit(name).alias("name"), none.alias("semantic_id"), "n") for name, df in kinds]
+    types = graph.submodels.groupBy("idShort", semantic_id().alias("semantic_id")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("type"), "idShort", "semantic_id", "n")
+    makers = named_manufacturers(graph).groupBy("manufacturer").agg(F.count(F.lit(1)).alias("n")).select(F.lit("manufacturer"), "manufacturer", none, "n")
+    assets = graph.shells.filter("idShort <> ''").groupBy("idShort").agg(F.count(F.lit(1)).alias("n")).select(F.lit("asset"), "idShort", none, "n")
+    return reduce(DataFrame.union, [*counts, types, makers, assets])
 
 
 def field_corpus(graph: Graph) -> DataFrame:
