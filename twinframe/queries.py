@@ -270,7 +270,7 @@ graph_query("export_roundtrip", round_trip, ORACLES["count_by_type"])
 def streamed_lines(g: Graph) -> DataFrame:
     """Values of all order lines after the whole graph was written as sorted streams and read from its files."""
     folder = f"{new_folder(g.spark)}/documents"
-    stream.write_documents(g, folder)
+    stream.write_documents(g, folder, compressed=True)
     inner = readers.read_aas(g.spark, folder).elements.filter("size(names) = 3 AND names[0] = 'Lines'")
     value = lambda name: F.max(F.when(F.col("idShort") == name, F.col("value")))
     lines = inner.groupBy(F.col("submodel_id").alias("id"), F.col("indexes")[1].alias("place"))
