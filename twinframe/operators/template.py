@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Graph, labels
+from ..session import new_folder
+from .narrow import within
 from .semantic import semantic_id
 
 
+#: Levels of elements that paths are constants at, and how many submodels are looked up by a filter.
+DEPTH, FIRSTS = 6, 1000
+
+
 def union(graph: Graph, submodel_type: str, by_semantic_id: bool | None = False) -> DataFrame:
     """(path, depth, model_type, valueType, semantic_id, instances, optional) of each place that any submodel of the type has.
 
@@ -25,13 +31,34 @@ def union(graph: Graph, submodel_type: str, by_semantic_id: bool | None = False)
     total = chosen.count()
     if not total:
         raise ValueError(f"No submodel of type {submodel_type}")
-    names = F.transform(F.arrays_zip("names", "indexes"), lambda x: F.when(x["indexes"].isNotNull(), F.lit("[]")).otherwise(x["names"]))
-    inside = graph.elements.join(chosen, "submodel_id", "left_semi").withColumn("path", F.array_join(names, "/", "?")).filter(~F.contains("path", F.lit("?")))
-    first = F.min(F.struct("submodel_id", "node_id", "model_type", "valueType", semantic_id().alias("semantic_id"))).alias("f")
-    places = inside.groupBy("path", F.size("names").alias("depth")).agg(first, F.count_distinct("submodel_id").alias("instances"))
+    placed = graph.elements.withColumn("path", F.coalesce(*(F.when(F.size("names") == n, joined(n)) for n in range(1, DEPTH + 1)), joined())).filter(~F.contains("path", F.lit("?")))
+    depth = F.size("names").alias("depth")
+    # an inner join, as a semi-join would go into every branch of a graph that is a union
+    inside = within(placed.select("submodel_id", "path", depth), "submodel_id", chosen).join(chosen.distinct(), "submodel_id")
+    counted = stored(inside.groupBy("path", "depth").agg(F.min("submodel_id").alias("submodel_id"), F.count_distinct("submodel_id").alias("instances")))
+    # attributes stand in the first submodel that has a place
+    firsts = [r["submodel_id"] for r in counted.select("submodel_id").distinct().limit(FIRSTS + 1).collect()]
+    near = placed.filter(F.col("submodel_id").isin(firsts)) if len(firsts) <= FIRSTS else within(placed, "submodel_id", counted.select("submodel_id"))
+    first = F.min(F.struct("node_id", "model_type", "valueType", semantic_id().alias("semantic_id"))).alias("f")
+    attributes = near.groupBy("submodel_id", "path", depth).agg(first)
+    places = counted.join(attributes, ["submodel_id", "path", "depth"])
     return places.select("path", "depth", "f.model_type", "f.valueType", "f.semantic_id", "instances", (F.col("instances") < total).alias("optional"))
 
 
+def joined(depth: int | None = None) -> Column:
+    """The path of an element at a depth, or at any. At a known one it is a constant for elements of one kind, so that neither places in lists nor names are made for each row."""
+    step = lambda name, index: F.when(index.isNotNull(), F.lit("[]")).otherwise(name)
+    if depth is None:
+        return F.array_join(F.transform(F.arrays_zip("names", "indexes"), lambda x: step(x["names"], x["indexes"])), "/", "?")
+    return F.concat_ws("/", *(F.coalesce(step(F.get("names", F.lit(k)), F.get("indexes", F.lit(k))), F.lit("?")) for k in range(depth)))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    path = f"{new_folder(df.sparkSession)}/places"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def document(graph: Graph, submodel_type: str, by_semantic_id: bool | None = False) -> dict:
     """The template as one nested document: places of the union below one another, with their cardinality; the type as for union, and named as semanticId only where it is one by the caller's word.
 
