@@ -45,3 +45,22 @@ def test_against_all_pairs_over_many_batches(spark):
     assert found == want
     assert [(r["query_id"], r["id"]) for r in tools.nearest_fields(table, queries.filter("query_id < 0"), 5).collect()] == [(-2, 1001)]
     assert tools.nearest_fields(table, queries.filter("query_id = -1"), 5).count() == 0
+
+
+def test_pairs_are_compared_in_tiles():
+    import resource
+
+    import pyarrow as pa
+    from pyspark.sql.types import _parse_datatype_string
+
+    rng = np.random.default_rng(6)
+    queries, rows = rng.normal(size=(40_000, 4)), rng.normal(size=(4000, 4))
+    run = tools.best_of(list(range(-1, -40_001, -1)), queries, 5, _parse_datatype_string("query_id long, id long, distance double"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(rows.tolist(), pa.list_(pa.float64()))], names=["id", "embedding"])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = pa.Table.from_batches(run([batch]))
+    # all pairs at once would take 1 280 MB
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000 and found.num_rows == 200_000
+    for q in (0, 1023, 1024, 39_999):
+        want = sorted((round(float(((queries[q] - v) ** 2).sum()), 6), i) for i, v in enumerate(rows))[:5]
+        assert [(d, i) for n, i, d in zip(*(c.to_pylist() for c in found.columns), strict=True) if n == -1 - q] == want
